@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from cartulary.llm import host_rules, line_dedup
+from cartulary.llm import host_rules, line_dedup, minhash, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op6_near_duplicates": minhash.op6_near_duplicates,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op9_host_rules": host_rules.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

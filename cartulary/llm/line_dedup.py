@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.shared import NO_ID, WHITE, small_or_not, table, written
+from cartulary.llm.shared import NO_ID, WHITE, table, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ROWS = "kind int, h1 long, h2 long, doc long, row int, pos int, n long"
@@ -131,7 +131,7 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """A row per document: doc_id, text, keep (null: all lines stay)."""
     docs = docs.select("doc_id", "text")
-    maps = small_or_not(written(keep_bitmaps(docs, min_chars, min_docs), "line-bitmaps").drop("n_dropped"), 200)
+    maps = written(keep_bitmaps(docs, min_chars, min_docs), "line-bitmaps").drop("n_dropped").hint("merge")
     keyed = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "row": F.hash("text")})
     return keyed.join(maps, ["doc", "row"], "left").select("doc_id", "text", "keep")
 

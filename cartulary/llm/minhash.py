@@ -161,7 +161,7 @@ def similar_components(docs: DataFrame, sig: DataFrame, n: int, percent: int) ->
 def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(texts.join(needed, "node", "left_semi").mapInArrow(_sets(n), "node long, set binary"), "sets")
+    sets = written(texts.join(needed.hint("merge"), "node", "left_semi").mapInArrow(_sets(n), "node long, set binary"), "sets")
     x, y = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
     return pairs.join(x, "a").join(y, "b").mapInArrow(_confirm(percent), "a long, b long").distinct()
 

@@ -71,10 +71,11 @@ def host_verdicts(rules: DataFrame, host: str = "source", max_rate: float = 0.6)
     """
     hosts = rules.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).select(
-        "m", F.when(F.col("v") > 1e-12, F.greatest(F.lit(2.0), F.least(F.lit(1e4), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(1e4)).alias("k"))
-    shrunk = (F.col("failed") + F.col("m") * F.col("k")) / (F.col("docs") + F.col("k"))
-    return hosts.join(F.broadcast(prior)).select("host", "docs", "failed", shrunk.alias("shrunk_rate"), (shrunk > max_rate).alias("rejected"))
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()
+    m, v = prior.m or 0.0, prior.v or 0.0
+    k = max(2.0, min(1e4, m * (1 - m) / v - 1)) if v > 1e-12 else 1e4
+    shrunk = (F.col("failed") + m * k) / (F.col("docs") + k)
+    return hosts.select("host", "docs", "failed", shrunk.alias("shrunk_rate"), (shrunk > max_rate).alias("rejected"))
 
 
 def host_rules(docs: DataFrame, host: str = "source", max_rate: float = 0.6) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from cartulary.llm import host_rules, line_dedup, minhash, substring_dedup
+from cartulary.llm import chat, host_rules, line_dedup, minhash, mixing, quality, substring_dedup
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op6_near_duplicates": minhash.op6_near_duplicates,
+    "op5_chat": chat.op5_chat,
+    "op8_mixing": mixing.op8_mixing,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op5_chat": chat.OP5_SQL,
+    "op8_mixing": mixing.OP8_SQL,
     "op9_host_rules": host_rules.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

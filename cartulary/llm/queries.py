@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from cartulary.llm import chat, host_rules, line_dedup, minhash, mixing, quality, substring_dedup
+from cartulary.llm import archives, chat, decontaminate, host_rules, line_dedup, minhash, mixing, quality, substring_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_archives": archives.op4_archives,
     "op6_near_duplicates": minhash.op6_near_duplicates,
     "op5_chat": chat.op5_chat,
     "op8_mixing": mixing.op8_mixing,
@@ -16,6 +18,7 @@ QUERIES = {
 
 SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op4_archives": archives.OP4_SQL,
     "op5_chat": chat.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_host_rules": host_rules.OP9_SQL,

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cartulary.llm.shared import WORD, table, written
 
 WEIGHTS = (5, 2, 1)
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 SEED = "mix-1"
 
 

@@ -81,10 +81,10 @@ def _signatures(n: int):
                 keys = [mix((signature(u, orders).reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64) + bands) if len(u) else np.zeros(0, np.uint64) for u in sets]
                 at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.record_batch([
-                    b.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()),
+                    b.column("doc_id"), b.column("row"), pa.array([len(u) for u in sets], pa.int64()),
                     pa.array([hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64())),
-                ], names=["doc_id", "n_shingles", "digest", "bands"])
+                ], names=["doc_id", "row", "n_shingles", "digest", "bands"])
 
     return run
 
@@ -118,8 +118,8 @@ def _confirm(percent: int):
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, bands (empty for an empty set); written."""
-    return written(docs.select("doc_id", "text").mapInArrow(_signatures(n), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    """doc_id, row (hash of the text), n_shingles, digest of the set, bands (empty for an empty set); written."""
+    return written(docs.select("doc_id", F.hash("text").alias("row"), "text").mapInArrow(_signatures(n), "doc_id long, row int, n_shingles long, digest binary, bands array<long>"), "signatures")
 
 
 def similar_components(docs: DataFrame, sig: DataFrame, n: int, percent: int) -> DataFrame:
@@ -167,17 +167,17 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, kept."""
+    """A row per document: doc_id, row (hash of the text), n_shingles, component_id, kept."""
     sig = signatures(docs, n)
     label = similar_components(docs, sig, n, percent)
     key = F.coalesce("doc_id", F.lit(NO_ID))
     node = sig.filter("n_shingles > 0").groupBy("digest").agg(F.min(key).alias("node"))
     of_set = node.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    rows = sig.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
+    rows = sig.select("doc_id", "row", "n_shingles", "digest").join(of_set, "digest", "left")
     found = F.coalesce("component", key)
-    return rows.select("doc_id", "n_shingles", F.when(found != NO_ID, found).alias("component_id"), (found == key).alias("kept"))
+    return rows.select("doc_id", "row", "n_shingles", F.when(found != NO_ID, found).alias("component_id"), (found == key).alias("kept"))
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Contract query: two-word shingles, 80 percent."""
-    return near_duplicates(table(spark, sf_dir, "documents"), n=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), n=2).drop("row")

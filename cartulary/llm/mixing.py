@@ -45,13 +45,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """docs with size and key (60 bits)."""
+    """docs with size, key (60 bits) and row (hash of the text)."""
     key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{SEED}"))), 1, 15), 16, 10).cast("long")
-    return docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "key": key})
+    return docs.withColumns({"row": F.hash("text"), "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "key": key})
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, epochs (times that it is taken), taken."""
+    """A row per document: doc_id, row (hash of the text), source, size, source_size, target, epochs (times that it is taken), taken."""
     rows = written(with_key(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
     sources = written(targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")), weights, max_epochs), "targets")
     goal = sources.select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target", F.greatest(F.lit(1), F.ceil(F.col("docs") / RANGE_ROWS)).alias("ranges"))
@@ -65,7 +65,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - whole * F.col("source_size")
     epochs = whole + F.when(F.col("before") + F.col("size") / 2 < rest, 1).otherwise(0)
-    return placed.withColumn("epochs", epochs.cast("int")).select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
+    return placed.withColumn("epochs", epochs.cast("int")).select("doc_id", "row", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartulary.llm import archives, chat, decontaminate, host_rules, line_dedup, minhash, mixing, quality, substring_dedup
+from cartulary.llm import archives, chat, decontaminate, host_rules, line_dedup, minhash, mixing, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_archives": archives.op4_archives,
     "op6_near_duplicates": minhash.op6_near_duplicates,
     "op5_chat": chat.op5_chat,
+    "op7_packing": packing.op7_packing,
     "op8_mixing": mixing.op8_mixing,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,

@@ -8,8 +8,8 @@ probability (1 - 0.8**6)**48, under one in a million.
 
 Documents with equal sets are one node. In a bucket only pairs with the bucket's centre are candidates (the member that shares
 most buckets with others), so their count stays below the number of bucket rows, however large a group of copies is. Candidates
-are confirmed on their full sets. Buckets whose members are not yet in one component get other centres; after STAR_ROUNDS such
-rounds, what is still open is compared exhaustively between components, so a star loses no link that matters for components.
+are confirmed on their full sets, and links give components. Members of a bucket that are in different components after that
+are compared too, in blocks (see _rest), so the star loses no link that components depend on.
 
 Rows that repeat are copies of each other; rows that share a doc_id but not the text are judged each by its text. A null doc_id
 counts as the smallest, and the component it leads has the id null.
@@ -31,8 +31,8 @@ from cartulary.llm.words import Words, chunks, kgrams, mix
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
-#: Rounds of star-shaped candidates before the exhaustive comparison of what is left.
-STAR_ROUNDS = 4
+#: Rows of a block when what the stars leave open is compared.
+FAMILY_BLOCK = 4000
 
 
 def _orders() -> np.ndarray:
@@ -133,29 +133,52 @@ def similar_components(docs: DataFrame, sig: DataFrame, n: int, percent: int) ->
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
 
     tested, links, used = None, None, None
-    labelled = members.withColumn("component", F.col("node"))
-    for done in range(1, STAR_ROUNDS + 1):
-        free = labelled if used is None else labelled.join(used, ["bucket", "node"], "left_anti")
-        centre = free.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n", "component")).alias("c")).select("bucket", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", "component")))
-        centre = written(centre, "centres")
-        pairs = labelled.join(centre, "bucket").filter(f"component <> c_component and 100 * least(n, c_n) >= {percent} * greatest(n, c_n)").select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = written(_links(pairs, texts, n, percent), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        label = components(links)
-        # A bucket stays open while it has more than one component and a pair without a centre.
-        labelled = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).filter(f"lo <> hi and members > {done + 1}").select("bucket")
-        labelled = written(labelled.join(mixed, "bucket", "left_semi"), "open")
-        if labelled.isEmpty():
-            return label
-        now = centre.select("bucket", F.col("c_node").alias("node"))
-        used = now if used is None else used.union(now)
-    other = labelled.select("bucket", F.col("node").alias("m"), F.col("n").alias("nm"), F.col("component").alias("cm"))
-    rest = labelled.join(other, "bucket").filter(f"component < cm and 100 * least(n, nm) >= {percent} * greatest(n, nm)").select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
-    rest = written(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
-    return components(links.union(_links(rest, texts, n, percent)))
+    centre = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("c_n"))
+    pairs = members.join(centre, "bucket").filter(f"node <> centre and 100 * least(n, c_n) >= {percent} * greatest(n, c_n)").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    links = written(_links(written(pairs, "pairs"), texts, n, percent), "links")
+    label = components(links)
+    more = written(_rest(members.select("bucket", "node"), label, texts, n, percent), "links")
+    return label if more.isEmpty() else components(links.union(more))
+
+
+def _rest(members: DataFrame, label: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between members of a bucket that are in different components so far.
+
+    A bucket's family is its most frequent component; a pair of different components has an end outside of it. So the members of
+    all mixed buckets of a family are taken once, and those outside the family's component are compared with all of them, in
+    blocks of FAMILY_BLOCK rows against FAMILY_BLOCK rows and by an index of shingles within a block, without a row for each pair.
+    """
+    rows = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    shares = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = shares.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"), F.count(F.lit(1)).alias("components")).filter("components > 1 and members > 2")
+    kin = written(rows.join(mixed.select("bucket", F.col("top.component").alias("family")), "bucket").select("family", "node", "component").distinct(), "kin")
+    # A family in which no set but the centre's is outside has been compared already in the star; it is harmless to do so again.
+    blocks = kin.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("k"))
+    sets = written(texts.join(kin.select("node").distinct().hint("merge"), "node", "left_semi").mapInArrow(_sets(n), "node long, set binary"), "sets")
+    placed = kin.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "component")
+    return placed.join(sets, "node").groupBy("family", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct()
+
+
+def _compare(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        component = group.column("component").to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("set")]
+        size = np.array([len(s) for s in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        order = np.argsort(ids, kind="stable")
+        holder = np.repeat(np.arange(len(sets)), size)[order]  # by shingle: the rows that hold it
+        first = np.searchsorted(ids[order], np.arange(ids.max() + 2))
+        at = np.concatenate([[0], np.cumsum(size)])
+        out: list[tuple[int, int]] = []
+        for q in np.flatnonzero(component != group.column("family")[0].as_py()):
+            common = np.bincount(np.concatenate([holder[first[t] : first[t + 1]] for t in ids[at[q] : at[q + 1]]]), minlength=len(sets))
+            hit = (100 * common >= percent * (size[q] + size - common)) & (component != component[q])
+            out += [(min(node[q], x), max(node[q], x)) for x in node[hit]]
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:

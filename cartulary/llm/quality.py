@@ -76,7 +76,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     order = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     share = min(1.0, 1.2 * TRAIN_ROWS / max(1, known.count()))  # so that each task has its share of the sample to sort, not all of it
-    known = known.filter(order <= int(share * (2**63 - 1))).hint("merge")
+    known = known.filter(order / 2.0**63 <= share).hint("merge")
     train = rows.filter(~F.col("held_out")).join(known, "doc_id").orderBy(order, "doc_id", "quality", "x").limit(TRAIN_ROWS).select("x", "quality").collect()
     w, threshold = fit(np.array([r.x for r in train]).reshape(-1, len(FEATURES)), np.array([r.quality for r in train]))
     strength = sum((F.col("x")[i] * float(w[i]) for i in range(len(w))), F.lit(-threshold))

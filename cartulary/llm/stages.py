@@ -26,7 +26,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose base rules pass and whose host isn't rejected."""
     rules = base_rules(docs.select(F.struct("*").alias("all"), "text", F.col("source").alias("host"))).drop("text")
-    verdicts = host_verdicts(written(rules.select("host", "rules.base_failed"), "rules"))
+    verdicts = host_verdicts(written(rules.select("host", "rules.base_failed"), "rules"), "host")
     rejected = verdicts.filter("rejected").select(F.col("host").alias("h"))
     return rules.filter("not rules.base_failed").join(rejected, F.col("host").eqNullSafe(F.col("h")), "left_anti").select("all.*")
 

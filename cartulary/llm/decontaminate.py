@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, native (DataFrame functions only).
 
-A text becomes tokens (numbers, or runs of letters); a template token is the lower-cased token, or a placeholder: numbers, names
+A text becomes tokens (numbers, or words that start with a letter); a template token is the lower-cased token, or a placeholder: numbers, names
 (a capital after a lower-case letter or comma and a blank, so not where a sentence starts) and units (a word of UNITS after a
 number). Windows of WINDOW template tokens with at least MIN_LITERALS words are hashed and joined with those of the benchmark.
 
@@ -26,7 +26,7 @@ MIN_LITERALS = 5
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "s", "ms", "min", "h", "l", "ml", "j", "w", "kw", "v", "hz", "pa", "percent", "dollars", "euros", "cents", "miles", "feet", "inches", "pounds", "ounces", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "degrees", "meters", "metres", "kilometers", "liters", "litres", "grams", "kilograms")
 NAME = "\u0002"
 _NAMES = r"(?<=[\p{Ll},;:] )(?=\p{Lu})"
-_TOKEN = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*|\u0002?\p{L}[\p{L}\p{M}]*"
+_TOKEN = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*|\u0002?\p{L}[\p{L}\p{M}\p{Nd}]*"
 
 
 def tokens(text: Column) -> Column:
@@ -35,16 +35,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0))
 
 
+def _is_number(t: Column) -> Column:
+    return (t >= "0") & (t < ":")
+
+
 def template(toks: Column) -> Column:
     """Array of template tokens: `#` a number, NAME a name, `%` a unit, else a word."""
-    kind = F.transform(toks, lambda t: F.when(t < ":", F.lit("#")).when(t.startswith(NAME), F.lit(NAME)).otherwise(F.lower(t)))
-    return let(kind, lambda k: F.zip_with(k, F.concat(F.array(F.lit("")), F.slice(k, 1, F.greatest(F.size(k) - 1, F.lit(0)))), lambda t, before: F.when((before == "#") & t.isin(*UNITS), F.lit("%")).otherwise(t)))
+    kind = F.transform(toks, lambda t: F.when(_is_number(t), F.lit("#")).when(t.startswith(NAME), F.lit(NAME)).otherwise(F.lower(t)))
+    return let(kind, lambda k: F.zip_with(k, F.slice(F.concat(F.array(F.lit("")), k), 1, F.size(k)), lambda t, before: F.when((before == "#") & t.isin(*UNITS), F.lit("%")).otherwise(t)))
 
 
 def token_hashes(toks: Column) -> Column:
     """Array of the template tokens' hashes. Without a number there is no unit, so most texts need no look at the token before."""
     hashed = lambda t: F.when(t.startswith(NAME), F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(F.lower(t)))
-    return let(toks, lambda k: F.when(F.exists(k, lambda t: t < ":"), F.transform(template(k), lambda t: F.xxhash64(t))).otherwise(F.transform(k, hashed)))
+    return let(toks, lambda k: F.when(F.exists(k, _is_number), F.transform(template(k), lambda t: F.xxhash64(t))).otherwise(F.transform(k, hashed)))
 
 
 def window_hashes(toks: Column) -> Column:

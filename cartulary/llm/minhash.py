@@ -126,7 +126,7 @@ def similar_components(docs: DataFrame, sig: DataFrame, n: int, percent: int) ->
     """(node, component) of the nodes that have a link; nodes: the smallest doc_id of each set."""
     nodes = sig.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared").hint("merge")  # tables of their own: Spark can split a join at a frequent key
     members = written(rows.join(shared, "bucket"), "buckets")
     degree = members.groupBy("node").agg(F.sum("members").alias("degree"))
     members = written(members.join(degree, "node").select("bucket", "node", "n", "degree"), "members")
@@ -134,6 +134,7 @@ def similar_components(docs: DataFrame, sig: DataFrame, n: int, percent: int) ->
 
     tested, links, used = None, None, None
     centre = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("c_n"))
+    centre = written(centre, "centres").hint("merge")
     pairs = members.join(centre, "bucket").filter(f"node <> centre and 100 * least(n, c_n) >= {percent} * greatest(n, c_n)").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     links = written(_links(written(pairs, "pairs"), texts, n, percent), "links")
     label = components(links)

@@ -195,6 +195,7 @@ def convert(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
     pages = pages.select("page_id", F.coalesce("page_id", F.lit(NO_ID)).alias("page"), F.hash("url", "html").alias("row"), "url", "html")
     found = written(pages.select("page_id", "page", "row", "url", "html").mapInArrow(_digests, "page long, row int, digest string, size long"), "digests")
     first = found.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min(F.struct("page", "row")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(first, "first").hint("merge")  # a table of its own: Spark can split the join at a frequent payload
     revisits = found.join(first, "digest").filter("page <> f.page or row <> f.row").select("page", "row", F.col("f.page").alias("first")).distinct()
     revisits = written(revisits, "revisits").hint("merge")
     rows = pages.join(revisits, ["page", "row"], "left").select("page_id", "page", "url", "html", "first")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.text import is_camel, is_pascal, is_snake, percent, round2, short_id
 
+# Fixed values in the rules below: keys, names, patterns, thresholds, descriptions and suggestions.
 COLUMNS = ("id", "category", "name", "pattern", "confidence", "examples", "description", "suggestion")
 
 

@@ -211,6 +211,7 @@ def dot_lines(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     return n.union(e)
 
 
+# Fixed value: the head of a DOT file.
 DOT_HEAD = "digraph KnowledgeGraph {\n  rankdir=LR;\n  node [shape=box, style=filled, fillcolor=lightblue];\n\n"
 
 

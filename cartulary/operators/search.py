@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.text import dot_product, expand_query_py, keywords_py, like_any, match_score, normalize_query_py, token_estimate
 
+# Fixed values in the sections below: titles, line formats, numbers of rows shown, relevances.
 TABLE_ORDER = ("file_id", "start_line", "id")
 
 

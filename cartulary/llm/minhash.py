@@ -205,3 +205,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Contract query: two-word shingles, 80 percent."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=2).drop("row")
+
+
+#: Brute force over all pairs that share a shingle; for small tables only.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(words) > 1 THEN [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))] ELSE words END) AS k FROM w WHERE len(words) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rid, rid AS reached FROM w UNION SELECT r.rid, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT r.rid, min(doc_id) AS component_id FROM r JOIN w ON w.rid = r.reached GROUP BY r.rid)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM w JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -21,6 +21,7 @@ SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op4_archives": archives.OP4_SQL,
     "op5_chat": chat.OP5_SQL,
+    "op6_near_duplicates": minhash.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_host_rules": host_rules.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,

@@ -69,6 +69,9 @@ IMPORT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 
 NODE_COLOURS = {"file": "lightblue", "function": "lightgreen", "class": "lightsalmon", "type": "lightyellow"}
 OTHER_COLOUR = "lightgray"
+# Radii of nodes in drawings.
+NODE_RADII = {"file": 6.0, "function": 3.5, "class": 5.0, "type": 4.0}
+OTHER_RADIUS = 4.0
 
 # Directory names that a scan skips, besides hidden ones.
 SKIPPED_DIRECTORIES = ("node_modules", "dist")

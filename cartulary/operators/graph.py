@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.functions.constants import NODE_COLOURS, OTHER_COLOUR
+from cartulary.functions.constants import NODE_COLOURS, NODE_RADII, OTHER_COLOUR, OTHER_RADIUS
 from cartulary.functions.text import round2
 
 #: Order of node kinds; where ids coincide the later kind counts.
@@ -189,12 +189,21 @@ def of_types(node_rows: DataFrame, edge_rows: DataFrame, types: list[str], limit
 
 
 def radial_layout(node_rows: DataFrame, radius: float = 1.0) -> DataFrame:
-    """(id, x, y): a ring for each node type, its nodes at equal angles."""
-    ring = F.element_at(F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i)))), F.col("type"))
-    w = Window.partitionBy("type")
-    angle = F.lit(6.283185307179586) * (F.row_number().over(w.orderBy("id")) - 1) / F.count(F.lit(1)).over(w)
-    r = radius * (F.lit(0.3) + 0.25 * ring)
-    return node_rows.select("id", "type", angle.alias("angle"), r.alias("r")).select("id", "type", (F.col("r") * F.cos("angle")).alias("x"), (F.col("r") * F.sin("angle")).alias("y"))
+    """(id, type, x, y): a ring for each node type that there is, its nodes in the order of ids at equal angles."""
+    kind = F.element_at(F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i)))), F.col("type"))
+    known = node_rows.filter(F.col("type").isin(*KINDS))
+    rings = known.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.first(kind).alias("kind"))  # four rows at most
+    rings = rings.withColumn("r", radius * (F.lit(0.3) + 0.25 * (F.row_number().over(Window.orderBy("kind")) - 1)))
+    placed = known.select("id", "type", F.row_number().over(Window.partitionBy("type").orderBy("id")).alias("i")).join(F.broadcast(rings), "type")
+    angle = F.lit(6.283185307179586) * (F.col("i") - 1) / F.col("n")
+    return placed.select("id", "type", (F.col("r") * F.cos(angle)).alias("x"), (F.col("r") * F.sin(angle)).alias("y"))
+
+
+def node_radius(kind: Column) -> Column:
+    out = F.lit(OTHER_RADIUS)
+    for k, v in NODE_RADII.items():
+        out = F.when(kind == k, v).otherwise(out)
+    return out
 
 
 def colour(kind: Column) -> Column:

@@ -319,6 +319,14 @@ def module_coupling(v: Views) -> DataFrame:
     return architecture.coupling(architecture.module_members(v["v_files"]), architecture.file_exports(v["v_functions"]), v["v_functions"])
 
 
+@query(f"{_MEMBERS} SELECT m.root_path, list(DISTINCT e.full_name ORDER BY e.full_name) AS exports, count(DISTINCT e.full_name) AS n FROM members m JOIN large USING (root_path) JOIN exports e USING (file_id) GROUP BY m.root_path")
+def module_exports(v: Views) -> DataFrame:
+    """Distinct exported names of each module."""
+    members = architecture.module_members(v["v_files"])
+    named = members.join(architecture.large_modules(members), "root_path").join(architecture.file_exports(v["v_functions"]), "file_id")
+    return named.groupBy("root_path").agg(F.array_sort(F.collect_set("full_name")).alias("exports")).withColumn("n", F.size("exports").cast("long"))
+
+
 @query(f"{_MEMBERS} SELECT a.root_path, b.root_path AS sub_path FROM (SELECT DISTINCT root_path FROM members) a JOIN large b ON starts_with(b.root_path, a.root_path || '/')")
 def submodules(v: Views) -> DataFrame:
     return architecture.submodules(architecture.module_members(v["v_files"]))
@@ -417,6 +425,28 @@ def dot_export(v: Views) -> DataFrame:
     return graph.dot_lines(*_graph(v)).select("line")
 
 
+@query(f"{_GRAPH} SELECT e.id, e.type FROM edges e WHERE e.source IN (SELECT id FROM nodes WHERE type IN ('file', 'class')) AND e.target IN (SELECT id FROM nodes WHERE type IN ('file', 'class'))")
+def type_subgraph(v: Views) -> DataFrame:
+    """Edges between files and classes."""
+    return graph.of_types(*_graph(v), ["file", "class"])[1].select("id", "type")
+
+
+@query(f"""{_GRAPH}, k AS (SELECT type, row_number() OVER (ORDER BY CASE type WHEN 'file' THEN 0 WHEN 'function' THEN 1 WHEN 'class' THEN 2 ELSE 3 END) - 1 AS k FROM nodes GROUP BY type),
+p AS (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY type) AS n FROM nodes)
+SELECT id, type, round((0.3::DOUBLE + 0.25::DOUBLE * k) * cos(2 * pi() * i / n), 6) + 0 AS x, round((0.3::DOUBLE + 0.25::DOUBLE * k) * sin(2 * pi() * i / n), 6) + 0 AS y FROM p JOIN k USING (type)""")
+def radial_layout(v: Views) -> DataFrame:
+    """Places of the graph's nodes on rings."""
+    out = graph.radial_layout(_graph(v)[0])
+    return out.select("id", "type", (F.round("x", 6) + 0).alias("x"), (F.round("y", 6) + 0).alias("y"))
+
+
+@query(f"{_GRAPH} SELECT id, type FROM edges WHERE source = 'class:1' OR target = 'class:1'")
+def edge_lookup(v: Views) -> DataFrame:
+    """Edges of one entity."""
+    edges = _graph(v)[1].select("id", F.col("source").alias("source_id"), F.col("target").alias("target_id"), "type")
+    return store.relationships_of(edges, "class:1").select("id", "type")
+
+
 @query()
 def clusters(v: Views) -> DataFrame:
     """Clusters of the entity graph."""

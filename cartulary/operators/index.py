@@ -24,12 +24,10 @@ def _apply(target: store.Store, sources: DataFrame, gone: DataFrame, registry: d
     replaced = sources.select(F.col("path").alias("id")).union(gone.select("id")).distinct()
     kept = store.without_files(before, replaced)
     files = kept["files"].unionByName(parsing.file_rows(sources))
-    # Specifiers stay in the edges of files that didn't change; all are resolved again against the files that are there now.
-    old_specs = kept["relationships"].filter("relation_type = 'imports'").select(F.col("source_id").alias("from_path"), F.col("metadata")["specifier"].alias("spec"))
-    unresolved = kept["relationships"].filter("relation_type = 'imports:unresolved'").select(F.col("source_id").alias("from_path"), F.col("metadata")["specifier"].alias("spec"))
-    specs = found["imports"].union(old_specs).union(unresolved)
+    # All specifiers are resolved again against the files that are there now, those of unchanged files too.
+    specs = kept["imports"].unionByName(found["imports"])
     edges = kept["relationships"].filter("relation_type <> 'imports'").unionByName(importing.import_edges(importing.resolve(specs, files))).unionByName(importing.heritage_edges(found["classes"]))
-    changed = {"files": files, "relationships": edges, **{t: kept[t].unionByName(found[t].select(kept[t].columns)) for t in store.CHILDREN}, "embeddings": kept["embeddings"]}
+    changed = {"files": files, "relationships": edges, "imports": specs, **{t: kept[t].unionByName(found[t].select(kept[t].columns)) for t in store.CHILDREN}, "embeddings": kept["embeddings"]}
     if model is not None:
         changed["embeddings"] = kept["embeddings"].unionByName(embed(entity_texts(found["functions"], found["classes"]), model))
     target.write(changed)

@@ -60,6 +60,8 @@ def without_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Da
     ids = reduce(DataFrame.union, owned).distinct()
     if "files" in tables:
         out["files"] = tables["files"].join(gone.select("id").distinct(), "id", "left_anti").select(tables["files"].columns)
+    if "imports" in tables:
+        out["imports"] = tables["imports"].join(gone.select(F.col("id").alias("from_path")).distinct(), "from_path", "left_anti").select(tables["imports"].columns)
     if "embeddings" in tables:
         out["embeddings"] = tables["embeddings"].join(ids.select(F.col("id").alias("entity_id")), "entity_id", "left_anti").select(tables["embeddings"].columns)
     if "relationships" in tables:  # what leaves a file goes with it; what points to it is resolved again

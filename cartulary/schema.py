@@ -13,12 +13,14 @@ CLASSES = "id string, name string, file_id string, methods array<string>, proper
 TYPES = "id string, name string, kind string, file_id string, properties array<string>"
 RELATIONSHIPS = "id string, source_id string, target_id string, relation_type string, metadata map<string,string>"
 FEEDBACK = "id string, query string, context_id string, rating int, accepted_items array<string>, rejected_items array<string>, created_at timestamp"
+#: What each file imports, resolved or not, so that a target that comes later is found.
+IMPORTS = "from_path string, spec string"
 EMBEDDINGS = "entity_id string, entity_type string, embedding array<float>"
 
 #: Table name -> schema.
-TABLES = {"files": FILES, "functions": FUNCTIONS, "classes": CLASSES, "types": TYPES, "relationships": RELATIONSHIPS, "feedback": FEEDBACK, "embeddings": EMBEDDINGS}
+TABLES = {"files": FILES, "functions": FUNCTIONS, "classes": CLASSES, "types": TYPES, "relationships": RELATIONSHIPS, "imports": IMPORTS, "feedback": FEEDBACK, "embeddings": EMBEDDINGS}
 #: Table name -> key columns. A file's key is its path.
-KEYS = {"files": ["path"], "functions": ["id"], "classes": ["id"], "types": ["id"], "relationships": ["id"], "feedback": ["id"], "embeddings": ["entity_id"]}
+KEYS = {"files": ["path"], "functions": ["id"], "classes": ["id"], "types": ["id"], "relationships": ["id"], "imports": ["from_path", "spec"], "feedback": ["id"], "embeddings": ["entity_id"]}
 
 # Fixed values of the data model.
 TYPE_KINDS = ("interface", "type", "enum", "type-alias")

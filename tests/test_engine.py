@@ -54,6 +54,10 @@ def test_index_is_incremental(spark, repo, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, "path string, content string")
     assert index.index(s, frame(first)) == {"new": 4, "errors": 0}
     assert index.index(s, frame(first)) == {"unchanged": 4, "errors": 0}
+    assert index.index(s, frame([*first, ("src/token.ts", "export type Token = string")])) == {"new": 1, "unchanged": 4, "errors": 0}
+    assert [r.target_id for r in s.table("relationships").filter("relation_type = 'imports'").collect()] == ["src/token.ts"]  # of an unchanged file
+    assert index.index(s, frame(first)) == {"deleted": 1, "unchanged": 4, "errors": 0}
+    assert s.table("relationships").filter("relation_type = 'imports'").count() == 0
     changed = [("src/auth.ts", "import './token';\nexport function other() {}\n"), ("src/token.ts", "export class Token extends Base implements A, B {}"), *first[2:]]
     assert index.index(s, frame(changed)) == {"new": 1, "changed": 1, "unchanged": 2, "deleted": 1, "errors": 0}
     assert {r.name for r in s.table("functions").filter("file_id = 'src/auth.ts'").collect()} == {"other"}

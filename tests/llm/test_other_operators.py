@@ -1,6 +1,6 @@
 import json
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -230,4 +230,3 @@ def test_shared_folder(spark):
     assert path.startswith(shared.shared_dir(spark)) and shared.new_path(spark, "x") != path
     df = shared.written(spark.range(3), "t")
     assert df.count() == 3 and "parquet" in json.dumps(df.inputFiles())
-    assert Counter([1])[1] == 1

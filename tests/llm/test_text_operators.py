@@ -249,7 +249,7 @@ def test_benchmark_items_are_found(spark):
     assert found(spark, f"some words before. {literal} and after") == ([1], True)
     assert found(spark, f"some words before. {other} and after") == ([1], False)
     assert found(spark, literal.replace("9 wagons", "8 wagons"))[0] == []  # 9 stands for two values
-    assert found(spark, "well, " + ITEMS[4][1].upper() + "!") == ([4], True) or True
+    assert found(spark, "well, " + ITEMS[4][1].upper() + "!") == ([4], True)
     assert found(spark, "\n".join(ITEMS[4][1].split(" "))) == ([4], True)
     assert found(spark, " ".join(ITEMS[4][1].split(" ")[:14])) == ([4], True)  # thirteen tokens and more
     assert found(spark, " ".join(ITEMS[4][1].split(" ")[:10])) == ([], False)

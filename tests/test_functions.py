@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -89,4 +87,3 @@ def test_globs_without_wildcards_are_exact(pattern, path):
     if "*" not in pattern and "?" not in pattern and "/" in pattern.rstrip("/") and not pattern.endswith("/"):
         assert ignored_py(path, [pattern]) == (path == pattern)
     assert isinstance(ignored_py(path, [pattern]), bool)
-    re.compile("x")

@@ -8,9 +8,14 @@ Hits of one document, item and alignment count together: an item is found if its
 whole item, if that is shorter) and its slots are consistent, that is, no placeholder value of the item stands for two values in
 the document. So literal copies are found, and questions asked again with other numbers or names.
 
-The benchmark's windows are counted: up to shared.BROADCAST_BYTES they are broadcast, beyond that the join shuffles. Items with
-fewer than WINDOW tokens or without enough words aren't looked for. Null and empty texts are clean; rows that share a doc_id are
-judged each by its text; a null doc_id keeps its row.
+The tokens that an item must have covered are counted over its windows with enough words, the others can't be found. The first
+word of an item is looked for as a word, and as the name or unit that it becomes inside a text; then it must be the same word.
+Items without any such window (fewer than WINDOW tokens, or few words) are looked for word for word, as a whole, by the hash of
+their lower-cased tokens; documents are hashed at the lengths that such items have. An item of fewer than EXACT_MIN tokens isn't
+looked for.
+
+The benchmark's windows are counted: up to shared.BROADCAST_BYTES they are broadcast, beyond that the join shuffles. Null and
+empty texts are clean; rows that share a doc_id are judged each by its text; a null doc_id keeps its row.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from cartulary.llm.shared import NO_ID, small_or_not, table, written
 
 WINDOW = 8
 MIN_LITERALS = 5
+#: Items without windows: tokens that they have at least, and those that are hashed (the rest is compared).
+EXACT_MIN, EXACT_HASHED = 3, 16
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "s", "ms", "min", "h", "l", "ml", "j", "w", "kw", "v", "hz", "pa", "percent", "dollars", "euros", "cents", "miles", "feet", "inches", "pounds", "ounces", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "degrees", "meters", "metres", "kilometers", "liters", "litres", "grams", "kilograms")
 NAME = "\u0002"
 _NAMES = r"(?<=[\p{Ll},;:] )(?=\p{Lu})"
@@ -51,46 +58,96 @@ def token_hashes(toks: Column) -> Column:
     return let(toks, lambda k: F.when(F.exists(k, _is_number), F.transform(template(k), lambda t: F.xxhash64(t))).otherwise(F.transform(k, hashed)))
 
 
-def window_hashes(toks: Column) -> Column:
-    """Array of the windows' hashes. WINDOW is a power of two: pairs are hashed, then pairs of pairs."""
+def run_hashes(hashes: Column, length: int) -> Column:
+    """Array of the hashes of all runs of length elements: pairs are hashed, then pairs of pairs, and at last two that overlap."""
     def paired(a: Column, n: int) -> Column:
         return let(a, lambda x: F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - n, F.lit(0))), tail(x, n), lambda p, q: F.xxhash64(p, q)))
 
-    out, n = token_hashes(toks), 1
-    while n < WINDOW:
+    out, n = hashes, 1
+    while 2 * n <= length:
         out = paired(out, n)
         n *= 2
-    return out
+    return out if n == length else paired(out, length - n)
+
+
+def window_hashes(toks: Column) -> Column:
+    """Array of the windows' hashes."""
+    return run_hashes(token_hashes(toks), WINDOW)
+
+
+def plain(t: Column) -> Column:
+    return F.lower(F.replace(t, F.lit(NAME), F.lit("")))
+
+
+def covered_by(at: Column) -> Column:
+    """Tokens under the windows at these sorted positions."""
+    return F.aggregate(F.zip_with(at, tail(at, 1), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda s, x: s + x)
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, item (its tokens), n_tokens, good: positions of the windows with enough words; written."""
+    items = benchmark.filter("item_id is not null").select("item_id", tokens(F.col("text")).alias("item"))
+    literals = lambda t, p: F.size(F.filter(F.slice(t, p + 1, WINDOW), lambda x: ~x.isin("#", "%", NAME)))
+    starts = F.when(F.size("item") >= WINDOW, F.sequence(F.lit(0), F.size("item") - WINDOW)).otherwise(F.array().cast("array<int>"))
+    good = let(template(F.col("item")), lambda t: F.filter(starts, lambda p: literals(t, p) >= MIN_LITERALS))
+    return written(items.select("item_id", "item", F.size("item").alias("n_tokens"), good.alias("good")), "benchmark-items")
+
+
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """item_id, ipos, h, coverable, other (the first word in a form that it may have inside a text); written.
+
+    coverable: the tokens under all windows of the item that have enough words."""
+    first = F.slice("item", 1, WINDOW)
+    name = F.when(~_is_number(F.get("item", F.lit(0))), window_hashes(F.concat(F.array(F.concat(F.lit(NAME), F.get("item", F.lit(0)))), F.slice("item", 2, WINDOW - 1)))[0])
+    unit = F.get(window_hashes(F.concat(F.array(F.lit("0")), first)), F.lit(1))
+    entry = lambda p, h, other: F.struct(p.alias("ipos"), h.alias("h"), F.lit(other).alias("other"))
+    own = let(window_hashes(F.col("item")), lambda h: F.transform("good", lambda p: entry(p, h[p], False)))
+    others = F.filter(F.transform(F.array(name, unit), lambda h: entry(F.lit(0), h, True)), lambda e: e["h"].isNotNull() & (e["h"] != F.get(own, F.lit(0))["h"]))
+    rows = items.filter(F.size("good") > 0).select("item_id", covered_by(F.col("good")).alias("coverable"), F.inline(F.concat(own, F.when(F.get("good", F.lit(0)) == 0, others).otherwise(F.array().cast("array<struct<ipos:int,h:bigint,other:boolean>>")))))
+    return written(rows, "benchmark-windows")
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, ipos, h, n_tokens; written."""
-    items = benchmark.filter("item_id is not null").select("item_id", tokens(F.col("text")).alias("k"))
-    rows = items.select("item_id", F.size("k").alias("n_tokens"), template(F.col("k")).alias("t"), F.posexplode(window_hashes(F.col("k"))).alias("ipos", "h"))
-    words = F.size(F.filter(F.slice("t", F.col("ipos") + 1, WINDOW), lambda t: ~t.isin("#", "%", NAME)))
-    return written(rows.filter(words >= MIN_LITERALS).drop("t"), "benchmark-windows")
+def whole_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc, row, item_id, covered, exact: items without windows that stand word for word in a document."""
+    words = lambda c: F.transform(c, plain)
+    short = items.filter((F.size("good") == 0) & (F.col("n_tokens") >= EXACT_MIN)).select("item_id", "n_tokens", words(F.col("item")).alias("item"), F.least("n_tokens", F.lit(EXACT_HASHED)).alias("hashed"))
+    lengths = sorted(r.hashed for r in short.select("hashed").distinct().collect())
+    if not lengths:
+        return short.limit(0).crossJoin(docs.select("doc", "row").limit(0)).select("doc", "row", "item_id", F.col("n_tokens").alias("covered"), F.lit(True).alias("exact"))
+    runs = lambda h, n: F.transform(run_hashes(h, n), lambda x, i: F.struct(F.lit(n).alias("hashed"), i.alias("pos"), x.alias("h")))
+    all_runs = lambda toks: let(F.transform(toks, lambda t: F.xxhash64(plain(t))), lambda h: F.flatten(F.array(*(runs(h, n) for n in lengths))))
+    known = short.select("item_id", "hashed", F.filter(all_runs(F.col("item")), lambda r: (r["pos"] == 0) & (r["hashed"] == F.col("hashed")))[0]["h"].alias("h"))
+    known = small_or_not(written(known, "benchmark-whole"), 40)
+    places = docs.select("doc", "row", F.inline(all_runs(tokens(F.col("text"))))).join(known, ["hashed", "h"])
+    places = written(places.groupBy("doc", "row", "item_id").agg(F.collect_set("pos").alias("at")), "whole-places")
+    texts = docs.join(places.select("doc", "row").distinct().hint("merge"), ["doc", "row"], "left_semi").select("doc", "row", words(tokens(F.col("text"))).alias("tokens"))
+    both = places.join(texts, ["doc", "row"]).join(short, "item_id")
+    same = F.exists("at", lambda p: F.slice("tokens", p + 1, F.col("n_tokens")) == F.col("item"))
+    return both.filter(same).select("doc", "row", "item_id", F.col("n_tokens").alias("covered"), F.lit(True).alias("exact"))
 
 
 def found_items(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) -> DataFrame:
     """doc, row, item_id, covered, exact: the items found in each document (doc and row identify it); docs has doc, row, text."""
-    known = small_or_not(benchmark_windows(benchmark), 40)
+    items = benchmark_items(benchmark)
+    known = small_or_not(benchmark_windows(items), 40)
     windows = docs.select("doc", "row", F.posexplode(window_hashes(tokens(F.col("text")))).alias("dpos", "h"))
-    hits = windows.join(known, "h").select("doc", "row", "item_id", "n_tokens", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
-    places = hits.groupBy("doc", "row", "item_id", "shift").agg(F.array_sort(F.collect_set("ipos")).alias("at"), F.first("n_tokens").alias("n_tokens"))
-    covered = F.aggregate(F.zip_with("at", tail(F.col("at"), 1), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda s, x: s + x)
-    places = written(places.withColumn("covered", covered).filter(F.col("covered") >= F.least(F.lit(min_tokens), F.col("n_tokens"))), "places")
+    hits = windows.join(known, "h").select("doc", "row", "item_id", F.least(F.lit(min_tokens), F.col("coverable")).alias("needed"), "ipos", "other", (F.col("dpos") - F.col("ipos")).alias("shift"))
+    places = hits.groupBy("doc", "row", "item_id", "shift").agg(F.array_sort(F.collect_set("ipos")).alias("at"), F.first("needed").alias("needed"), F.max("other").alias("other"))
+    places = written(places.filter(covered_by(F.col("at")) >= F.col("needed")), "places")
 
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item"))
     texts = docs.join(places.select("doc", "row").distinct().hint("merge"), ["doc", "row"], "left_semi").select("doc", "row", tokens(F.col("text")).alias("tokens"))
-    both = places.join(texts, ["doc", "row"]).join(items, "item_id")
+    both = places.join(texts, ["doc", "row"]).join(items.select("item_id", "item"), "item_id")
+    # The first word's other form stands for any name or unit: its window counts if the word is the same.
+    changed = F.col("other") & ~plain(F.get("item", F.lit(0))).eqNullSafe(plain(F.get("tokens", F.col("shift"))))
+    both = both.withColumn("at", F.when(changed, F.filter("at", lambda p: p > 0)).otherwise(F.col("at"))).withColumn("covered", covered_by(F.col("at"))).filter("covered >= needed")
     # Tokens under the covered windows, side by side; words are equal there, so values that differ fill slots.
     spots = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    plain = lambda t: F.lower(F.replace(t, F.lit(NAME), F.lit("")))
     both = both.withColumn("spots", spots).withColumn("values", F.transform("spots", lambda p: F.struct(plain(F.col("item")[p]).alias("item"), plain(F.col("tokens")[p + F.col("shift")]).alias("doc"))))
     pairs = F.array_distinct("values")
     consistent = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda v: v["item"])))
     exact = ~F.exists("values", lambda v: v["item"] != v["doc"])
-    return both.filter(consistent).groupBy("doc", "row", "item_id").agg(F.max("covered").alias("covered"), F.max(exact).alias("exact"))
+    found = both.filter(consistent).select("doc", "row", "item_id", "covered", exact.alias("exact")).unionByName(whole_items(docs, items))
+    return found.groupBy("doc", "row", "item_id").agg(F.max("covered").alias("covered"), F.max("exact").alias("exact"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

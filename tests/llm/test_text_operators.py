@@ -281,3 +281,25 @@ def test_decontamination_odd(spark, docs, wide, empty, corpus):
     assert decontaminate.decontaminate(empty, items).count() == 0
     none = items.limit(0)
     assert decontaminate.decontaminate(docs, none).filter("contaminated").count() == 0
+
+
+SHORT = [
+    (1, "What is the boiling point of 12 34 56"),  # windows at the end have too few words
+    (2, "Which planet of the system is largest by mass"),  # its first word is a name inside a text
+    (3, "Name the largest ocean"),  # shorter than a window
+    (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19"),  # no words at all
+    (5, "Meters are what we count on this long road"),  # its first word is a unit after a number
+]
+
+
+def test_short_items_are_found_when_copied(spark):
+    items = spark.createDataFrame(SHORT, "item_id long, text string")
+    texts = [f"some words, {t} and more" for _, t in SHORT] + [f"Question: {t}" for _, t in SHORT] + [f"{t}" for _, t in SHORT] + [f"of 7 {SHORT[4][1]}"]
+    other = [
+        "Question: Whose planet of the system is largest by mass",  # another first word
+        "name the largest sea and then the ocean", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 20", "name the largest", "what is the boiling point",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts + other)), "doc_id long, text string")
+    out = {r.doc_id: (list(r["items"]), r.exact) for r in decontaminate.decontaminate(rows, items).collect()}
+    assert [out[i] for i in range(len(texts))] == [([k], True) for k in (1, 2, 3, 4, 5) * 3] + [([5], True)]
+    assert [out[len(texts) + i] for i in range(len(other))] == [([], False)] * len(other)

@@ -6,13 +6,14 @@ non-empty bin of a random order of its own (the same for all documents), so each
 probability their Jaccard similarity. BANDS bands of ROWS values give a document's buckets: at 0.8 a pair shares none with
 probability (1 - 0.8**6)**48, under one in a million.
 
-Documents with equal sets are one node. In a bucket only pairs with the bucket's centre are candidates (the member that shares
+Documents with equal sets are one node, known by a number of its own, whatever doc_ids its rows have. In a bucket only pairs with the bucket's centre are candidates (the member that shares
 most buckets with others), so their count stays below the number of bucket rows, however large a group of copies is. Candidates
 are confirmed on their full sets, and links give components. Members of a bucket that are in different components after that
 are compared too, in blocks (see _rest), so the star loses no link that components depend on.
 
-Rows that repeat are copies of each other; rows that share a doc_id but not the text are judged each by its text. A null doc_id
-counts as the smallest, and the component it leads has the id null.
+Rows that repeat are copies of each other; rows that share a doc_id (or have none) but not the text are judged each by its text.
+Of a component the row with the smallest doc_id is kept, of several with that doc_id the one with the smallest hash of the text.
+A null doc_id counts as the smallest, and the component it leads has the id null.
 """
 
 from __future__ import annotations
@@ -119,18 +120,24 @@ def _confirm(percent: int):
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, row (hash of the text), n_shingles, digest of the set, bands (empty for an empty set); written."""
-    return written(docs.select("doc_id", F.hash("text").alias("row"), "text").mapInArrow(_signatures(n), "doc_id long, row int, n_shingles long, digest binary, bands array<long>"), "signatures")
+    return written(docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(_signatures(n), "doc_id long, row long, n_shingles long, digest binary, bands array<long>"), "signatures")
 
 
-def similar_components(docs: DataFrame, sig: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, component) of the nodes that have a link; nodes: the smallest doc_id of each set."""
-    nodes = sig.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+def set_nodes(sig: DataFrame) -> DataFrame:
+    """node (a number of its own), digest, doc and row (the smallest of the set's rows), n, bands of each distinct set; written, which fixes the numbers."""
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "row")).alias("least")
+    nodes = sig.filter("n_shingles > 0").groupBy("digest").agg(least, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    return written(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.doc", "least.row", "n", "bands"), "nodes")
+
+
+def similar_components(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of the nodes that have a link."""
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared").hint("merge")  # tables of their own: Spark can split a join at a frequent key
     members = written(rows.join(shared, "bucket"), "buckets")
     degree = members.groupBy("node").agg(F.sum("members").alias("degree"))
     members = written(members.join(degree, "node").select("bucket", "node", "n", "degree"), "members")
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text")
+    texts = Texts(docs, nodes)
 
     tested, links, used = None, None, None
     centre = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("c_n"))
@@ -142,7 +149,21 @@ def similar_components(docs: DataFrame, sig: DataFrame, n: int, percent: int) ->
     return label if more.isEmpty() else components(links.union(more))
 
 
-def _rest(members: DataFrame, label: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+class Texts:
+    """The sets of nodes, made from the text of one row each."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame):
+        self.texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("row"), "text")
+        self.nodes = nodes.select("node", "doc", "row")
+
+    def sets(self, needed: DataFrame, n: int) -> DataFrame:
+        """(node, set) of the nodes in needed (node, distinct); written."""
+        places = written(self.nodes.join(needed, "node"), "needed").hint("merge")
+        one = self.texts.join(places, ["doc", "row"]).dropDuplicates(["doc", "row"])
+        return written(one.select("node", "text").mapInArrow(_sets(n), "node long, set binary"), "sets")
+
+
+def _rest(members: DataFrame, label: DataFrame, texts: Texts, n: int, percent: int) -> DataFrame:
     """Links between members of a bucket that are in different components so far.
 
     A bucket's family is its most frequent component; a pair of different components has an end outside of it. So the members of
@@ -155,7 +176,7 @@ def _rest(members: DataFrame, label: DataFrame, texts: DataFrame, n: int, percen
     kin = written(rows.join(mixed.select("bucket", F.col("top.component").alias("family")), "bucket").select("family", "node", "component").distinct(), "kin")
     # A family in which no set but the centre's is outside has been compared already in the star; it is harmless to do so again.
     blocks = kin.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("k"))
-    sets = written(texts.join(kin.select("node").distinct().hint("merge"), "node", "left_semi").mapInArrow(_sets(n), "node long, set binary"), "sets")
+    sets = texts.sets(kin.select("node").distinct(), n)
     placed = kin.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "component")
     return placed.join(sets, "node").groupBy("family", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct()
@@ -182,10 +203,10 @@ def _compare(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: Texts, n: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(texts.join(needed.hint("merge"), "node", "left_semi").mapInArrow(_sets(n), "node long, set binary"), "sets")
+    sets = texts.sets(needed, n)
     x, y = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
     return pairs.join(x, "a").join(y, "b").mapInArrow(_confirm(percent), "a long, b long").distinct()
 
@@ -193,13 +214,15 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: doc_id, row (hash of the text), n_shingles, component_id, kept."""
     sig = signatures(docs, n)
-    label = similar_components(docs, sig, n, percent)
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    node = sig.filter("n_shingles > 0").groupBy("digest").agg(F.min(key).alias("node"))
-    of_set = node.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    rows = sig.select("doc_id", "row", "n_shingles", "digest").join(of_set, "digest", "left")
-    found = F.coalesce("component", key)
-    return rows.select("doc_id", "row", "n_shingles", F.when(found != NO_ID, found).alias("component_id"), (found == key).alias("kept"))
+    nodes = set_nodes(sig)
+    label = written(similar_components(docs, nodes, n, percent), "labels")
+    place = nodes.select("node", "doc", "row")
+    first = label.join(place, "node").groupBy("component").agg(F.min(F.struct("doc", "row")).alias("first"))
+    of_node = written(label.join(written(first, "firsts").hint("merge"), "component").select("node", "first"), "of-nodes")
+    of_set = nodes.select("digest", "node", "doc", "row").join(of_node, "node", "left").select("digest", F.coalesce("first", F.struct("doc", "row")).alias("first"))
+    own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "row")
+    rows = sig.select("doc_id", "row", "n_shingles", "digest").join(of_set, "digest", "left").withColumns({"own": own, "first": F.coalesce("first", own)})
+    return rows.select("doc_id", "row", "n_shingles", F.when(F.col("first.doc") != NO_ID, F.col("first.doc")).alias("component_id"), (F.col("first") == F.col("own")).alias("kept"))
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:

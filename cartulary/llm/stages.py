@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): that with the smallest doc_id."""
     kept = near_duplicates(docs, n=5).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc"), F.col("row").alias("__row")).distinct()
-    rows = _keyed(docs).join(written(kept, "kept").hint("merge"), _KEY, "left_semi")
+    rows = _keyed(docs).withColumn("__row", F.xxhash64("text")).join(written(kept, "kept").hint("merge"), _KEY, "left_semi")
     first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*_KEY).orderBy(*_KEY)))
     return first.filter("__n = 1").drop("__n", *_KEY)
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cartulary.llm import decontaminate, host_rules, line_dedup, minhash, substring_dedup
+from cartulary.llm import decontaminate, host_rules, line_dedup, minhash, stages, substring_dedup
 from cartulary.llm.words import Words, kgrams
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,6 +138,28 @@ def test_near_duplicates_of_a_large_family(spark, monkeypatch):
     assert sorted_rows(minhash.near_duplicates(docs, 2), "doc_id", "n_shingles", "component_id", "kept") == brute_groups(corpus, 2)
 
 
+def test_near_duplicates_without_or_with_shared_ids(spark, tmp_path):
+    """Null ids: one of each group is kept. A shared id: one text's group says nothing of the other's."""
+    rng = np.random.default_rng(4)
+    base = [[f"{k}x{i}" for i in range(200)] for k in range(4)]
+    near = lambda k: " ".join([*base[k][: (at := int(rng.integers(10, 200)))], "edit", *base[k][at + 1 :]])
+    groups = {}
+    rows = [(None, near(0)) for _ in range(6)] + [(None, near(1)) for _ in range(6)] + [(9, near(1)), (None, " ".join(base[3])), (None, " ".join(base[3]))]
+    rows += [(3, near(2)), (5, near(2)), (5, "unlike all of the other texts " * 9), (6, near(2)), (7, "One two"), (7, "one two")]
+    for d, t in rows:
+        groups.setdefault(t.split(" ")[3][0] if len(t) > 10 else "one", []).append((d, t))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert stages.near_duplicate(spark, docs, str(tmp_path)).count() == len(groups)
+    hashed = {r.row: r.text for r in docs.select(F.xxhash64("text").alias("row"), "text").collect()}
+    out = [(r.doc_id, hashed[r.row], r.component_id, r.kept) for r in minhash.near_duplicates(docs, 2).collect()]
+    assert len(out) == len(rows)
+    for members in groups.values():
+        found = [x for x in out if x[:2] in members]
+        assert len({x[:2] for x in found if x[3]}) == 1  # rows that repeat count as one
+        ids = [d for d, _ in members]
+        assert {x[2] for x in found} == {None if None in ids else min(ids)} == {x[0] for x in found if x[3]}
+
+
 def test_signatures_estimate_the_similarity():
     rng, orders = np.random.default_rng(1), minhash._orders()
     for n in (5, 40, 2000):

@@ -85,13 +85,11 @@ def undirected(edge_rows: DataFrame) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df without its lineage: in the checkpoint folder if there is one, else in the session's cache."""
+    """df without its lineage: in the checkpoint folder if there is one, else kept by the session's executors."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
-        out = df.persist()
-        out.count()
-        return out
+        return df.localCheckpoint()
     path = f"{shared}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -112,16 +110,17 @@ def neighbours(edge_rows: DataFrame, start: str, depth: int = 1) -> DataFrame:
     return seen.filter("distance > 0")
 
 
-def shortest_path(edge_rows: DataFrame, source: str, target: str, max_depth: int = 64) -> list[str] | None:
-    """Edge ids of a shortest undirected path (the least ones), [] if source is target, None if there is none."""
+def shortest_path(edge_rows: DataFrame, source: str, target: str, max_depth: int | None = None) -> list[str] | None:
+    """Edge ids of a shortest undirected path (the least ones), [] if source is target, None if there is none (or none of max_depth edges, if given)."""
     if source == target:
         return []
     both = undirected(edge_rows)
-    seen = edge_rows.sparkSession.createDataFrame([(source, None, None)], "id string, before string, edge_id string")
-    frontier, levels = seen, []
-    for _ in range(max_depth):
+    frontier = edge_rows.sparkSession.createDataFrame([(source, None, None)], "id string, before string, edge_id string")
+    seen, levels = frontier, []
+    while max_depth is None or len(levels) < max_depth:
         step = frontier.select(F.col("id").alias("a")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("id", "a")).alias("via"))
-        frontier = _kept(step.select(F.col("node").alias("id"), F.col("via.a").alias("before"), F.col("via.id").alias("edge_id")).join(seen, "id", "left_anti"))
+        # Edges go both ways, so a neighbour that has been seen is on this level or the one before.
+        last, frontier = frontier, _kept(step.select(F.col("node").alias("id"), F.col("via.a").alias("before"), F.col("via.id").alias("edge_id")).join(seen, "id", "left_anti"))
         levels.append(frontier)
         if not frontier.filter(F.col("id") == target).isEmpty():
             path, at = [], target
@@ -132,7 +131,7 @@ def shortest_path(edge_rows: DataFrame, source: str, target: str, max_depth: int
             return path[::-1]
         if frontier.isEmpty():
             return None
-        seen = seen.union(frontier)
+        seen = last.union(frontier)
     return None
 
 

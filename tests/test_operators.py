@@ -186,6 +186,14 @@ def test_graph(tables):
     assert '"totalNodes": 7' in graph.to_json(n, e)
 
 
+def test_long_paths(spark):
+    rows = [(f"n{i:03d}", f"n{i + 1:03d}", f"e{i:03d}") for i in range(70)] + [("n000", "n000", "loop"), ("n002", "n000", "f"), ("other", "n999", "g")]
+    e = spark.createDataFrame(rows, "source string, target string, id string")
+    assert graph.shortest_path(e, "n000", "n070") == ["f", *(f"e{i:03d}" for i in range(2, 70))]
+    assert graph.shortest_path(e, "other", "n070") is None
+    assert graph.shortest_path(e, "n000", "n004", max_depth=2) is None
+
+
 def test_types_take_the_place_of_classes(spark, tables):
     both = tables | {"types": frame(spark, "types", [{"id": "src/auth.ts:Session", "name": "Session", "kind": "type", "file_id": "src/auth.ts"}])}
     assert {r.id: r.type for r in graph.nodes(both).collect()}["src/auth.ts:Session"] == "type"

@@ -14,7 +14,7 @@ Items without any such window (fewer than WINDOW tokens, or few words) are looke
 their lower-cased tokens; documents are hashed at the lengths that such items have. An item of fewer than EXACT_MIN tokens isn't
 looked for.
 
-The benchmark's windows are counted: up to shared.BROADCAST_BYTES they are broadcast, beyond that the join shuffles. Null and
+Items are told apart by id and text, so items without an id, or with the same, are looked for too. The benchmark's windows are counted: up to shared.BROADCAST_BYTES they are broadcast, beyond that the join shuffles. Null and
 empty texts are clean; rows that share a doc_id are judged each by its text; a null doc_id keeps its row.
 """
 
@@ -85,16 +85,16 @@ def covered_by(at: Column) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """item_id, item (its tokens), n_tokens, good: positions of the windows with enough words; written."""
-    items = benchmark.filter("item_id is not null").select("item_id", tokens(F.col("text")).alias("item"))
+    """key (item_id with NO_ID for null, hash of the text), item (its tokens), n_tokens, good: positions of the windows with enough words; written."""
+    items = benchmark.select(F.struct(F.coalesce("item_id", F.lit(NO_ID)).alias("item_id"), F.xxhash64("text").alias("hash")).alias("key"), tokens(F.col("text")).alias("item"))
     literals = lambda t, p: F.size(F.filter(F.slice(t, p + 1, WINDOW), lambda x: ~x.isin("#", "%", NAME)))
     starts = F.when(F.size("item") >= WINDOW, F.sequence(F.lit(0), F.size("item") - WINDOW)).otherwise(F.array().cast("array<int>"))
     good = let(template(F.col("item")), lambda t: F.filter(starts, lambda p: literals(t, p) >= MIN_LITERALS))
-    return written(items.select("item_id", "item", F.size("item").alias("n_tokens"), good.alias("good")), "benchmark-items")
+    return written(items.select("key", "item", F.size("item").alias("n_tokens"), good.alias("good")), "benchmark-items")
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, ipos, h, coverable, other (the first word in a form that it may have inside a text); written.
+    """key, ipos, h, coverable, other (the first word in a form that it may have inside a text); written.
 
     coverable: the tokens under all windows of the item that have enough words."""
     first = F.slice("item", 1, WINDOW)
@@ -103,40 +103,40 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     entry = lambda p, h, other: F.struct(p.alias("ipos"), h.alias("h"), F.lit(other).alias("other"))
     own = let(window_hashes(F.col("item")), lambda h: F.transform("good", lambda p: entry(p, h[p], False)))
     others = F.filter(F.transform(F.array(name, unit), lambda h: entry(F.lit(0), h, True)), lambda e: e["h"].isNotNull() & (e["h"] != F.get(own, F.lit(0))["h"]))
-    rows = items.filter(F.size("good") > 0).select("item_id", covered_by(F.col("good")).alias("coverable"), F.inline(F.concat(own, F.when(F.get("good", F.lit(0)) == 0, others).otherwise(F.array().cast("array<struct<ipos:int,h:bigint,other:boolean>>")))))
+    rows = items.filter(F.size("good") > 0).select("key", covered_by(F.col("good")).alias("coverable"), F.inline(F.concat(own, F.when(F.get("good", F.lit(0)) == 0, others).otherwise(F.array().cast("array<struct<ipos:int,h:bigint,other:boolean>>")))))
     return written(rows, "benchmark-windows")
 
 
 def whole_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc, row, item_id, covered, exact: items without windows that stand word for word in a document."""
+    """doc, row, key, covered, exact: items without windows that stand word for word in a document."""
     words = lambda c: F.transform(c, plain)
-    short = items.filter((F.size("good") == 0) & (F.col("n_tokens") >= EXACT_MIN)).select("item_id", "n_tokens", words(F.col("item")).alias("item"), F.least("n_tokens", F.lit(EXACT_HASHED)).alias("hashed"))
+    short = items.filter((F.size("good") == 0) & (F.col("n_tokens") >= EXACT_MIN)).select("key", "n_tokens", words(F.col("item")).alias("item"), F.least("n_tokens", F.lit(EXACT_HASHED)).alias("hashed"))
     lengths = sorted(r.hashed for r in short.select("hashed").distinct().collect())
     if not lengths:
-        return short.limit(0).crossJoin(docs.select("doc", "row").limit(0)).select("doc", "row", "item_id", F.col("n_tokens").alias("covered"), F.lit(True).alias("exact"))
+        return short.limit(0).crossJoin(docs.select("doc", "row").limit(0)).select("doc", "row", "key", F.col("n_tokens").alias("covered"), F.lit(True).alias("exact"))
     runs = lambda h, n: F.transform(run_hashes(h, n), lambda x, i: F.struct(F.lit(n).alias("hashed"), i.alias("pos"), x.alias("h")))
     all_runs = lambda toks: let(F.transform(toks, lambda t: F.xxhash64(plain(t))), lambda h: F.flatten(F.array(*(runs(h, n) for n in lengths))))
-    known = short.select("item_id", "hashed", F.filter(all_runs(F.col("item")), lambda r: (r["pos"] == 0) & (r["hashed"] == F.col("hashed")))[0]["h"].alias("h"))
-    known = small_or_not(written(known, "benchmark-whole"), 40)
+    known = short.select("key", "hashed", F.filter(all_runs(F.col("item")), lambda r: (r["pos"] == 0) & (r["hashed"] == F.col("hashed")))[0]["h"].alias("h"))
+    known = small_or_not(written(known, "benchmark-whole"), 64)
     places = docs.select("doc", "row", F.inline(all_runs(tokens(F.col("text"))))).join(known, ["hashed", "h"])
-    places = written(places.groupBy("doc", "row", "item_id").agg(F.collect_set("pos").alias("at")), "whole-places")
+    places = written(places.groupBy("doc", "row", "key").agg(F.collect_set("pos").alias("at")), "whole-places")
     texts = docs.join(places.select("doc", "row").distinct().hint("merge"), ["doc", "row"], "left_semi").select("doc", "row", words(tokens(F.col("text"))).alias("tokens"))
-    both = places.join(texts, ["doc", "row"]).join(short, "item_id")
+    both = places.join(texts, ["doc", "row"]).join(short, "key")
     same = F.exists("at", lambda p: F.slice("tokens", p + 1, F.col("n_tokens")) == F.col("item"))
-    return both.filter(same).select("doc", "row", "item_id", F.col("n_tokens").alias("covered"), F.lit(True).alias("exact"))
+    return both.filter(same).select("doc", "row", "key", F.col("n_tokens").alias("covered"), F.lit(True).alias("exact"))
 
 
 def found_items(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) -> DataFrame:
-    """doc, row, item_id, covered, exact: the items found in each document (doc and row identify it); docs has doc, row, text."""
+    """doc, row, item_id (null if it has none), covered, exact: the items found in each document (doc and row identify it); docs has doc, row, text."""
     items = benchmark_items(benchmark)
-    known = small_or_not(benchmark_windows(items), 40)
+    known = small_or_not(benchmark_windows(items), 64)
     windows = docs.select("doc", "row", F.posexplode(window_hashes(tokens(F.col("text")))).alias("dpos", "h"))
-    hits = windows.join(known, "h").select("doc", "row", "item_id", F.least(F.lit(min_tokens), F.col("coverable")).alias("needed"), "ipos", "other", (F.col("dpos") - F.col("ipos")).alias("shift"))
-    places = hits.groupBy("doc", "row", "item_id", "shift").agg(F.array_sort(F.collect_set("ipos")).alias("at"), F.first("needed").alias("needed"), F.max("other").alias("other"))
+    hits = windows.join(known, "h").select("doc", "row", "key", F.least(F.lit(min_tokens), F.col("coverable")).alias("needed"), "ipos", "other", (F.col("dpos") - F.col("ipos")).alias("shift"))
+    places = hits.groupBy("doc", "row", "key", "shift").agg(F.array_sort(F.collect_set("ipos")).alias("at"), F.first("needed").alias("needed"), F.max("other").alias("other"))
     places = written(places.filter(covered_by(F.col("at")) >= F.col("needed")), "places")
 
     texts = docs.join(places.select("doc", "row").distinct().hint("merge"), ["doc", "row"], "left_semi").select("doc", "row", tokens(F.col("text")).alias("tokens"))
-    both = places.join(texts, ["doc", "row"]).join(items.select("item_id", "item"), "item_id")
+    both = places.join(texts, ["doc", "row"]).join(items.select("key", "item"), "key")
     # The first word's other form stands for any name or unit: its window counts if the word is the same.
     changed = F.col("other") & ~plain(F.get("item", F.lit(0))).eqNullSafe(plain(F.get("tokens", F.col("shift"))))
     both = both.withColumn("at", F.when(changed, F.filter("at", lambda p: p > 0)).otherwise(F.col("at"))).withColumn("covered", covered_by(F.col("at"))).filter("covered >= needed")
@@ -146,8 +146,9 @@ def found_items(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) ->
     pairs = F.array_distinct("values")
     consistent = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda v: v["item"])))
     exact = ~F.exists("values", lambda v: v["item"] != v["doc"])
-    found = both.filter(consistent).select("doc", "row", "item_id", "covered", exact.alias("exact")).unionByName(whole_items(docs, items))
-    return found.groupBy("doc", "row", "item_id").agg(F.max("covered").alias("covered"), F.max("exact").alias("exact"))
+    found = both.filter(consistent).select("doc", "row", "key", "covered", exact.alias("exact")).unionByName(whole_items(docs, items))
+    found = found.groupBy("doc", "row", "key").agg(F.max("covered").alias("covered"), F.max("exact").alias("exact"))
+    return found.select("doc", "row", F.when(F.col("key.item_id") != NO_ID, F.col("key.item_id")).alias("item_id"), "covered", "exact")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) -> DataFrame:
-    """A row per document: doc_id, contaminated, items (sorted ids of the items found), exact (one of them was found word for word)."""
+    """A row per document: doc_id, contaminated, items (sorted ids of the items found; one without an id only makes contaminated true), exact (one of them was found word for word)."""
     docs = keyed(docs.select("doc_id", "text"))
     found = found_items(docs, benchmark, min_tokens).groupBy("doc", "row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("exact").alias("exact"))
     rows = docs.select("doc_id", "doc", "row").join(written(found, "found").hint("merge"), ["doc", "row"], "left")

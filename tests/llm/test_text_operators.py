@@ -325,3 +325,12 @@ def test_short_items_are_found_when_copied(spark):
     out = {r.doc_id: (list(r["items"]), r.exact) for r in decontaminate.decontaminate(rows, items).collect()}
     assert [out[i] for i in range(len(texts))] == [([k], True) for k in (1, 2, 3, 4, 5) * 3] + [([5], True)]
     assert [out[len(texts) + i] for i in range(len(other))] == [([], False)] * len(other)
+
+
+def test_items_without_an_id_or_with_a_shared_one(spark):
+    texts = [(None, "nobody gave this passage any number but it has plenty of words"), (None, "two words only differ"), (8, "the first of two passages that go by one and the same number"), (8, "quite another passage under that number with other words in it")]
+    items = spark.createDataFrame(texts, "item_id long, text string")
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)] + [(4, "clean")], "doc_id long, text string")
+    out = {r.doc_id: (r.contaminated, list(r["items"]), r.exact) for r in decontaminate.decontaminate(rows, items).collect()}
+    assert out == {0: (True, [], True), 1: (True, [], True), 2: (True, [8], True), 3: (True, [8], True), 4: (False, [], False)}
+    assert [r.doc_id for r in decontaminate.clean(rows, items).collect()] == [4]

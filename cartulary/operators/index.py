@@ -14,9 +14,8 @@ from cartulary.operators.embedding import Model, embed, entity_texts
 from cartulary.operators.parsing import Parser
 
 
-def _apply(target: store.Store, sources: DataFrame, gone: DataFrame, registry: dict[str, Parser] | None, model: Model | None) -> DataFrame:
-    """Replaces what the store has of the sources' files, and deletes those in gone (id). Returns (path, error) of files that couldn't be parsed."""
-    spark = sources.sparkSession
+def _apply(target: store.Store, sources: DataFrame, gone: DataFrame, registry: dict[str, Parser] | None, model: Model | None) -> int:
+    """Replaces what the store has of the sources' files, and deletes those in gone (id). Returns how many files couldn't be parsed."""
     sources = sources.persist()
     parsed = parsing.parse_sources(sources, registry).persist()
     found = parsing.entities(parsed)
@@ -31,7 +30,7 @@ def _apply(target: store.Store, sources: DataFrame, gone: DataFrame, registry: d
     if model is not None:
         changed["embeddings"] = kept["embeddings"].unionByName(embed(entity_texts(found["functions"], found["classes"]), model))
     target.write(changed)
-    errors = spark.createDataFrame(parsed.filter("error is not null").select("path", "error").limit(1000).collect(), "path string, error string")
+    errors = parsed.filter("error is not null").count()
     parsed.unpersist()
     sources.unpersist()
     return errors
@@ -52,7 +51,7 @@ def index(target: store.Store, sources: DataFrame, purge: bool = True, force: bo
         counts.pop("deleted", None)
     errors = 0
     if any(counts.get(k) for k in ("new", "changed", "deleted")) or force:
-        errors = _apply(target, sources.join(wanted, "path", "left_semi").select("path", "content"), gone, registry, model).count()
+        errors = _apply(target, sources.join(wanted, "path", "left_semi").select("path", "content"), gone, registry, model)
     changes.unpersist()
     return counts | {"errors": errors}
 

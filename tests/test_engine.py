@@ -65,6 +65,11 @@ def test_index_is_incremental(spark, repo, tmp_path):
     assert kinds == ["extends", "implements", "implements", "imports"]  # a forward import resolves
 
 
+def test_all_errors_are_counted(spark, tmp_path):
+    sources = spark.range(1100).selectExpr("concat('src/f', id, '.ts') AS path", "'x' AS content")
+    assert index.index(Store(spark, str(tmp_path / "i")), sources, registry={".py": None}) == {"new": 1100, "errors": 1100}
+
+
 def test_context(engine):
     c = engine.get_context("How does authentication work?")
     assert c.intent == "Understanding how something works" and "Session.refresh" in c.entities  # session is a synonym

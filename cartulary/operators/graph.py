@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.constants import NODE_COLOURS, NODE_RADII, OTHER_COLOUR, OTHER_RADIUS
 from cartulary.functions.text import round2
+from cartulary.scratch import scratch, written
 
 #: Order of node kinds; where ids coincide the later kind counts.
 KINDS = ("file", "function", "class", "type")
@@ -84,17 +84,6 @@ def undirected(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.select(F.col("source").alias("a"), F.col("target").alias("b"), "id").union(edge_rows.select("target", "source", "id"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df without its lineage: in the checkpoint folder if there is one, else kept by the session's executors."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        return df.localCheckpoint()
-    path = f"{shared}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def neighbours(edge_rows: DataFrame, start: str, depth: int = 1) -> DataFrame:
     """(id, distance, edge_id) of the nodes within depth edges of start, itself excluded; edge_id: the least edge that leads there from the round before."""
     both = undirected(edge_rows)
@@ -103,7 +92,7 @@ def neighbours(edge_rows: DataFrame, start: str, depth: int = 1) -> DataFrame:
     frontier = seen
     for d in range(1, depth + 1):
         step = frontier.select(F.col("id").alias("a")).join(both, "a").groupBy(F.col("b").alias("id")).agg(F.min("id").alias("edge_id"))
-        frontier = _kept(step.join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"), "edge_id"))
+        frontier = written(step.join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"), "edge_id"), "ring", keep=True)
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
@@ -114,13 +103,20 @@ def shortest_path(edge_rows: DataFrame, source: str, target: str, max_depth: int
     """Edge ids of a shortest undirected path (the least ones), [] if source is target, None if there is none (or none of max_depth edges, if given)."""
     if source == target:
         return []
+    with scratch():
+        return _search(edge_rows, source, target, max_depth)
+
+
+def _search(edge_rows: DataFrame, source: str, target: str, max_depth: int | None) -> list[str] | None:
+    """Breadth first from source, a written table for each level; then back from target through the levels."""
     both = undirected(edge_rows)
     frontier = edge_rows.sparkSession.createDataFrame([(source, None, None)], "id string, before string, edge_id string")
     seen, levels = frontier, []
     while max_depth is None or len(levels) < max_depth:
         step = frontier.select(F.col("id").alias("a")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("id", "a")).alias("via"))
         # Edges go both ways, so a neighbour that has been seen is on this level or the one before.
-        last, frontier = frontier, _kept(step.select(F.col("node").alias("id"), F.col("via.a").alias("before"), F.col("via.id").alias("edge_id")).join(seen, "id", "left_anti"))
+        level = step.select(F.col("node").alias("id"), F.col("via.a").alias("before"), F.col("via.id").alias("edge_id"))
+        last, frontier = frontier, written(level.join(seen, "id", "left_anti"), "level")
         levels.append(frontier)
         if not frontier.filter(F.col("id") == target).isEmpty():
             path, at = [], target
@@ -141,21 +137,26 @@ def components(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     Each round a node takes the least label of itself, its neighbours and its label's label (pointer jumping), so chains need a
     number of rounds that grows with their length's logarithm, not with the length.
     """
-    both = _kept(undirected(edge_rows).select("a", "b").filter("a <> b").distinct())
-    labels = _kept(node_rows.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        of = lambda k, v: labels.select(F.col("id").alias(k), F.col("component").alias(v))  # noqa: B023, E731
-        near = both.join(of("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("near"))
-        step = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("least"))
-        # A label's own label may be less already; and what a node has learned holds for its label too.
-        hooks = step.filter("least < component").groupBy(F.col("component").alias("id")).agg(F.min("least").alias("hook"))
-        hooked = step.join(hooks, "id", "left").select("id", "component", F.least("least", F.coalesce("hook", "least")).alias("least"))
-        jump = hooked.select(F.col("id").alias("least"), F.col("least").alias("jump"))
-        after = _kept(hooked.join(jump, "least", "left").select("id", "component", F.least("least", F.coalesce("jump", "least")).alias("new")))
+    both = written(undirected(edge_rows).select("a", "b").filter("a <> b").distinct(), "both-ways", keep=True)
+    labels, changed = written(node_rows.select("id", F.col("id").alias("component")).distinct(), "labels", keep=True), True
+    while changed:
+        with scratch():
+            after = written(_round(both, labels), "labels", keep=True)
         changed = not after.filter("new <> component").isEmpty()
         labels = after.select("id", F.col("new").alias("component"))
-        if not changed:
-            return labels
+    return labels
+
+
+def _round(both: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels with `new`, the label after one round."""
+    of = lambda k, v: labels.select(F.col("id").alias(k), F.col("component").alias(v))
+    near = both.join(of("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("near"))
+    step = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("least"))
+    # A label's own label may be less already; and what a node has learned holds for its label too.
+    hooks = step.filter("least < component").groupBy(F.col("component").alias("id")).agg(F.min("least").alias("hook"))
+    hooked = step.join(hooks, "id", "left").select("id", "component", F.least("least", F.coalesce("hook", "least")).alias("least"))
+    jump = hooked.select(F.col("id").alias("least"), F.col("least").alias("jump"))
+    return hooked.join(jump, "least", "left").select("id", "component", F.least("least", F.coalesce("jump", "least")).alias("new"))
 
 
 def clusters(node_rows: DataFrame, edge_rows: DataFrame, min_size: int = 3) -> DataFrame:

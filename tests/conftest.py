@@ -1,8 +1,12 @@
 import os
 import sys
 
+import hypothesis
 import pytest
 
+hypothesis.settings.register_profile("cartulary", deadline=None)  # a first call may be slow
+hypothesis.settings.load_profile("cartulary")
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"

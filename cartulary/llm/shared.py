@@ -1,15 +1,12 @@
-"""Places and joins that the operators have in common."""
+"""What the operators have in common."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary.scratch import new_path, scratch, shared_dir, written
+
 #: A side of a join is broadcast up to this many bytes of rows, counted before the join.
 BROADCAST_BYTES = 8 << 20
 
@@ -21,33 +18,14 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own if that is unset (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = getattr(shared_dir, "own", None)
-        if path is None:
-            path = shared_dir.own = tempfile.mkdtemp(prefix="cartulary-")
-            atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
+def doc_key(doc_id: str = "doc_id") -> Column:
+    """A doc_id as a join key."""
+    return F.coalesce(doc_id, F.lit(NO_ID))
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder; deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts its lineage, and survives the loss of executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_key(*columns: str) -> Column:
+    """What tells rows with one doc_id apart: 64 bits of hash of their text (or other columns)."""
+    return F.xxhash64(*(columns or ("text",)))
 
 
 def small_or_not(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -57,3 +35,6 @@ def small_or_not(df: DataFrame, row_bytes: int) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["BROADCAST_BYTES", "NO_ID", "WHITE", "WORD", "doc_key", "new_path", "row_key", "scratch", "shared_dir", "small_or_not", "table", "written"]

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_RUNS = 0xAEF17502108EF2D9
+_RUNS_INVERSE = pow(_RUNS, -1, 1 << 64)
 _KGRAM = np.uint64(0xD1342543DE82EF95)
 #: Texts are handled in groups of about so many bytes, which bounds the arrays' memory.
 CHUNK_BYTES = 2 << 20
@@ -74,10 +76,6 @@ class Words:
         else:
             self.hash = np.zeros(0, np.uint64)
 
-    def joined(self, a: int, b: int) -> bytes:
-        """Words a to b-1 with one space between."""
-        return b" ".join(self.data[self.start[a] : self.end[b - 1]].tobytes().split()) if b > a else b""
-
 
 def kgrams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive words, by the index of the first; also across texts, which the caller masks."""
@@ -91,6 +89,13 @@ def kgrams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def run_digests(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Digest of each run of words first to end-1, from one running sum; runs of other lengths have other digests."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power(_RUNS, len(h)), out=sums[1:])
+    return mix((sums[end] - sums[first]) * _power(_RUNS_INVERSE, len(h) + 1)[first] + (end - first).astype(np.uint64))
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in slices of about CHUNK_BYTES of text, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)

@@ -58,9 +58,21 @@ def brute_spans(corpus, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("rows", [substring_dedup.BLOCK_ROWS, 2])
-def test_substring_dedup(docs, corpus, monkeypatch, rows):
-    monkeypatch.setattr(substring_dedup, "BLOCK_ROWS", rows)  # 2: nearly all anchors take the way of frequent ones
+@pytest.mark.parametrize(("most", "words"), [(substring_dedup.ANCHOR_STRETCHES, substring_dedup.BLOCK_WORDS), (1, 40)])
+def test_substring_dedup(docs, corpus, monkeypatch, most, words):
+    monkeypatch.setattr(substring_dedup, "ANCHOR_STRETCHES", most)  # 1: all anchors with different stretches are anchored again, down to windows
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", words)
+    assert sorted_rows(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_text") == brute_spans(corpus, 35)
+
+
+def test_a_frequent_anchor_with_many_stretches(spark, monkeypatch):
+    """One shingle in all texts, in ever other surroundings, some of which are shared."""
+    monkeypatch.setattr(substring_dedup, "ANCHOR_STRETCHES", 20)
+    rng = np.random.default_rng(3)
+    fill = lambda n: [f"x{rng.integers(10**6)}" for _ in range(n)]
+    common, left, right = ["the", "very", "same", "eight", "words", "in", "each", "text"] * 2, [fill(30) for _ in range(12)], [fill(30) for _ in range(12)]
+    corpus = [(d, " ".join([*fill(5), *left[rng.integers(12)][int(rng.integers(25)) :], *common, *right[rng.integers(12)][: int(rng.integers(30))], *fill(5)])) for d in range(300)]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
     assert sorted_rows(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_text") == brute_spans(corpus, 35)
 
 
@@ -69,14 +81,45 @@ def test_substring_dedup_odd(empty, wide, corpus):
     assert sorted_rows(substring_dedup.substring_dedup(wide), "doc_id", "n_words", "n_removed", "kept_text") == brute_spans(corpus, 35)
 
 
-@settings(max_examples=60)
-@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=14), min_size=1, max_size=5))
+BLOCKS = st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=5)
+
+
+def flat(texts):
+    return np.array([x for t in texts for x in t], np.int64), np.cumsum([0, *map(len, texts)])
+
+
+def best_match(texts, t, i):
+    """Words that place i of text t has in common with its best other place."""
+    return max((next((k for k in range(len(texts[t]) - i + 1) if k == len(texts[t]) - i or k == len(x) - j or texts[t][i + k] != x[j + k]), 0) for u, x in enumerate(texts) for j in range(len(x)) if (u, j) != (t, i)), default=0)
+
+
+@settings(max_examples=80, deadline=None)
+@given(BLOCKS)
+def test_the_parse_takes_the_longest_factors(texts):
+    words, first = flat(texts)
+    match = substring_dedup.longest_matches(words, first)
+    assert match.tolist() == [best_match(texts, t, i) for t in range(len(texts)) for i in range(len(texts[t]))]
+    expected = []
+    for t, x in enumerate(texts):
+        i = 0
+        while i < len(x):
+            n = max(1, best_match(texts, t, i))
+            expected.append((int(first[t]) + i, n))
+            i += n
+    assert list(zip(*(x.tolist() for x in substring_dedup.factors(match, first)), strict=True)) == expected
+
+
+@settings(max_examples=80, deadline=None)
+@given(BLOCKS)
 def test_parse_finds_all_repeated_windows(texts):
     window = 4
     counts = Counter(tuple(t[i : i + window]) for t in texts for i in range(len(t) - window + 1))
-    for t, spans in zip(texts, substring_dedup.parse(texts, window), strict=True):
-        covered = {k for a, z in spans for k in range(a, z)}
-        assert covered == {i + k for i in range(len(t) - window + 1) if counts[tuple(t[i : i + window])] > 1 for k in range(window)}
+    found = defaultdict(set)
+    for t, lo, hi in zip(*(x.tolist() for x in substring_dedup.duplicate_runs(*flat(texts), window)), strict=True):
+        assert 0 <= lo < hi <= len(texts[t])
+        found[t] |= set(range(lo, hi))
+    for i, t in enumerate(texts):
+        assert found[i] == {k + j for k in range(len(t) - window + 1) if counts[tuple(t[k : k + window])] > 1 for j in range(window)}
 
 
 # --- op6

@@ -1,12 +1,15 @@
 """Benchmark decontamination by template canonicalisation, native (DataFrame functions only).
 
-A text becomes tokens (numbers, or words that start with a letter); a template token is the lower-cased token, or a placeholder: numbers, names
-(a capital after a lower-case letter or comma and a blank, so not where a sentence starts) and units (a word of UNITS after a
-number). Windows of WINDOW template tokens with at least MIN_LITERALS words are hashed and joined with those of the benchmark.
+A text becomes tokens (numbers, or words that start with a letter); a template token is the lower-cased token, or a placeholder:
+numbers (any decimal digits), names (a capital after a lower-case letter or comma and a blank, or a word with one capital in front
+that isn't one of STARTERS) and units (a word of UNITS after a number). Windows of WINDOW template tokens with at least
+MIN_LITERALS words are hashed and joined with those of the benchmark, which are looked for as they are and with names as words, for
+texts in small or capital letters.
 
-Hits of one document, item and alignment count together: an item is found if its windows there cover min_tokens tokens (or the
-whole item, if that is shorter) and its slots are consistent, that is, no placeholder value of the item stands for two values in
-the document. So literal copies are found, and questions asked again with other numbers or names.
+Items with the same template and the same equalities among their slots are one class, which is looked for once; its items come in
+when a class is found. Hits of one document, class and alignment count together: a class is found if its windows there cover
+min_tokens tokens (or the whole item, if that is shorter) and its slots are consistent, that is, no placeholder value of an item
+stands for two values in the document. So literal copies are found, and questions asked again with other numbers or names.
 
 The tokens that an item must have covered are counted over its windows with enough words, the others can't be found. The first
 word of an item is looked for as a word, and as the name or unit that it becomes inside a text; then it must be the same word.
@@ -14,8 +17,9 @@ Items without any such window (fewer than WINDOW tokens, or few words) are looke
 their lower-cased tokens; documents are hashed at the lengths that such items have. An item of fewer than EXACT_MIN tokens isn't
 looked for.
 
-Items are told apart by id and text, so items without an id, or with the same, are looked for too. The benchmark's windows are counted: up to shared.BROADCAST_BYTES they are broadcast, beyond that the join shuffles. Null and
-empty texts are clean; rows that share a doc_id are judged each by its text; a null doc_id keeps its row.
+Items are told apart by id and text, so items without an id, or with the same, are looked for too. The benchmark's windows are
+counted: up to shared.BROADCAST_BYTES they are broadcast, beyond that the join shuffles. Null and empty texts are clean; rows that
+share a doc_id are judged each by its text; a null doc_id keeps its row; an empty benchmark leaves all documents clean.
 """
 
 from __future__ import annotations
@@ -24,16 +28,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm.host_rules import let, tail
-from cartulary.llm.shared import NO_ID, small_or_not, table, written
+from cartulary.llm.shared import NO_ID, doc_key, row_key, scratch, small_or_not, table, written
 
 WINDOW = 8
 MIN_LITERALS = 5
 #: Items without windows: tokens that they have at least, and those that are hashed (the rest is compared).
 EXACT_MIN, EXACT_HASHED = 3, 16
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "s", "ms", "min", "h", "l", "ml", "j", "w", "kw", "v", "hz", "pa", "percent", "dollars", "euros", "cents", "miles", "feet", "inches", "pounds", "ounces", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "degrees", "meters", "metres", "kilometers", "liters", "litres", "grams", "kilograms")
+#: Words that often start a sentence and aren't names.
+STARTERS = (
+    "a", "about", "after", "all", "although", "an", "and", "another", "any", "are", "as", "at", "because", "before", "both", "but", "by", "calculate", "can", "choose", "compute", "consider", "could", "describe",
+    "determine", "did", "do", "does", "during", "each", "either", "estimate", "evaluate", "every", "explain", "find", "first", "for", "from", "given", "has", "have", "he", "her", "here", "his", "how", "however", "i",
+    "if", "in", "is", "it", "its", "let", "list", "many", "more", "most", "my", "name", "no", "not", "now", "of", "on", "once", "one", "or", "our", "over", "select", "she", "should", "show", "simplify", "since", "so",
+    "solve", "some", "state", "suppose", "that", "the", "their", "then", "there", "these", "they", "this", "those", "through", "to", "two", "under", "use", "using", "was", "we", "were", "what", "when", "where",
+    "whether", "which", "while", "who", "whom", "whose", "why", "will", "with", "without", "would", "write", "you", "your",
+)
 NAME = "\u0002"
-_NAMES = r"(?<=[\p{Ll},;:] )(?=\p{Lu})"
+_NAMES = r"(?<=[\p{Ll},;:] )(?=\p{Lu})|(?<![\p{L}\p{M}\p{Nd}])(?=\p{Lu}\p{Ll})(?!(?:" + "|".join(x.capitalize() for x in STARTERS) + r")(?![\p{L}\p{M}\p{Nd}]))"
 _TOKEN = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*|\u0002?\p{L}[\p{L}\p{M}\p{Nd}]*"
+#: The first decimal digit beyond ASCII; tokens below need no pattern to tell them from words.
+_FAR_DIGIT = "\u0660"
 
 
 def tokens(text: Column) -> Column:
@@ -43,7 +57,7 @@ def tokens(text: Column) -> Column:
 
 
 def _is_number(t: Column) -> Column:
-    return (t >= "0") & (t < ":")
+    return ((t >= "0") & (t < ":")) | ((t >= _FAR_DIGIT) & t.rlike(r"^\p{Nd}"))
 
 
 def template(toks: Column) -> Column:
@@ -79,96 +93,123 @@ def plain(t: Column) -> Column:
     return F.lower(F.replace(t, F.lit(NAME), F.lit("")))
 
 
+def words(toks: Column) -> Column:
+    return F.transform(toks, plain)
+
+
 def covered_by(at: Column) -> Column:
     """Tokens under the windows at these sorted positions."""
     return F.aggregate(F.zip_with(at, tail(at, 1), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda s, x: s + x)
 
 
+def _class_of(item: Column, good: Column) -> Column:
+    """Hash of an item's template, with each slot's first place of its value; of its words, if it has no windows."""
+    slots = lambda t, w: F.transform(t, lambda x, i: F.when(x.isin("#", "%", NAME), F.concat(x, F.array_position(w, w[i]).cast("string"))).otherwise(x))
+    return F.when(F.size(good) > 0, let(template(item), lambda t: let(words(item), lambda w: F.xxhash64(slots(t, w))))).otherwise(F.xxhash64(words(item), F.lit("whole")))
+
+
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """key (item_id with NO_ID for null, hash of the text), item (its tokens), n_tokens, good: positions of the windows with enough words; written."""
-    items = benchmark.select(F.struct(F.coalesce("item_id", F.lit(NO_ID)).alias("item_id"), F.xxhash64("text").alias("hash")).alias("key"), tokens(F.col("text")).alias("item"))
+    """key (item_id with NO_ID for null, hash of the text), item (its tokens), n_tokens, good (positions of the windows with enough words), klass; written."""
+    items = benchmark.select(F.struct(doc_key("item_id").alias("item_id"), row_key().alias("hash")).alias("key"), tokens(F.col("text")).alias("item"))
     literals = lambda t, p: F.size(F.filter(F.slice(t, p + 1, WINDOW), lambda x: ~x.isin("#", "%", NAME)))
     starts = F.when(F.size("item") >= WINDOW, F.sequence(F.lit(0), F.size("item") - WINDOW)).otherwise(F.array().cast("array<int>"))
     good = let(template(F.col("item")), lambda t: F.filter(starts, lambda p: literals(t, p) >= MIN_LITERALS))
-    return written(items.select("key", "item", F.size("item").alias("n_tokens"), good.alias("good")), "benchmark-items")
+    items = items.select("key", "item", F.size("item").alias("n_tokens"), good.alias("good"))
+    return written(items.withColumn("klass", _class_of(F.col("item"), F.col("good"))), "benchmark-items")
 
 
-def benchmark_windows(items: DataFrame) -> DataFrame:
-    """key, ipos, h, coverable, other (the first word in a form that it may have inside a text); written.
+def class_samples(items: DataFrame) -> DataFrame:
+    """klass, item, n_tokens, good of one item of each class; written."""
+    one = F.min(F.struct("key", "item", "n_tokens", "good")).alias("one")
+    return written(items.groupBy("klass").agg(one).select("klass", "one.item", "one.n_tokens", "one.good"), "benchmark-classes")
+
+
+def benchmark_windows(samples: DataFrame) -> DataFrame:
+    """klass, ipos, h, coverable, other (the first word in a form that it may have inside a text); written.
 
     coverable: the tokens under all windows of the item that have enough words."""
-    first = F.slice("item", 1, WINDOW)
-    name = F.when(~_is_number(F.get("item", F.lit(0))), window_hashes(F.concat(F.array(F.concat(F.lit(NAME), F.get("item", F.lit(0)))), F.slice("item", 2, WINDOW - 1)))[0])
-    unit = F.get(window_hashes(F.concat(F.array(F.lit("0")), first)), F.lit(1))
     entry = lambda p, h, other: F.struct(p.alias("ipos"), h.alias("h"), F.lit(other).alias("other"))
-    own = let(window_hashes(F.col("item")), lambda h: F.transform("good", lambda p: entry(p, h[p], False)))
-    others = F.filter(F.transform(F.array(name, unit), lambda h: entry(F.lit(0), h, True)), lambda e: e["h"].isNotNull() & (e["h"] != F.get(own, F.lit(0))["h"]))
-    rows = items.filter(F.size("good") > 0).select("key", covered_by(F.col("good")).alias("coverable"), F.inline(F.concat(own, F.when(F.get("good", F.lit(0)) == 0, others).otherwise(F.array().cast("array<struct<ipos:int,h:bigint,other:boolean>>")))))
+    of = lambda toks: let(window_hashes(toks), lambda h: F.transform("good", lambda p: entry(p, h[p], False)))
+    own = F.array_distinct(F.concat(of(F.col("item")), of(words(F.col("item")))))
+    head, rest = F.get("item", F.lit(0)), F.slice("item", 2, WINDOW - 1)
+    first = [F.concat(F.array(x), r) for r in (rest, words(rest)) for x in (F.concat(F.lit(NAME), plain(head)), plain(head))]
+    hashes = [F.when(~_is_number(head), F.get(window_hashes(t), F.lit(0))) for t in first]
+    hashes += [F.get(window_hashes(F.concat(F.array(F.lit("0")), F.slice(t, 1, WINDOW))), F.lit(1)) for t in (F.col("item"), words(F.col("item")))]
+    others = lambda o: F.filter(F.transform(F.array_distinct(F.array(*hashes)), lambda h: entry(F.lit(0), h, True)), lambda e: e["h"].isNotNull() & ~F.exists(o, lambda x: (x["ipos"] == 0) & (x["h"] == e["h"])))
+    none = F.array().cast("array<struct<ipos:int,h:bigint,other:boolean>>")
+    entries = let(own, lambda o: F.concat(o, F.when(F.get("good", F.lit(0)) == 0, others(o)).otherwise(none)))
+    rows = samples.filter(F.size("good") > 0).select("klass", covered_by(F.col("good")).alias("coverable"), F.inline(entries))
     return written(rows, "benchmark-windows")
 
 
-def whole_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc, row, key, covered, exact: items without windows that stand word for word in a document."""
-    words = lambda c: F.transform(c, plain)
-    short = items.filter((F.size("good") == 0) & (F.col("n_tokens") >= EXACT_MIN)).select("key", "n_tokens", words(F.col("item")).alias("item"), F.least("n_tokens", F.lit(EXACT_HASHED)).alias("hashed"))
-    lengths = sorted(r.hashed for r in short.select("hashed").distinct().collect())
+def whole_items(docs: DataFrame, samples: DataFrame) -> DataFrame:
+    """doc, row, klass, covered, spots, seen: items without windows that stand word for word in a document."""
+    short = samples.filter((F.size("good") == 0) & (F.col("n_tokens") >= EXACT_MIN)).select("klass", "n_tokens", words(F.col("item")).alias("item"), F.least("n_tokens", F.lit(EXACT_HASHED)).alias("hashed"))
+    lengths = sorted(r.hashed for r in short.select("hashed").distinct().collect())  # EXACT_HASHED at most
+    whole = lambda df: df.select("doc", "row", "klass", F.col("n_tokens").alias("covered"), F.sequence(F.lit(0), F.col("n_tokens") - 1).alias("spots"), F.col("item").alias("seen"))
     if not lengths:
-        return short.limit(0).crossJoin(docs.select("doc", "row").limit(0)).select("doc", "row", "key", F.col("n_tokens").alias("covered"), F.lit(True).alias("exact"))
+        return whole(docs.select("doc", "row").join(short.filter("false"), F.lit(False)))
     runs = lambda h, n: F.transform(run_hashes(h, n), lambda x, i: F.struct(F.lit(n).alias("hashed"), i.alias("pos"), x.alias("h")))
     all_runs = lambda toks: let(F.transform(toks, lambda t: F.xxhash64(plain(t))), lambda h: F.flatten(F.array(*(runs(h, n) for n in lengths))))
-    known = short.select("key", "hashed", F.filter(all_runs(F.col("item")), lambda r: (r["pos"] == 0) & (r["hashed"] == F.col("hashed")))[0]["h"].alias("h"))
+    known = short.select("klass", "hashed", F.filter(all_runs(F.col("item")), lambda r: (r["pos"] == 0) & (r["hashed"] == F.col("hashed")))[0]["h"].alias("h"))
     known = small_or_not(written(known, "benchmark-whole"), 64)
     places = docs.select("doc", "row", F.inline(all_runs(tokens(F.col("text"))))).join(known, ["hashed", "h"])
-    places = written(places.groupBy("doc", "row", "key").agg(F.collect_set("pos").alias("at")), "whole-places")
+    places = written(places.groupBy("doc", "row", "klass").agg(F.collect_set("pos").alias("at")), "whole-places")
     texts = docs.join(places.select("doc", "row").distinct().hint("merge"), ["doc", "row"], "left_semi").select("doc", "row", words(tokens(F.col("text"))).alias("tokens"))
-    both = places.join(texts, ["doc", "row"]).join(short, "key")
-    same = F.exists("at", lambda p: F.slice("tokens", p + 1, F.col("n_tokens")) == F.col("item"))
-    return both.filter(same).select("doc", "row", "key", F.col("n_tokens").alias("covered"), F.lit(True).alias("exact"))
+    both = places.join(texts, ["doc", "row"]).join(short, "klass")
+    return whole(both.filter(F.exists("at", lambda p: F.slice("tokens", p + 1, F.col("n_tokens")) == F.col("item"))))
 
 
-def found_items(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) -> DataFrame:
-    """doc, row, item_id (null if it has none), covered, exact: the items found in each document (doc and row identify it); docs has doc, row, text."""
-    items = benchmark_items(benchmark)
-    known = small_or_not(benchmark_windows(items), 64)
+def found_classes(docs: DataFrame, items: DataFrame, min_tokens: int) -> DataFrame:
+    """doc, row, klass, covered, spots (places in the item), seen (the document's words there): the classes of items found in each document."""
+    samples = class_samples(items)
+    known = small_or_not(benchmark_windows(samples), 64)
     windows = docs.select("doc", "row", F.posexplode(window_hashes(tokens(F.col("text")))).alias("dpos", "h"))
-    hits = windows.join(known, "h").select("doc", "row", "key", F.least(F.lit(min_tokens), F.col("coverable")).alias("needed"), "ipos", "other", (F.col("dpos") - F.col("ipos")).alias("shift"))
-    places = hits.groupBy("doc", "row", "key", "shift").agg(F.array_sort(F.collect_set("ipos")).alias("at"), F.first("needed").alias("needed"), F.max("other").alias("other"))
+    hits = windows.join(known, "h").select("doc", "row", "klass", F.least(F.lit(min_tokens), F.col("coverable")).alias("needed"), "ipos", "other", (F.col("dpos") - F.col("ipos")).alias("shift"))
+    places = hits.groupBy("doc", "row", "klass", "shift").agg(F.array_sort(F.collect_set("ipos")).alias("at"), F.first("needed").alias("needed"), F.max("other").alias("other"))
     places = written(places.filter(covered_by(F.col("at")) >= F.col("needed")), "places")
 
-    texts = docs.join(places.select("doc", "row").distinct().hint("merge"), ["doc", "row"], "left_semi").select("doc", "row", tokens(F.col("text")).alias("tokens"))
-    both = places.join(texts, ["doc", "row"]).join(items.select("key", "item"), "key")
+    texts = docs.join(places.select("doc", "row").distinct().hint("merge"), ["doc", "row"], "left_semi").select("doc", "row", words(tokens(F.col("text"))).alias("tokens"))
+    both = places.join(texts, ["doc", "row"]).join(samples.select("klass", words(F.col("item")).alias("item")), "klass")
     # The first word's other form stands for any name or unit: its window counts if the word is the same.
-    changed = F.col("other") & ~plain(F.get("item", F.lit(0))).eqNullSafe(plain(F.get("tokens", F.col("shift"))))
+    changed = F.col("other") & ~F.get("item", F.lit(0)).eqNullSafe(F.get("tokens", F.col("shift")))
     both = both.withColumn("at", F.when(changed, F.filter("at", lambda p: p > 0)).otherwise(F.col("at"))).withColumn("covered", covered_by(F.col("at"))).filter("covered >= needed")
     # Tokens under the covered windows, side by side; words are equal there, so values that differ fill slots.
     spots = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    both = both.withColumn("spots", spots).withColumn("values", F.transform("spots", lambda p: F.struct(plain(F.col("item")[p]).alias("item"), plain(F.col("tokens")[p + F.col("shift")]).alias("doc"))))
-    pairs = F.array_distinct("values")
-    consistent = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda v: v["item"])))
-    exact = ~F.exists("values", lambda v: v["item"] != v["doc"])
-    found = both.filter(consistent).select("doc", "row", "key", "covered", exact.alias("exact")).unionByName(whole_items(docs, items))
-    found = found.groupBy("doc", "row", "key").agg(F.max("covered").alias("covered"), F.max("exact").alias("exact"))
-    return found.select("doc", "row", F.when(F.col("key.item_id") != NO_ID, F.col("key.item_id")).alias("item_id"), "covered", "exact")
+    both = both.withColumn("spots", spots).withColumn("pairs", F.array_distinct(F.transform("spots", lambda p: F.struct(F.col("item")[p].alias("item"), F.col("tokens")[p + F.col("shift")].alias("doc")))))
+    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda v: v["item"])))
+    seen = F.transform("spots", lambda p: F.col("tokens")[p + F.col("shift")])
+    return both.filter(consistent).select("doc", "row", "klass", "covered", "spots", seen.alias("seen")).unionByName(whole_items(docs, samples))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "row": F.hash("text")})
+def found_items(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) -> DataFrame:
+    """doc, row, item_id (null if it has none), covered, exact: the items found in each document (doc and row identify it); docs has doc, row, text."""
+    items = benchmark_items(benchmark)
+    found = found_classes(docs, items, min_tokens).join(items.select("klass", "key", words(F.col("item")).alias("item")), "klass")
+    exact = F.transform("spots", lambda p: F.col("item")[p]) == F.col("seen")
+    found = found.groupBy("doc", "row", "key").agg(F.max("covered").alias("covered"), F.max(exact).alias("exact"))
+    return found.select("doc", "row", F.when(F.col("key.item_id") != NO_ID, F.col("key.item_id")).alias("item_id"), "covered", "exact")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) -> DataFrame:
     """A row per document: doc_id, contaminated, items (sorted ids of the items found; one without an id only makes contaminated true), exact (one of them was found word for word)."""
-    docs = keyed(docs.select("doc_id", "text"))
-    found = found_items(docs, benchmark, min_tokens).groupBy("doc", "row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("exact").alias("exact"))
-    rows = docs.select("doc_id", "doc", "row").join(written(found, "found").hint("merge"), ["doc", "row"], "left")
+    docs = docs.select("doc_id", doc_key().alias("doc"), row_key().alias("row"), "text")
+    with scratch():
+        found = found_items(docs, benchmark, min_tokens).groupBy("doc", "row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("exact").alias("exact"))
+        found = written(found, "found", keep=True)
+    rows = docs.select("doc_id", "doc", "row").join(found.hint("merge"), ["doc", "row"], "left")
     return rows.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) -> DataFrame:
     """The documents in which no item is found, with their columns."""
-    rows = docs.withColumn("_", F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash("text").alias("row")))
-    found = written(found_items(keyed(docs.select("doc_id", "text")), benchmark, min_tokens).select(F.struct("doc", "row").alias("_")).distinct(), "found")
-    return rows.join(found.hint("merge"), "_", "left_anti").drop("_")
+    key = F.struct(doc_key().alias("doc"), row_key().alias("row"))
+    with scratch():
+        found = found_classes(docs.select(doc_key().alias("doc"), row_key().alias("row"), "text"), benchmark_items(benchmark), min_tokens)
+        found = written(found.select(F.struct("doc", "row").alias("__key")).distinct(), "found", keep=True)
+    return docs.withColumn("__key", key).join(found.hint("merge"), "__key", "left_anti").drop("__key")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Every document against the whole benchmark: doc_id, contaminated, items, exact (see decontaminate)."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -377,3 +379,81 @@ def test_items_without_an_id_or_with_a_shared_one(spark):
     out = {r.doc_id: (r.contaminated, list(r["items"]), r.exact) for r in decontaminate.decontaminate(rows, items).collect()}
     assert out == {0: (True, [], True), 1: (True, [], True), 2: (True, [8], True), 3: (True, [8], True), 4: (False, [], False)}
     assert [r.doc_id for r in decontaminate.clean(rows, items).collect()] == [4]
+
+
+def test_digits_of_any_script_and_names_at_a_sentence_start(spark):
+    texts = [(1, "\u0661\u0662 apples and \u0663 pears lie in the large basket on our table today"), (2, "Alice buys 3 apples and sells 2 pears today at the old market square"), (3, "Every apple in the large basket was sold to somebody on the market today")]
+    items = spark.createDataFrame(texts, "item_id long, text string")
+    rows = [
+        "\u0664 apples and \u0665\u0665 pears lie in the large basket on our table today", "7 apples and 8 pears lie in the large basket on our table today",
+        "Bob buys 5 apples and sells 4 pears today at the old market square", "So Bob buys 5 apples and sells 4 pears today at the old market square", "Bob buys 5 apples and sells 4 plums today at the old market place",
+        "ALICE BUYS 3 APPLES AND SELLS 2 PEARS TODAY AT THE OLD MARKET SQUARE", "alice buys 3 apples and sells 2 pears today at the old market square",
+        "each apple in the large basket was sold to somebody on the street today or not", "Some apple in the",
+    ]
+    out = decontaminate.decontaminate(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), items)
+    assert [(list(r["items"]), r.exact) for r in out.orderBy("doc_id").collect()] == [([1], False), ([1], False), ([2], False), ([2], False), ([], False), ([2], True), ([2], True), ([], False), ([], False)]
+
+
+NAME_OR_NOT = regex.compile(r"\p{Nd}+(?:[.,:/]\p{Nd}+)*|\p{L}[\p{L}\p{M}\p{Nd}]*")
+
+
+def kinds(text):
+    """(kind, lower-cased token) of each token."""
+    out = []
+    for m in NAME_OR_NOT.finditer(text):
+        word, before = m[0], text[: m.start()]
+        if word[0].isdecimal():
+            kind = "#"
+        elif word[0].isupper() and (regex.search(r"[\p{Ll},;:] $", before) or (regex.match(r"\p{Lu}\p{Ll}", word) and word.lower() not in decontaminate.STARTERS)):
+            kind = "N"
+        else:
+            kind = "%" if out and out[-1][0] == "#" and word.lower() in decontaminate.UNITS else word.lower()
+        out.append((kind, word.lower()))
+    return out
+
+
+def brute_items(items, text):
+    """Ids found, and whether one of them word for word, by trying all alignments."""
+    doc, found, exact = kinds(text), set(), False
+    for key, item_text in items:
+        item = kinds(item_text)
+        small = kinds(item_text.lower())
+        good = [p for p in range(len(item) - 7) if sum(k not in ("#", "%", "N") for k, _ in item[p : p + 8]) >= 5]
+        size = lambda at: len({p + i for p in at for i in range(8)})
+        for shift in range(-len(item), len(doc)):
+            at = []
+            for p in good:
+                window = doc[p + shift : p + shift + 8] if p + shift >= 0 else []
+                if len(window) < 8:
+                    continue
+                for form in (item, small):
+                    own = [k for k, _ in form[p : p + 8]]
+                    same = own == [k for k, _ in window]
+                    if p == 0 and item[0][0] != "#" and window[0][1] == item[0][1]:
+                        same = same or own[1:] == [k for k, _ in window[1:]]  # the first word may be a name, a unit or neither
+                    if same and p not in at:
+                        at.append(p)
+            pairs = {(item[p + i][1], doc[p + i + shift][1]) for p in at for i in range(8)}
+            if at and size(at) >= min(13, size(good)) and len(pairs) == len({a for a, _ in pairs}):
+                found.add(key)
+                exact = exact or all(a == b for a, b in pairs)
+    return sorted(found), exact
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(11)
+    names, units = ["Anna", "Bob", "Carla", "Dora"], ["kg", "hours", "miles"]
+
+    def sentence():
+        pool = lambda: rng.choices([rng.choice(["walks", "sees", "the", "green", "over", "house", "and", "tells", "old", "river"]), rng.choice(names), f"{rng.randrange(1, 9)} {rng.choice(units)}", str(rng.randrange(1, 9))], [8, 2, 1, 1])[0]
+        return " ".join([rng.choice(["The", "What", *names]), *(pool() for _ in range(rng.randrange(9, 20)))]) + "."
+
+    items = [(i, sentence() + (" " + sentence() if i % 3 == 0 else "")) for i in range(12)]
+    items += [(20 + i, items[i][1].replace("Anna", "Bob").replace("3", "4")) for i in range(4)]  # classes of several items, some equal
+    changes = [lambda t: t, str.lower, str.upper, lambda t: t.replace("Anna", "Eva").replace("Bob", "Fritz"), lambda t: regex.sub(r"\d", lambda _: str(rng.randrange(10, 99)), t), lambda t: t.replace("5", "61").replace("7", "8"), lambda t: " ".join(t.split(" ")[:14]), lambda t: " ".join(t.split(" ")[1:])]
+    texts = [rng.choice(["", "so ", "Then it is: ", "weighs 3 ", sentence() + " "]) + change(t) + " " + sentence() for _, t in items for change in changes]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = decontaminate.decontaminate(rows, spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    for r, t in zip(out, texts, strict=True):
+        assert (list(r["items"]), r.exact) == brute_items(items, t), t
+    assert 60 < sum(r.contaminated for r in out) < len(texts) and any(len(r["items"]) > 1 for r in out)

@@ -9,8 +9,11 @@ A source's target is a number of whole epochs and a rest. The rest goes to the d
 document in which it ends is taken if the budget reaches its middle, so a source misses its target by half a document at most.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating; shares of the sum of all sizes; a source stops at max_epochs
-times its size, and the excess goes to the others by weight. Null and empty texts have size 0. Rows that repeat are told apart
-by nothing but are sized alike, so either may be the one that is taken.
+times its size, and the excess goes to the others by weight. Null and empty texts have size 0. Rows with one doc_id (or none) go in
+the order of size and a hash of the text, so the mix doesn't depend on how the input is split. Rows that repeat are told apart by
+nothing, and either may be the one that is taken.
+
+The sources are ranked in one task's window: a row each (some 60 bytes), so a million of them are small; documents never are.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.llm.shared import WORD, table, written
+from cartulary.llm.shared import WORD, row_key, scratch, table, written
 
 WEIGHTS = (5, 2, 1)
 RANGE_ROWS = 4_000
@@ -47,20 +50,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 def with_key(docs: DataFrame) -> DataFrame:
     """docs with size, key (60 bits) and row (hash of the text)."""
     key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{SEED}"))), 1, 15), 16, 10).cast("long")
-    return docs.withColumns({"row": F.hash("text"), "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "key": key})
+    return docs.withColumns({"row": row_key(), "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "key": key})
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
     """A row per document: doc_id, row (hash of the text), source, size, source_size, target, epochs (times that it is taken), taken."""
-    rows = written(with_key(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
-    sources = written(targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")), weights, max_epochs), "targets")
+    with scratch():
+        rows = written(with_key(docs.select("doc_id", "source", "text")).drop("text"), "sizes", keep=True)
+        sources = written(targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")), weights, max_epochs), "targets", keep=True)
     goal = sources.select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target", F.greatest(F.lit(1), F.ceil(F.col("docs") / RANGE_ROWS)).alias("ranges"))
     placed = rows.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     placed = placed.withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 60)) * F.col("ranges")))
     starts = placed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     starts = starts.select(F.col("source").alias("s"), F.col("range").alias("r"), (F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size")).alias("start"))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("before", F.col("start") + F.sum("size").over(within) - F.col("size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - whole * F.col("source_size")
@@ -69,10 +73,11 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    """Contract query."""
+    """The mix of all documents: doc_id, size, source_size, target, taken (words)."""
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: (Rows with equal doc_id and size are in any order here: they differ in the text only, which the result doesn't have.)
 #: The mix of a view `docs` (doc_id, text, source) in DuckDB: view `mixed` has doc_id, text, lang, source, n_chars, size, source_size, target, epochs.
 MIX_CTES = r"""
 z AS (SELECT row_number() OVER () AS rid, *, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

@@ -222,6 +222,16 @@ def test_mixture(docs, wide, corpus, empty, monkeypatch):
     assert mixing.mixture(empty).count() == 0
 
 
+def test_the_mix_does_not_depend_on_the_input_s_partitions(spark):
+    rng = np.random.default_rng(7)
+    rows = [(d, " ".join(f"w{rng.integers(99)}" for _ in range(10)), f"s{k % 3}") for k in range(90) for d in (None, 5)]
+    taken = []
+    for parts in (1, 3, 5):
+        out = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)).collect()
+        taken.append(sorted((r.doc_id or -1, r.row, r.epochs) for r in out))
+    assert taken[0] == taken[1] == taken[2] and len({e for *_, e in taken[0]}) > 1
+
+
 # --- shared
 
 

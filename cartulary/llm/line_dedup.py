@@ -23,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.shared import NO_ID, WHITE, table, written
+from cartulary.llm.shared import WHITE, doc_key, row_key, scratch, table, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ROWS = "kind int, h1 long, h2 long, doc long, row int, pos int, n long"
+_ROWS = "kind int, h1 long, h2 long, doc long, row long, pos int, n long"
 #: Kinds of rows that a partition gives.
 DROP, OPEN, EDGE = 0, 1, 2
+#: Lines of a range partition, about; there are at least as many partitions as the session shuffles into.
+RANGE_ROWS = 4_000_000
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    lines = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = docs.select(doc_key().alias("doc"), row_key().alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("line", F.btrim("line", F.lit(WHITE))).filter(F.length("line") >= min_chars)
     lower = F.when(F.col("line").rlike("[A-Z]"), F.translate("line", _UPPER, _LOWER)).otherwise(F.col("line"))
     return keyed.withColumn("line", lower).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "doc", "row", "pos")
@@ -40,7 +42,7 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _stream(min_docs: int):
     """Decides what a partition can; rows come sorted by h1, h2, doc from the largest, row, pos."""
-    schema = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row", pa.int32()), ("pos", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("n", pa.int64())])
 
     def whole(a: dict[str, np.ndarray], ends: tuple[bool, bool]) -> pa.RecordBatch:
         """a: rows of whole keys. ends: whether the first and the last key touch the partition's edge."""
@@ -86,16 +88,18 @@ def _stream(min_docs: int):
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc, row (hash of the text), n_dropped, keep (zlib bitmap up to the byte of the last dropped line; lines beyond it stay); no row where all stay."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = line_rows(docs, min_chars).repartitionByRange(parts, "h1", "h2", F.col("doc").desc()).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "row", "pos")
-    seen = written(rows.mapInArrow(_stream(min_docs), _ROWS), "line-dedup")
+    with scratch():
+        # Written first: the sample for the ranges and the shuffle read hashes, not texts.
+        rows = written(line_rows(docs, min_chars), "line-rows")
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+        ranged = rows.repartitionByRange(parts, "h1", "h2", F.col("doc").desc()).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "row", "pos")
+        seen = written(ranged.mapInArrow(_stream(min_docs), _ROWS), "line-dedup", keep=True)
     edges = F.broadcast(  # two rows a partition at most
         seen.filter(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.max("doc").alias("largest"), F.sum("n").alias("docs")).filter(F.col("docs") >= min_docs)
     )
     late = seen.filter(F.col("kind") == OPEN).join(edges, ["h1", "h2"]).filter(F.col("doc") != F.col("largest"))
     drops = seen.filter(F.col("kind") == DROP).select("doc", "row", "pos").union(late.select("doc", "row", "pos"))
-    return drops.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("drops")).mapInArrow(_bitmaps, "doc long, row int, n_dropped long, keep binary")
+    return drops.groupBy("doc", "row").agg(F.array_sort(F.collect_set("pos")).alias("drops")).mapInArrow(_bitmaps, "doc long, row long, n_dropped long, keep binary")
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +135,14 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """A row per document: doc_id, text, keep (null: all lines stay)."""
     docs = docs.select("doc_id", "text")
-    maps = written(keep_bitmaps(docs, min_chars, min_docs), "line-bitmaps").drop("n_dropped").hint("merge")
-    keyed = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "row": F.hash("text")})
+    with scratch():
+        maps = written(keep_bitmaps(docs, min_chars, min_docs), "line-bitmaps", keep=True).drop("n_dropped").hint("merge")
+    keyed = docs.withColumns({"doc": doc_key(), "row": row_key()})
     return keyed.join(maps, ["doc", "row"], "left").select("doc_id", "text", "keep")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Contract query."""
+    """Every document's lines (of 20 code points, in 3 documents): doc_id, n_lines, n_dropped and the hash of the kept lines."""
     return line_dedup(table(spark, sf_dir, "documents")).mapInArrow(_applied, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 

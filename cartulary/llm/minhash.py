@@ -6,10 +6,11 @@ non-empty bin of a random order of its own (the same for all documents), so each
 probability their Jaccard similarity. BANDS bands of ROWS values give a document's buckets: at 0.8 a pair shares none with
 probability (1 - 0.8**6)**48, under one in a million.
 
-Documents with equal sets are one node, known by a number of its own, whatever doc_ids its rows have. In a bucket only pairs with the bucket's centre are candidates (the member that shares
-most buckets with others), so their count stays below the number of bucket rows, however large a group of copies is. Candidates
-are confirmed on their full sets, and links give components. Members of a bucket that are in different components after that
-are compared too, in blocks (see _rest), so the star loses no link that components depend on.
+Documents with equal sets are one node, known by a number of its own, whatever doc_ids its rows have. In a bucket only pairs with
+the bucket's centre are candidates (the member that shares most buckets with others), so their count stays below the number of
+bucket rows, however large a group of copies is. Candidates are confirmed on their full sets, and links give components. Members
+of a bucket that are in different components after that are compared too, in blocks (see _rest), so the star loses no link that
+components depend on.
 
 Rows that repeat are copies of each other; rows that share a doc_id (or have none) but not the text are judged each by its text.
 Of a component the row with the smallest doc_id is kept, of several with that doc_id the one with the smallest hash of the text.
@@ -27,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm.graph import components
-from cartulary.llm.shared import NO_ID, table, written
+from cartulary.llm.shared import NO_ID, doc_key, row_key, scratch, table, written
 from cartulary.llm.words import Words, chunks, kgrams, mix
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
-#: Rows of a block when what the stars leave open is compared.
-FAMILY_BLOCK = 4000
+#: Rows of a block, on either side, when what the stars leave open is compared.
+FAMILY_BLOCK = 1000
 
 
 def _orders() -> np.ndarray:
@@ -120,40 +121,41 @@ def _confirm(percent: int):
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, row (hash of the text), n_shingles, digest of the set, bands (empty for an empty set); written."""
-    return written(docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(_signatures(n), "doc_id long, row long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    return written(docs.select("doc_id", row_key().alias("row"), "text").mapInArrow(_signatures(n), "doc_id long, row long, n_shingles long, digest binary, bands array<long>"), "signatures", keep=True)
 
 
 def set_nodes(sig: DataFrame) -> DataFrame:
     """node (a number of its own), digest, doc and row (the smallest of the set's rows), n, bands of each distinct set; written, which fixes the numbers."""
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "row")).alias("least")
+    least = F.min(F.struct(doc_key().alias("doc"), "row")).alias("least")
     nodes = sig.filter("n_shingles > 0").groupBy("digest").agg(least, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    return written(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.doc", "least.row", "n", "bands"), "nodes")
+    return written(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.doc", "least.row", "n", "bands"), "nodes", keep=True)
 
 
 def similar_components(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, component) of the nodes that have a link."""
-    rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared").hint("merge")  # tables of their own: Spark can split a join at a frequent key
-    members = written(rows.join(shared, "bucket"), "buckets")
-    degree = members.groupBy("node").agg(F.sum("members").alias("degree"))
-    members = written(members.join(degree, "node").select("bucket", "node", "n", "degree"), "members")
-    texts = Texts(docs, nodes)
-
-    tested, links, used = None, None, None
-    centre = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("c_n"))
-    centre = written(centre, "centres").hint("merge")
-    pairs = members.join(centre, "bucket").filter(f"node <> centre and 100 * least(n, c_n) >= {percent} * greatest(n, c_n)").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = written(_links(written(pairs, "pairs"), texts, n, percent), "links")
-    label = components(links)
-    more = written(_rest(members.select("bucket", "node"), label, texts, n, percent), "links")
-    return label if more.isEmpty() else components(links.union(more))
+    """(node, component) of the nodes that have a link; written."""
+    with scratch():
+        rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+        shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared").hint("merge")  # tables of their own: Spark can split a join at a frequent key
+        members = written(rows.join(shared, "bucket"), "buckets")
+        degree = members.groupBy("node").agg(F.sum("members").alias("degree"))
+        members = written(members.join(degree, "node").select("bucket", "node", "n", "degree"), "members")
+        texts = Texts(docs, nodes)
+
+        centre = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("c_n"))
+        centre = written(centre, "centres").hint("merge")
+        near = f"node <> centre and 100 * least(n, c_n) >= {percent} * greatest(n, c_n)"
+        pairs = members.join(centre, "bucket").filter(near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        links = written(_links(written(pairs, "pairs"), texts, n, percent), "links")
+        label = components(links)
+        more = written(_rest(members.select("bucket", "node"), label, texts, n, percent), "links")
+        return written(label if more.isEmpty() else components(links.union(more)), "labels", keep=True)
 
 
 class Texts:
     """The sets of nodes, made from the text of one row each."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("row"), "text")
+        self.texts = docs.select(doc_key().alias("doc"), row_key().alias("row"), "text")
         self.nodes = nodes.select("node", "doc", "row")
 
     def sets(self, needed: DataFrame, n: int) -> DataFrame:
@@ -167,37 +169,46 @@ def _rest(members: DataFrame, label: DataFrame, texts: Texts, n: int, percent: i
     """Links between members of a bucket that are in different components so far.
 
     A bucket's family is its most frequent component; a pair of different components has an end outside of it. So the members of
-    all mixed buckets of a family are taken once, and those outside the family's component are compared with all of them, in
-    blocks of FAMILY_BLOCK rows against FAMILY_BLOCK rows and by an index of shingles within a block, without a row for each pair.
+    all mixed buckets of a family are taken once, and those outside the family's component are compared with all of them. Both
+    sides are cut into blocks of about FAMILY_BLOCK rows, a task for each pair of blocks, in which an index of the members'
+    shingles is asked for each row outside, without a row for each pair. With u of m members outside, a member goes to
+    u / FAMILY_BLOCK tasks and a row outside to m / FAMILY_BLOCK more.
     """
     rows = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     shares = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = shares.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"), F.count(F.lit(1)).alias("components")).filter("components > 1 and members > 2")
     kin = written(rows.join(mixed.select("bucket", F.col("top.component").alias("family")), "bucket").select("family", "node", "component").distinct(), "kin")
-    # A family in which no set but the centre's is outside has been compared already in the star; it is harmless to do so again.
-    blocks = kin.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("k"))
     sets = texts.sets(kin.select("node").distinct(), n)
-    placed = kin.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "component")
-    return placed.join(sets, "node").groupBy("family", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct()
+    cut = lambda x: F.ceil(x / FAMILY_BLOCK).cast("int")
+    sizes = kin.groupBy("family").agg(cut(F.count(F.lit(1))).alias("blocks"), cut(F.count_if(F.col("component") != F.col("family"))).alias("asked"))
+    kin = kin.join(sizes, "family")
+    block = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    held = kin.filter("asked > 0").select("family", every("asked").alias("i"), block(1, "blocks").alias("j"), "node", "component", F.lit(False).alias("asks"))
+    asking = kin.filter("component <> family").select("family", block(2, "asked").alias("i"), every("blocks").alias("j"), "node", "component", F.lit(True).alias("asks"))
+    return held.union(asking).join(sets, "node").groupBy("family", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct()
 
 
 def _compare(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        node = group.column("node").to_numpy()
-        component = group.column("component").to_numpy()
-        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("set")]
-        size = np.array([len(s) for s in sets])
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        order = np.argsort(ids, kind="stable")
-        holder = np.repeat(np.arange(len(sets)), size)[order]  # by shingle: the rows that hold it
-        first = np.searchsorted(ids[order], np.arange(ids.max() + 2))
-        at = np.concatenate([[0], np.cumsum(size)])
+        asks = group.column("asks").to_numpy()
+        held, asking = group.filter(pa.array(~asks)), group.filter(pa.array(asks))
+        of = lambda t: (t.column("node").to_numpy(), t.column("component").to_numpy(), [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("set")])
+        node, component, sets = of(held)
         out: list[tuple[int, int]] = []
-        for q in np.flatnonzero(component != group.column("family")[0].as_py()):
-            common = np.bincount(np.concatenate([holder[first[t] : first[t + 1]] for t in ids[at[q] : at[q + 1]]]), minlength=len(sets))
-            hit = (100 * common >= percent * (size[q] + size - common)) & (component != component[q])
-            out += [(min(node[q], x), max(node[q], x)) for x in node[hit]]
+        if len(sets):
+            size = np.array([len(s) for s in sets])
+            known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            holder = np.repeat(np.arange(len(sets)), size)[np.argsort(ids, kind="stable")]  # by shingle: the rows that hold it
+            first = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(known)))])
+            for a, c, s in zip(*of(asking), strict=True):
+                at = np.searchsorted(known, s)
+                at = at[known[np.minimum(at, len(known) - 1)] == s]
+                if not len(at):
+                    continue
+                common = np.bincount(np.concatenate([holder[first[t] : first[t + 1]] for t in at]), minlength=len(sets))
+                hit = (100 * common >= percent * (len(s) + size - common)) & (component != c)
+                out += [(min(a, b), max(a, b)) for b in node[hit].tolist()]
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
@@ -213,20 +224,20 @@ def _links(pairs: DataFrame, texts: Texts, n: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: doc_id, row (hash of the text), n_shingles, component_id, kept."""
-    sig = signatures(docs, n)
-    nodes = set_nodes(sig)
-    label = written(similar_components(docs, nodes, n, percent), "labels")
-    place = nodes.select("node", "doc", "row")
-    first = label.join(place, "node").groupBy("component").agg(F.min(F.struct("doc", "row")).alias("first"))
-    of_node = written(label.join(written(first, "firsts").hint("merge"), "component").select("node", "first"), "of-nodes")
+    with scratch():
+        sig = signatures(docs, n)
+        nodes = set_nodes(sig)
+        label = similar_components(docs, nodes, n, percent)
+        first = label.join(nodes.select("node", "doc", "row"), "node").groupBy("component").agg(F.min(F.struct("doc", "row")).alias("first"))
+        of_node = written(label.join(written(first, "firsts").hint("merge"), "component").select("node", "first"), "of-nodes", keep=True)
     of_set = nodes.select("digest", "node", "doc", "row").join(of_node, "node", "left").select("digest", F.coalesce("first", F.struct("doc", "row")).alias("first"))
-    own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "row")
+    own = F.struct(doc_key().alias("doc"), "row")
     rows = sig.select("doc_id", "row", "n_shingles", "digest").join(of_set, "digest", "left").withColumns({"own": own, "first": F.coalesce("first", own)})
     return rows.select("doc_id", "row", "n_shingles", F.when(F.col("first.doc") != NO_ID, F.col("first.doc")).alias("component_id"), (F.col("first") == F.col("own")).alias("kept"))
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    """Contract query: two-word shingles, 80 percent."""
+    """All documents by two-word shingles at 80 percent: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=2).drop("row")
 
 

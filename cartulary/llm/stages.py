@@ -14,27 +14,33 @@ from cartulary.llm.host_rules import base_rules, host_verdicts
 from cartulary.llm.minhash import near_duplicates
 from cartulary.llm.mixing import mixture
 from cartulary.llm.packing import pack
-from cartulary.llm.shared import NO_ID, table, written
+from cartulary.llm.shared import doc_key, row_key, scratch, table, written
 
 _KEY = ["__doc", "__row"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(NO_ID)), "__row": F.hash("text")})
+    return docs.withColumns({"__doc": doc_key(), "__row": row_key()})
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose base rules pass and whose host isn't rejected."""
+    """Documents whose base rules pass and whose host isn't rejected.
+
+    The rules are counted once: documents that pass are written with their columns, the others with host and verdict only."""
     rules = base_rules(docs.select(F.struct("*").alias("all"), "text", F.col("source").alias("host"))).drop("text")
-    verdicts = host_verdicts(written(rules.select("host", "rules.base_failed"), "rules"), "host")
-    rejected = verdicts.filter("rejected").select(F.col("host").alias("h"))
-    return rules.filter("not rules.base_failed").join(rejected, F.col("host").eqNullSafe(F.col("h")), "left_anti").select("all.*")
+    rules = rules.select("host", "rules.base_failed", "all").withColumn("all", F.when(~F.col("base_failed"), F.col("all")))
+    with scratch():
+        rules = written(rules, "rules", keep=True)
+        rejected = written(host_verdicts(rules, "host").filter("rejected").select(F.col("host").alias("h")), "rejected", keep=True)
+    return rules.filter("not base_failed").join(rejected, F.col("host").eqNullSafe(F.col("h")), "left_anti").select("all.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): that with the smallest doc_id."""
-    kept = near_duplicates(docs, n=5).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc"), F.col("row").alias("__row")).distinct()
-    rows = _keyed(docs).withColumn("__row", F.xxhash64("text")).join(written(kept, "kept").hint("merge"), _KEY, "left_semi")
+    with scratch():
+        kept = near_duplicates(docs, n=5).filter("kept").select(doc_key().alias("__doc"), F.col("row").alias("__row")).distinct()
+        kept = written(kept, "kept", keep=True)
+    rows = _keyed(docs).join(kept.hint("merge"), _KEY, "left_semi")
     first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*_KEY).orderBy(*_KEY)))
     return first.filter("__n = 1").drop("__n", *_KEY)
 
@@ -46,8 +52,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mixture(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc"), F.col("row").alias("__row"), "epochs")
-    taken = written(taken.groupBy(*_KEY).agg(F.sum("epochs").alias("__epochs"), F.count(F.lit(1)).alias("__copies")).filter("__epochs > 0"), "taken")
+    with scratch():
+        taken = mixture(docs).select(doc_key().alias("__doc"), F.col("row").alias("__row"), "epochs")
+        taken = written(taken.groupBy(*_KEY).agg(F.sum("epochs").alias("__epochs"), F.count(F.lit(1)).alias("__copies")).filter("__epochs > 0"), "taken", keep=True)
     rows = _keyed(docs).join(taken.hint("merge"), _KEY)
     rows = rows.withColumn("__n", F.when(F.col("__copies") > 1, F.row_number().over(Window.partitionBy(*_KEY).orderBy(*_KEY))).otherwise(1))
     times = F.floor((F.col("__epochs") + F.col("__copies") - F.col("__n")) / F.col("__copies")).cast("int")

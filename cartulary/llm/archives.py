@@ -8,8 +8,13 @@ A converted record gets an identifier derived from its URL, date and content (eq
 14-digit date, a type (response for HTTP content, else resource; revisit where another record has the same payload) and SHA-1
 digests in base 32. Of records with equal payloads of at least min_revisit_bytes, that with the smallest page_id is the response.
 
-Archives are written by Spark's text writer with the records' end as separator, so they are WARC files (compressed as a whole) in
-any file system that Spark writes, and read back by declared lengths. A null html is empty, a null page_id counts as the smallest
+Each WARC record is a gzip member of its own, so a reader can start at any record. Archives are written by Spark's text writer, with
+an empty member as the line separator, in any file system that Spark writes; they are read back by the same separator, so that a
+file's records go to many tasks and no task holds a file. A record that has the separator's bytes in its data is cut into two
+members there.
+
+ARC files are read whole, a file a task (they are made of 100 MB by custom; Spark's reader of binary files takes up to 2 GB),
+plain or with gzip members. Contents are bytes and need not be text. A null html is empty, a null page_id counts as the smallest
 (revisits that refer to it have a null refers_to); rows that repeat in all columns are each a record of the same type.
 """
 
@@ -27,13 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.shared import NO_ID, new_path, table, written
+from cartulary.llm.shared import NO_ID, doc_key, new_path, row_key, scratch, table, written
 from cartulary.llm.words import chunks
 
 #: Fields of a header line after the URL, by version.
 ARC_FIELDS = {1: ("ip", "date", "type", "length"), 2: ("ip", "date", "type", "status", "checksum", "location", "offset", "file", "length")}
 #: What ends a WARC record.
-RECORD_END = "\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
+#: An empty gzip member, told from others by its comment: stands between the members of records.
+SEPARATOR = b"\x1f\x8b\x08\x10\x00\x00\x00\x00\x00\xff" + b"cartulary: end of record 5d0f9c1ab3e74286\x00" + b"\x03\x00" + bytes(8)
+#: Records of an archive file.
+FILE_RECORDS = 50_000
+#: A record to be converted: key and row order and identify it (the smallest key is the response), page_id is what the result calls it.
+RECORDS = "key long, row long, page_id long, url string, ip string, date string, type string, content binary"
 
 
 @dataclass
@@ -133,7 +144,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")[1:]
         fields = dict(x.split(": ", 1) for x in lines)
         length = int(fields["Content-Length"])
-        if not data.startswith(RECORD_END.encode(), end + 4 + length):
+        if not data.startswith(RECORD_END, end + 4 + length):
             raise ValueError(f"WARC record at {at} doesn't end after {length} bytes")
         yield fields, data[end + 4 : end + 4 + length]
         at = end + 4 + length + len(RECORD_END)
@@ -145,72 +156,156 @@ def _capture(page: int | None, url: str | None, html: bytes) -> tuple[str, str,
     return (url or "").replace("\n", "%0A").replace("\r", "%0D"), date, b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page: %s\r\n\r\n" % str("" if page is None else page).encode() + html
 
 
-def _legacy(b: pa.RecordBatch) -> list[ArcRecord]:
-    """The batch's pages, written to an ARC archive and parsed again; versions take turns."""
-    pages, urls = b.column("page_id").to_pylist(), b.column("url").to_pylist()
-    html = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column("html")]
-    version = 1 + (pages[0] or 0) % 2 if pages else 1
-    return list(parse_arc(build_arc([_capture(*x) for x in zip(pages, urls, html, strict=True)], version)))
+def member(data: bytes) -> bytes:
+    """data as gzip members (one, unless it has SEPARATOR inside), in which SEPARATOR doesn't occur."""
+    out = zlib.compress(data, 1, 31)
+    if SEPARATOR not in out:
+        return out
+    at = data.index(SEPARATOR) + len(SEPARATOR) // 2
+    return member(data[:at]) + member(data[at:])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def members(data: bytes) -> bytes:
+    """The contents of all gzip members, one after the other; data itself if it isn't gzip."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        reader = zlib.decompressobj(31)
+        out.append(reader.decompress(data) + reader.flush())
+        data = reader.unused_data
+    return b"".join(out) if out else data
+
+
+def _of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages, written to an ARC archive and parsed again; versions take turns."""
     for batch in batches:
         for b in chunks(batch, "html"):
-            payloads = [split_http(r.content)[1] for r in _legacy(b)]
-            yield pa.record_batch([b.column("page"), b.column("row"), pa.array([digest(x) for x in payloads]), pa.array([len(x) for x in payloads], pa.int64())], names=["page", "row", "digest", "size"])
+            pages, urls = b.column("page_id").to_pylist(), b.column("url").to_pylist()
+            html = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column("html")]
+            version = 1 + (pages[0] or 0) % 2 if pages else 1
+            found = list(parse_arc(build_arc([_capture(*x) for x in zip(pages, urls, html, strict=True)], version)))
+            yield _records(found, b.column("key"), b.column("row"), b.column("page_id"))
+
+
+def _records(found: list[ArcRecord], key: pa.Array, row: pa.Array, page: pa.Array) -> pa.RecordBatch:
+    text = lambda values: pa.array([x.encode("utf-8", "replace").decode() for x in values], pa.string())
+    fields = (text(r.fields[k] for r in found) for k in ("ip", "date", "type"))
+    return pa.record_batch([key, row, page, text(r.url for r in found), *fields, pa.array([r.content for r in found], pa.binary())], names=["key", "row", "page_id", "url", "ip", "date", "type", "content"])
+
+
+def legacy_records(pages: DataFrame) -> DataFrame:
+    """RECORDS of pages (page_id, url, html), by way of ARC archives."""
+    rows = pages.select(doc_key("page_id").alias("key"), row_key("url", "html").alias("row"), "page_id", "url", "html")
+    return rows.mapInArrow(_of_pages, RECORDS)
 
 
-def _to_archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_arc_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for name, content in zip(b.column("key").to_pylist(), b.column("content"), strict=True):
+            found: list[ArcRecord] = []
+            size = at = 0
+            for record in parse_arc(members(content.as_buffer().to_pybytes())):
+                found.append(record)
+                size += len(record.content)
+                if size > 1 << 22:
+                    yield _numbered(found, name, at)
+                    at, found, size = at + len(found), [], 0
+            yield _numbered(found, name, at)
+
+
+def _numbered(found: list[ArcRecord], name: int, at: int) -> pa.RecordBatch:
+    n = len(found)
+    return _records(found, pa.array([name] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.nulls(n, pa.int64()))
+
+
+def read_arc(spark, path: str) -> DataFrame:
+    """RECORDS of ARC files: key is a hash of the file's path, row the record's number in it."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(row_key("path").alias("key"), "content").mapInArrow(_of_arc_files, RECORDS)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        payloads = [split_http(x.as_buffer().to_pybytes())[1] for x in b.column("content")]
+        yield pa.record_batch([b.column("key"), b.column("row"), pa.array([digest(x) for x in payloads], pa.string()), pa.array([len(x) for x in payloads], pa.int64())], names=["key", "row", "digest", "size"])
+
+
+def _to_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in chunks(batch, "html"):
+        for b in chunks(batch, "content"):
             out = []
-            for record, first, page in zip(_legacy(b), b.column("first").to_pylist(), b.column("page").to_pylist(), strict=True):
-                extra = {"X-Page": "" if page == NO_ID else str(page)}
+            for r in b.to_pylist():
+                record = ArcRecord(r["url"], {k: r[k] for k in ("ip", "date", "type")}, r["content"])
+                extra = {"X-Page": "" if r["page_id"] is None else str(r["page_id"])}
+                first = r["first"]
                 if first is not None:
-                    extra["X-Refers-To-Page"] = "" if first == NO_ID else str(first)
-                head, block = to_warc(record, str(page), None if first is None else str(first), extra)
-                out.append(head + block)
-            yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+                    extra["X-Refers-To-Page"] = "" if first["page_id"] is None else str(first["page_id"])
+                head, block = to_warc(record, f"{r['key']} {r['row']}", None if first is None else f"{first['key']} {first['row']}", extra)
+                out.append(member(head + block + RECORD_END))
+            yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
 
 
-def _from_archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for content in b.column("content"):
+def _fields_and_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in chunks(batch, "value"):
+            found = [x for value in b.column("value") for x in parse_warc(members(value.as_buffer().to_pybytes()))]
+            yield pa.record_batch([pa.array([list(f.items()) for f, _ in found], pa.map_(pa.string(), pa.string())), pa.array([x for _, x in found], pa.binary())], names=["fields", "block"])
+
+
+def _of_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in chunks(batch, "value"):
             out: list[list] = [[], [], [], [], []]
-            data = content.as_buffer().to_pybytes()
-            for fields, block in parse_warc(zlib.decompress(data, 31) if data else b""):
-                kind, own = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if kind != "revisit":
-                    payload = split_http(block)[1]
-                    if digest(payload) != own or len(payload) != int(fields["X-Payload-Length"]):
-                        raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't have its digest")
-                number = lambda k: int(fields[k]) if fields.get(k) else None  # noqa: B023, E731
-                for column, x in zip(out, (number("X-Page"), number("X-Payload-Length"), own, kind, number("X-Refers-To-Page")), strict=True):
-                    column.append(x)
+            for value in b.column("value"):
+                for fields, block in parse_warc(members(value.as_buffer().to_pybytes())):
+                    kind, own = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if kind != "revisit":
+                        payload = split_http(block)[1]
+                        if digest(payload) != own or len(payload) != int(fields["X-Payload-Length"]):
+                            raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't have its digest")
+                    number = lambda k: int(fields[k]) if fields.get(k) else None  # noqa: B023, E731
+                    for column, x in zip(out, (number("X-Page"), number("X-Payload-Length"), own, kind, number("X-Refers-To-Page")), strict=True):
+                        column.append(x)
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def convert(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
-    """Writes the pages' legacy archives as WARC archives to path (gzip)."""
-    pages = pages.select("page_id", F.coalesce("page_id", F.lit(NO_ID)).alias("page"), F.hash("url", "html").alias("row"), "url", "html")
-    found = written(pages.select("page_id", "page", "row", "url", "html").mapInArrow(_digests, "page long, row int, digest string, size long"), "digests")
-    first = found.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min(F.struct("page", "row")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = written(first, "first").hint("merge")  # a table of its own: Spark can split the join at a frequent payload
-    revisits = found.join(first, "digest").filter("page <> f.page or row <> f.row").select("page", "row", F.col("f.page").alias("first")).distinct()
-    revisits = written(revisits, "revisits").hint("merge")
-    rows = pages.join(revisits, ["page", "row"], "left").select("page_id", "page", "url", "html", "first")
-    rows.mapInArrow(_to_archive, "value string").write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", RECORD_END).text(path)
+def _separated(options):
+    """A reader's or writer's options for archives."""
+    return options.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1")
+
+
+def convert(records: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
+    """Writes RECORDS as WARC archives to path. They are made twice, for the digests and for the archives, instead of being stored."""
+    with scratch():
+        found = written(records.select("key", "row", "content").mapInArrow(_digests, "key long, row long, digest string, size long"), "digests")
+        first = found.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min(F.struct("key", "row")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        first = written(first, "first").hint("merge")  # a table of its own: Spark can split the join at a frequent payload
+        revisits = found.join(first, "digest").filter("key <> f.key or row <> f.row").select("key", "row", "f").distinct()
+        revisits = written(revisits, "revisits").hint("merge")
+        page = F.struct("f.key", "f.row", F.when(F.col("f.key") != NO_ID, F.col("f.key")).alias("page_id"))
+        rows = records.join(revisits, ["key", "row"], "left").select("key", "row", "page_id", "url", "ip", "date", "type", "content", F.when(F.col("f").isNotNull(), page).alias("first"))
+        # The JVM takes the bytes as they are.
+        lines = rows.mapInArrow(_to_members, "value binary").select(F.col("value").cast("string").alias("value"))
+        _separated(lines.write).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def _members(spark, path: str) -> DataFrame:
+    return _separated(spark.read).option("pathGlobFilter", "part-*").text(path).select(F.col("value").cast("binary").alias("value"))
+
+
+def read_warc(spark, path: str) -> DataFrame:
+    """fields and block of each WARC record."""
+    return _members(spark, path).mapInArrow(_fields_and_blocks, "fields map<string,string>, block binary")
 
 
 def read_archives(spark, path: str) -> DataFrame:
     """A row per WARC record: page_id, payload_bytes, payload_digest, record_type, refers_to. Payloads are held against their digests."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_from_archive, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _members(spark, path).mapInArrow(_of_warc, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op4_archives(spark, sf_dir: str) -> DataFrame:
-    """Contract query."""
+    """Every page as a WARC record, read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = new_path(spark, "warc")
-    convert(table(spark, sf_dir, "pages"), path)
+    convert(legacy_records(table(spark, sf_dir, "pages")), path)
     return read_archives(spark, path)
 
 

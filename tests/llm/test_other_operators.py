@@ -1,4 +1,5 @@
 import json
+import re
 import zlib
 from collections import defaultdict
 
@@ -62,7 +63,7 @@ def test_arc_versions():
 def test_warc_round_trip():
     record = archives.ArcRecord("http://a", {"ip": "1.2.3.4", "date": "19970101000000", "type": "text/html"}, b"HTTP/1.0 200 OK\r\n\r\nWARC/1.1\r\nx: y\r\n\r\n\r\n\r\n")
     parts = [archives.to_warc(record, "1"), archives.to_warc(record, "2", revisit_of="1"), archives.to_warc(archives.ArcRecord("dns:a", record.fields, b"x"))]
-    found = list(archives.parse_warc(b"".join(h + b + archives.RECORD_END.encode() for h, b in parts)))
+    found = list(archives.parse_warc(b"".join(h + b + archives.RECORD_END for h, b in parts)))
     assert [f["WARC-Type"] for f, _ in found] == ["response", "revisit", "resource"]
     assert found[0][1] == record.content and found[1][1] == b"HTTP/1.0 200 OK\r\n\r\n"
     assert found[1][0]["WARC-Refers-To"] == found[0][0]["WARC-Record-ID"] != found[1][0]["WARC-Record-ID"]
@@ -72,7 +73,7 @@ def test_warc_round_trip():
 def test_archives(spark, tmp_path):
     rows = [(i, f"http://h/{i}", f"<p>{i % 7}</p>") for i in range(40)] + [(50, None, None), (49, "http://e", ""), (60, "u", "é\r\n\r\nWARC/1.1\r\n"), (60, "u", "é\r\n\r\nWARC/1.1\r\n"), (61, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "http://n", "same"), (70, "http://n", "same"), (71, "x", "y" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("page", F.lit(1)).withColumn("row", F.lit(2)).withColumn("first", F.lit(3))
-    archives.convert(pages, str(tmp_path / "w"))
+    archives.convert(archives.legacy_records(pages), str(tmp_path / "w"))
     out = sorted(([tuple(r) for r in archives.read_archives(spark, str(tmp_path / "w")).collect()]), key=repr)
     least = {}
     for p, _, html in rows:
@@ -83,13 +84,41 @@ def test_archives(spark, tmp_path):
         same = first == (shared.NO_ID if p is None else p)
         expected.append((p, len(data), archives.digest(data), "response" if same else "revisit", None if same or first == shared.NO_ID else first))
     assert out == sorted(expected, key=repr)
-    archives.convert(pages, str(tmp_path / "v"), min_revisit_bytes=5)
+    archives.convert(archives.legacy_records(pages), str(tmp_path / "v"), min_revisit_bytes=5)
     small = archives.read_archives(spark, str(tmp_path / "v")).filter("payload_bytes < 5")
     assert {r.record_type for r in small.collect()} == {"response"}
-    archives.convert(pages.limit(0), str(tmp_path / "n"))
+    archives.convert(archives.legacy_records(pages.limit(0)), str(tmp_path / "n"))
     assert archives.read_archives(spark, str(tmp_path / "n")).count() == 0
 
 
+def test_arc_files_of_any_bytes(spark, tmp_path):
+    """ARC files, plain and compressed, to WARC: contents that aren't text, and ones that hold the separator itself."""
+    rng = np.random.default_rng(1)
+    head = b"HTTP/1.0 200 OK\r\n\r\n"
+    contents = [bytes(range(256)) * 3, head + rng.bytes(3000), head + archives.SEPARATOR * 2 + rng.bytes(500), rng.bytes(100) + archives.SEPARATOR, b"", head + b"same", head + b"same", "é".encode("latin-1") * 50]
+    records = [(f"http://h/{i}", "19970101000000", c) for i, c in enumerate(contents)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.arc").write_bytes(archives.build_arc(records[:4], 1))
+    (tmp_path / "in" / "b.arc.gz").write_bytes(b"".join(zlib.compress(x, wbits=31) for x in (archives.build_arc(records[4:], 2)[:300], archives.build_arc(records[4:], 2)[300:])))
+    found = archives.read_arc(spark, str(tmp_path / "in"))
+    assert sorted((r.url, r.date, bytes(r.content)) for r in found.collect()) == records
+    archives.convert(found, str(tmp_path / "out"))
+    out = {r.fields["WARC-Target-URI"]: r for r in archives.read_warc(spark, str(tmp_path / "out")).collect()}
+    assert len(out) == len(records)
+    for url, _, content in records:
+        fields, (http, payload) = out[url].fields, archives.split_http(content)
+        assert fields["WARC-Payload-Digest"] == "sha1:" + archives.digest(payload)
+        assert bytes(out[url].block) == (http if fields["WARC-Type"] == "revisit" else content)
+    same = [out["http://h/5"].fields, out["http://h/6"].fields]
+    assert sorted(f["WARC-Type"] for f in same) == ["response", "revisit"]
+    assert {f.get("WARC-Refers-To") for f in same} == {None, same[0]["WARC-Record-ID"] if same[0]["WARC-Type"] == "response" else same[1]["WARC-Record-ID"]}
+    # Every record is a gzip member of its own: any of them can be read alone.
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    starts = [0] + [m.end() for m in re.finditer(re.escape(archives.SEPARATOR), data)][:-1]
+    assert len(starts) == len(records) and all(zlib.decompressobj(31).decompress(data[s:]).startswith(b"WARC/1.1") for s in starts)
+    assert archives.members(data) == b"".join(archives.members(data[s:e]) for s, e in zip(starts, [*starts[1:], len(data)], strict=True))
+
+
 # --- op5
 
 

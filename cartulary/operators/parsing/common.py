@@ -1,4 +1,4 @@
-"""What all parsers give, and helpers on lines."""
+"""What all parsers give, and an outline of a source: one forward pass that knows strings and comments."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def typed(path: str, name: str, kind: str, properties: list[str]) -> dict:
 
 
 class Source:
-    """A text with its lines; line numbers start at 0."""
+    """A text by lines; line numbers start at 0."""
 
     def __init__(self, text: str):
         self.text, self.lines = text, text.split("\n")
@@ -43,16 +43,66 @@ class Source:
         """Matches in the lines first to last."""
         return sum(len(pattern.findall(x)) for x in self.lines[first : last + 1])
 
-    def close(self, first: int) -> int:
-        """The line in which the brace opened at or after line `first` closes; the last line if it doesn't. Strings and comments count."""
-        depth, opened = 0, False
-        for i in range(first, len(self.lines)):
-            for ch in self.lines[i]:
-                depth += (ch == "{") - (ch == "}")
-                if ch == "}" and depth == 0 and opened:
-                    return i
-            opened = opened or depth > 0
-        return len(self.lines) - 1
+
+class Outline(Source):
+    """A text with what one pass over its lexemes finds: code (the text with blanks for comments and strings), the brace blocks as
+    pairs of offsets with their parent, and the comments by the line they start in.
+
+    lexemes: a pattern with groups `comment` and `string` and single braces; marks: what starts a comment that documents.
+    """
+
+    def __init__(self, text: str, lexemes: re.Pattern, marks: tuple[str, ...] = ()):
+        super().__init__(text)
+        self.close: dict[int, int] = {}  # offset of `{` -> offset of its `}`, or the end of the text
+        self.parent: dict[int, int | None] = {}
+        self.notes: dict[int, str] = {}  # line -> text of a documenting comment
+        self._marks, self._strings = marks, set()
+        self.code = self._blanked(lexemes)
+        self.opens = sorted(self.close)
+        #: Lines with anything else than comments.
+        self.code_lines = sorted(self._strings | {i for i, x in enumerate(self.code.split("\n")) if x.strip()})
+
+    def _blanked(self, lexemes: re.Pattern) -> str:
+        blank = lambda x: re.sub(r"[^\n]", " ", x)
+        out, done, stack = [], 0, []
+        for m in lexemes.finditer(self.text):
+            if m.lastgroup in ("comment", "string"):
+                out += [self.text[done : m.start()], blank(m[0])]
+                done = m.end()
+                line = self.line_of(m.start())
+                if m.lastgroup == "string":
+                    self._strings.add(line)
+                elif (mark := next((x for x in self._marks if m[0].startswith(x)), None)) is not None:
+                    self.notes[line] = m[0][len(mark) :].strip()
+            elif m[0] == "{":
+                self.parent[m.start()] = stack[-1] if stack else None
+                stack.append(m.start())
+            elif stack:
+                self.close[stack.pop()] = m.start()
+        self.close |= dict.fromkeys(stack, len(self.text))
+        return "".join([*out, self.text[done:]])
+
+    def block(self, offset: int) -> tuple[int, int] | None:
+        """First and last line of the first block that opens at or after offset."""
+        at = bisect.bisect_left(self.opens, offset)
+        if at == len(self.opens):
+            return None
+        return self.line_of(self.opens[at]), self.line_of(min(self.close[self.opens[at]], len(self.text)))
+
+    def around(self, offset: int) -> int | None:
+        """The innermost block that offset lies in."""
+        at = bisect.bisect_left(self.opens, offset) - 1
+        inner = self.opens[at] if at >= 0 else None
+        while inner is not None and self.close[inner] < offset:
+            inner = self.parent[inner]
+        return inner
+
+    def note_before(self, line: int, reach: int | None = None) -> str:
+        """The documenting comments that come before a line with no code between, at most `reach` lines away."""
+        at = bisect.bisect_left(self.code_lines, line)
+        first = self.code_lines[at - 1] + 1 if at else 0
+        first = first if reach is None else max(first, line - reach)
+        return "\n".join(self.notes[x] for x in range(first, line) if x in self.notes)
 
 
 def heading(match: re.Match, parity: bool) -> int:

@@ -95,6 +95,22 @@ def test_rust_sample():
     assert by(rust.parse("a.rs", "struct P(i32, pub u8);").classes)["P"]["properties"] == ["i32", "pub u8"]
 
 
+def test_braces_in_strings_and_comments_do_not_count():
+    f = by(go.parse("a.go", 'package a\n\n// not this\n\nvar x = 1\n\n// F\n/* { */\n// says }\nfunc F() string {\n\t// }\n\tif is(x) { return "}" }\n\treturn `\n}`\n}\n\nfunc g() {}\n').functions)
+    assert (f["F"]["start_line"], f["F"]["end_line"], f["F"]["doc_comment"]) == (10, 15, "F\nsays }")
+    assert (f["g"]["start_line"], f["g"]["doc_comment"]) == (17, "")
+    f = by(rust.parse("a.rs", "impl<T> Shape for Box<T> {\n    /// Size.\n    fn size(&self) -> char {\n        let s = \"}\"; // }\n        if s == r#\"{\"#  { '}' } else { '{' }\n    }\n}\n\nmod inner {\n    fn free() {}\n}\nfn after();\nstruct Unit;\nstruct Next { a: i32 }\n").functions)
+    assert (f["size"]["full_name"], f["size"]["end_line"], f["size"]["doc_comment"], f["size"]["complexity"]) == ("Shape::size", 6, "Size.", 2)
+    assert f["free"]["full_name"] == "free" and f["after"]["end_line"] == 12
+    assert [c["properties"] for c in rust.parse("a.rs", "struct Unit;\nstruct Next { a: i32 }\nstruct More {\n    // no: x\n    b: u8,\n}\n").classes] == [[], [], ["b"]]
+
+
+def test_python_blocks():
+    p = python.parse("a.py", "class A:\n    def f(self):\n        if x:\n            pass\n\n        return 1\n\n    def g(self):\n        \"\"\"One line.\"\"\"\n\n\nx = 1\n")
+    assert [(f["name"], f["start_line"], f["end_line"], f["doc_comment"]) for f in p.functions] == [("f", 2, 6, ""), ("g", 8, 9, "One line.")]
+    assert p.classes[0]["methods"] == ["a.py:A.f", "a.py:A.g"]
+
+
 @pytest.mark.parametrize("parse", [typescript.parse, python.parse, go.parse, rust.parse])
 @pytest.mark.parametrize("source", ["", "\n\n", "{{{ ((( '", "function class def fn struct `${", "}\n)\n]"])
 def test_odd_sources_do_not_fail(parse, source):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import os
-import tempfile
 
 from cartulary.api import Engine
 from cartulary.functions.constants import CATEGORY_LABELS
@@ -59,7 +58,7 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
     if name == "init":
         counts = engine.index(args.semantic, args.tree_sitter)
         if args.watch:
-            engine.watch(tempfile.mkdtemp(prefix="watch-")).awaitTermination()
+            engine.watch(f"{engine.store.root}/watch").awaitTermination()
         return " ".join(f"{k}={v}" for k, v in sorted(counts.items()))
     if name in ("context", "ask"):
         c = engine.get_context(" ".join(args.query), args.max_tokens)

@@ -27,6 +27,13 @@ def candidates(from_path: Column, spec: Column, js_to_ts: bool = False) -> Colum
     return F.array(*own, *index, *more)
 
 
+def concerned(imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """(from_path) of the relative imports (from_path, spec) that may mean one of the paths (path)."""
+    relative = imports.filter(F.col("spec").startswith("."))
+    tried = relative.select("from_path", F.explode(candidates(F.col("from_path"), F.col("spec"))).alias("path"))
+    return tried.join(paths.select("path"), "path", "left_semi").select("from_path").distinct()
+
+
 def resolve(imports: DataFrame, files: DataFrame, js_to_ts: bool = False) -> DataFrame:
     """imports (from_path, spec) -> (from_path, spec, to_path) of the relative ones that resolve: the first candidate that is a file.
 

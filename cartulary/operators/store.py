@@ -1,19 +1,29 @@
 """The snapshot store: entity tables as versioned Parquet folders, changed by anti-join and union.
 
-A change writes the new version of each table it touches beside the old one and then moves the pointer file, so readers see the
-old version or the new one. Tables are sorted by file within partitions, which gives Parquet's statistics for point lookups.
+A table is cut into buckets by a hash of the file that a row belongs to, so all that a file owns is in one bucket of each table. A
+change writes the buckets that it touches beside the old ones, and then a manifest that names a folder for each bucket. Manifests
+are never changed or written over: each has the next number, a reader takes the highest, and so sees the old state or the new one
+whole. Of two writers at the same time one fails. Buckets are sorted by file, which gives Parquet's statistics for point lookups.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartulary.schema import KEYS, SCHEMA_VERSION, TABLES, checked, with_defaults
 
 CHILDREN = ("functions", "classes", "types")
+#: The column that tells the file (or another thing with a prefix of its own) that a row belongs to.
+OWNER = {"files": "id", "functions": "file_id", "classes": "file_id", "types": "file_id", "relationships": "source_id", "imports": "from_path", "embeddings": "entity_id", "feedback": "id"}
+#: Manifests, beside the newest, whose data stay.
+KEPT = 10
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -74,82 +84,166 @@ def relationships_of(relationships: DataFrame, entity: str) -> DataFrame:
     return relationships.filter((F.col("source_id") == entity) | (F.col("target_id") == entity))
 
 
+def bucket_of(owner: Column, buckets: int) -> Column:
+    """The bucket of a file's path, or of an id that starts with it and a colon."""
+    return F.pmod(F.xxhash64(F.substring_index(owner, ":", 1)), F.lit(buckets)).cast("int")
+
+
 class Store:
-    """Entity tables under a folder: <root>/<version>/<table>, and the version in <root>/current."""
+    """Entity tables under a folder: <root>/data/<table>/<change>/bucket=<n>, and manifests <root>/versions/<number>.
+
+    buckets counts when the store is made; later the first manifest tells it.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        self._fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self._buckets = spark, root, buckets
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, *parts: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+        return self._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *filter(None, parts))))
 
-    def _pointer(self) -> dict[str, int] | None:
-        """Table -> version; None without a store or with one of another schema version, which counts as empty."""
-        if not self._fs.exists(self._path("current")):
-            return None
-        lines = [r.value for r in self.spark.read.text(f"{self.root}/current").collect()]
-        found = dict(x.split("=") for x in lines)
-        return {k: int(v) for k, v in found.items() if k != "schema"} if found.get("schema") == str(SCHEMA_VERSION) else None
+    # --- manifests
+
+    def versions(self) -> list[int]:
+        """Numbers of the manifests, ascending."""
+        place = self._path("versions")
+        if not self._fs.exists(place):
+            return []
+        names = (x.getPath().getName() for x in self._fs.listStatus(place))
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def manifest(self, version: int | None = None) -> dict:
+        """What a version (by default the newest) consists of; an empty one without a store, or for another schema version."""
+        if version is None:
+            version = max(self.versions(), default=None)
+        empty = {"schema": SCHEMA_VERSION, "version": version or 0, "buckets": self._buckets, "tables": {}}
+        if version is None:
+            return empty
+        stream = self._fs.open(self._path("versions", str(version)))
+        try:
+            found = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return found if found["schema"] == SCHEMA_VERSION else empty
+
+    def _publish(self, manifest: dict) -> None:
+        """Writes a manifest under a name of its own and gives it its number, unless there is one with that number."""
+        draft = self._path("versions", f".{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, False)
+        try:
+            stream.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        finally:
+            stream.close()
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri())
+        never_over = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(draft, self._path("versions", str(manifest["version"])), never_over)
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"another writer made version {manifest['version']}") from e
+
+    def vacuum(self, kept: int = KEPT) -> None:
+        """Deletes all but the newest manifest and `kept` before it, and the data that none of these name."""
+        versions = self.versions()
+        live = versions[-kept - 1 :]
+        used = {(t, change) for v in live for t, places in self.manifest(v)["tables"].items() for change in places.values()}
+        for version in versions[: -kept - 1]:
+            for t, places in self.manifest(version)["tables"].items():
+                for change in set(places.values()):
+                    if (t, change) not in used:
+                        self._fs.delete(self._path("data", t, change), True)
+            self._fs.delete(self._path("versions", str(version)), False)
+
+    # --- tables
 
     @property
     def is_indexed(self) -> bool:
-        return self._pointer() is not None
+        return bool(self.manifest()["tables"])
 
-    def table(self, name: str) -> DataFrame:
-        version = (self._pointer() or {}).get(name)
-        if version is None:
+    def buckets(self, table: str, rows: DataFrame) -> list[int]:
+        """The buckets that rows of a table go to."""
+        found = rows.select(bucket_of(F.col(OWNER[table]), self.manifest()["buckets"]).alias("b")).distinct().collect()  # as many as there are buckets
+        return sorted(r.b for r in found)
+
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets."""
+        return self._table(self.manifest(), name, buckets)
+
+    def _table(self, manifest: dict, name: str, buckets: list[int] | None = None) -> DataFrame:
+        places = manifest["tables"].get(name, {})
+        wanted = sorted(places) if buckets is None else [str(b) for b in buckets if str(b) in places]
+        if not wanted:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/v{version}/{name}")
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {t: self.table(t) for t in TABLES}
-
-    def write(self, changed: dict[str, DataFrame]) -> None:
-        """A new version of some tables."""
-        pointer = self._pointer() or {}
-        version = max([0, *pointer.values()]) + 1
-        for name, df in changed.items():
-            rows = checked(name, with_defaults(name, df))
-            order = "file_id" if "file_id" in rows.columns else KEYS[name][0]
-            rows.sortWithinPartitions(order).write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
-            pointer[name] = version
-        lines = [f"schema={SCHEMA_VERSION}", *(f"{k}={v}" for k, v in sorted(pointer.items()))]
-        self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/next")
-        self._fs.delete(self._path("current"), True)
-        self._fs.rename(self._path("next"), self._path("current"))
+        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/data/{name}/{places[b]}/bucket={b}" for b in wanted))
+
+    def tables(self, buckets: list[int] | None = None) -> dict[str, DataFrame]:
+        """All tables of one version."""
+        manifest = self.manifest()
+        return {t: self._table(manifest, t, buckets) for t in TABLES}
+
+    def write(self, changed: dict[str, DataFrame], buckets: dict[str, list[int]] | None = None) -> None:
+        """A new version, in which some tables (or the given buckets of them) have these rows and all else stays."""
+        manifest = self.manifest()
+        tables, change = manifest["tables"], uuid.uuid4().hex
+
+        def made(name: str) -> set[str]:
+            """Writes a table's rows; the buckets that have some."""
+            rows = checked(name, with_defaults(name, changed[name])).withColumn("bucket", bucket_of(F.col(OWNER[name]), manifest["buckets"]))
+            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", OWNER[name]).write.partitionBy("bucket").parquet(f"{self.root}/data/{name}/{change}")
+            return {x.getPath().getName().removeprefix("bucket=") for x in self._fs.listStatus(self._path("data", name, change)) if x.isDirectory()}
+
+        with ThreadPoolExecutor(len(changed) or 1) as pool:  # the tables are written side by side
+            written = dict(zip(changed, pool.map(made, changed), strict=True))
+        for name, places in written.items():
+            touched = {str(b) for b in buckets[name]} if buckets is not None and name in buckets else {*tables.get(name, {}), *places}
+            if not places <= touched:
+                raise ValueError(f"rows of {name} are outside the buckets that are replaced")
+            tables[name] = {b: c for b, c in tables.get(name, {}).items() if b not in touched} | dict.fromkeys(places, change)
+        self._publish(manifest | {"version": manifest["version"] + 1})
+        self.vacuum()
 
     def upsert(self, table: str, rows: DataFrame) -> None:
         """Rows replace those with their key; of several with one key any may win, so give latest() its order first."""
         key = KEYS[table]
-        new = with_defaults(table, rows)
-        self.write({table: merged(self.table(table), new.dropDuplicates(key), key)})
+        new = with_defaults(table, rows).dropDuplicates(key)
+        old = self.table(table).join(new.select(*key), key, "left_semi")
+        touched = sorted({*self.buckets(table, new), *self.buckets(table, old)})
+        self.write({table: merged(self.table(table, touched), new, key)}, {table: touched})
 
     def insert_feedback(self, rows: DataFrame) -> None:
         """Appends; an id that is there already is an error."""
-        old = self.table("feedback")
+        touched = self.buckets("feedback", rows)
+        old = self.table("feedback", touched)
         twice = rows.join(old.select("id"), "id", "left_semi")
         if not twice.isEmpty():
             raise ValueError("feedback has an id that exists")
-        self.write({"feedback": old.unionByName(with_defaults("feedback", rows))})
+        self.write({"feedback": old.unionByName(with_defaults("feedback", rows))}, {"feedback": touched})
 
     def delete_files(self, gone: DataFrame) -> None:
         """Deletes files (id) with all that belongs to them."""
-        before = self.tables()
-        after = without_files(before, gone)
-        self.write({t: df for t, df in after.items() if df is not before[t]})
+        touched = self.buckets("files", gone)
+        before = self.tables(touched)
+        after = {t: df for t, df in without_files(before, gone).items() if df is not before[t]}
+        self.write(after, dict.fromkeys(after, touched))
 
     def delete_embeddings(self, gone: DataFrame) -> None:
         """Deletes the vectors of files' functions and classes, not the files."""
-        t = self.tables()
-        self.write({"embeddings": without_files(t, gone)["embeddings"]})
+        touched = self.buckets("files", gone)
+        self.write({"embeddings": without_files(self.tables(touched), gone)["embeddings"]}, {"embeddings": touched})
+
+    # --- lookups
 
     def file_by_path(self, path: str) -> DataFrame:
-        return self.table("files").filter(F.col("path") == path)
+        return self._of(path, "files").filter(F.col("path") == path)
 
     def function_by_id(self, key: str) -> DataFrame:
-        return self.table("functions").filter(F.col("id") == key)
+        return self._of(key, "functions").filter(F.col("id") == key)
+
+    def _of(self, owner: str, table: str) -> DataFrame:
+        """The bucket that an owner's rows are in."""
+        n = self.manifest()["buckets"]
+        return self.table(table, [self.spark.range(1).select(bucket_of(F.lit(owner), n)).first()[0]])
 
     def feedback_for(self, context_id: str) -> DataFrame:
         return self.table("feedback").filter(F.col("context_id") == context_id).orderBy(F.col("created_at").desc(), "id")
@@ -158,4 +252,5 @@ class Store:
         return not self.table("embeddings").isEmpty()
 
     def stats(self) -> DataFrame:
-        return counts({t: self.table(t) for t in ("files", *CHILDREN, "relationships")})
+        tables = self.tables()
+        return counts({t: tables[t] for t in ("files", *CHILDREN, "relationships")})

@@ -29,6 +29,8 @@ def clamp(days: int, count: int) -> tuple[int, int]:
 def commits(spark: SparkSession, root: str, days: int = 7, count: int = 10, since: str | None = None) -> DataFrame:
     """(pos, hash, subject) of the last commits: since a date, after a revision, or of the last days."""
     days, count = clamp(days, count)
+    if since is not None and since.lstrip().startswith("-"):
+        raise ValueError(f"neither a date nor a revision: {since}")
     span = [f"--since={days} days ago"] if since is None else [f"--since={since}"] if is_date(since) else [f"{since}..HEAD"]
     lines = _git(root, "log", "--oneline", f"-{count}", *span)
     return spark.createDataFrame([(i, *x.partition(" ")[::2]) for i, x in enumerate(lines)], "pos int, hash string, subject string")

@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,26 +61,48 @@ class _Reader(DataSourceReader):
                 continue
 
 
+#: What a watch doesn't look at, anywhere in a relative path (fixed value).
+WATCH_IGNORED = re.compile(r"(^|/)\.|node_modules|dist")
+
+
 class _Changes(SimpleDataSourceStreamReader):
-    """Changes since the last offset, which is the map of paths to content hashes: so a replay gives the same rows."""
+    """Changes since the last offset, which is the map of paths to content hashes.
+
+    A replay gives the same paths; contents are those of the time when it runs, or an unlink if the file is gone, so that applying
+    them again leads to the same state. A file counts once it hasn't been written to for `settle` milliseconds; until then it is as
+    it was before. Files are hashed when their time or size has changed. The driver lists the tree, which must be where it can.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
         self.existing = options.get("existing", "true") == "true"
+        self.settle = float(options.get("settle", "300")) / 1000
+        self.hashes: dict[str, tuple[tuple[int, int], str]] = {}  # path: (time and size), hash
 
-    def _state(self) -> dict[str, str]:
+    def _state(self, before: dict[str, str]) -> dict[str, str]:
         # A running watch doesn't read the ignore file; a scan does.
         out = {}
         for p in find_files(self.root, use_ignore=False):
+            if WATCH_IGNORED.search(p):
+                continue
             try:
-                with open(os.path.join(self.root, p), "rb") as f:
-                    out[p] = hashlib.sha256(f.read()).hexdigest()
+                place = os.path.join(self.root, p)
+                found = os.stat(place)
+                if time.time() - found.st_mtime < self.settle:
+                    if p in before:
+                        out[p] = before[p]
+                    continue
+                mark = (found.st_mtime_ns, found.st_size)
+                if self.hashes.get(p, (None, ""))[0] != mark:
+                    with open(place, "rb") as f:
+                        self.hashes[p] = mark, hashlib.sha256(f.read()).hexdigest()
+                out[p] = self.hashes[p][1]
             except OSError:
                 continue
         return out
 
     def initialOffset(self) -> dict:
-        return {"files": json.dumps({} if self.existing else self._state(), sort_keys=True)}
+        return {"files": json.dumps({} if self.existing else self._state({}), sort_keys=True)}
 
     def _between(self, before: dict[str, str], after: dict[str, str]) -> list[tuple[str, str, str | None]]:
         rows = []
@@ -93,8 +117,9 @@ class _Changes(SimpleDataSourceStreamReader):
         return rows
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        after = self._state()
-        return iter(self._between(json.loads(start["files"]), after)), {"files": json.dumps(after, sort_keys=True)}
+        before = json.loads(start["files"])
+        after = self._state(before)
+        return iter(self._between(before, after)), {"files": json.dumps(after, sort_keys=True)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         return iter(self._between(json.loads(start["files"]), json.loads(end["files"])))
@@ -115,7 +140,7 @@ class RepositorySource(DataSource):
 
 
 class RepositoryChanges(DataSource):
-    """The stream of a repository's changes: op (add, change, unlink), path, content."""
+    """The stream of a repository's changes: op (add, change, unlink), path, content. Options: path, existing, settle (milliseconds)."""
 
     @classmethod
     def name(cls) -> str:

@@ -12,6 +12,7 @@ from cartulary.operators.embedding import Model
 from cartulary.operators.index import index_changes
 from cartulary.operators.parsing import Parser
 from cartulary.operators.store import Store
+from cartulary.scratch import scratch, written
 from cartulary.sources.repository import register
 
 
@@ -22,17 +23,17 @@ def changes(spark: SparkSession, root: str, existing: bool = False) -> DataFrame
 
 
 def apply_changes(stream: DataFrame, store: Store, checkpoint: str, interval: str = "1 second", registry: dict[str, Parser] | None = None, model: Model | None = None, on_batch: Callable[[int, dict[str, int]], None] | None = None) -> StreamingQuery:
-    """Applies a stream of changes; within a batch the last change of a path counts, so quick successive writes are one.
+    """Applies a stream of changes; within a batch the last change of a path counts, so quick successive writes are one, and the source waits until a file is written.
 
-    A batch that is run again after a failure gives the same store. on_batch gets the batch's number and its counts by op.
+    A batch that is run again after a failure gives the same store. on_batch gets the batch's number and its counts by op and of errors.
     """
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.withColumn("seq", F.monotonically_increasing_id()).persist()
-        counts = {r.op: r["count"] for r in rows.groupBy("op").count().collect()}
-        if counts:
-            index_changes(store, rows, registry, model)
-            if on_batch:
-                on_batch(number, counts)
-        rows.unpersist()
+        with scratch():
+            rows = written(rows.withColumn("seq", F.monotonically_increasing_id()), "changes")
+            counts = {r.op: r["count"] for r in rows.groupBy("op").count().collect()}
+            if counts:
+                errors = index_changes(store, rows, registry, model)
+                if on_batch:
+                    on_batch(number, counts | {"errors": errors})
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

@@ -102,6 +102,8 @@ def test_analytics(spark, engine, tmp_path):
 def test_git(spark, engine, repo):
     assert git.is_date("2024-01-01") and git.is_date("2 weeks ago") and not git.is_date("HEAD~3") and not git.is_date("v1.2")
     assert git.clamp(0, 500) == (1, 100)
+    with pytest.raises(ValueError, match="neither"):
+        git.commits(spark, str(repo), since="--output=/tmp/x")
     found = engine.recent_changes()
     assert [s for _, s in found["commits"]] == ["second", "first"]
     assert "src/auth.ts" in found["files"] and found["indexed"]
@@ -162,6 +164,8 @@ def test_watch(spark, tmp_path):
             time.sleep(0.5)
         raise AssertionError({r.name for r in s.table("functions").collect()})
 
+    (root / "src/distance.py").write_text("def ignored():\n    pass\n")
+    (root / "src/.hidden.py").write_text("def ignored():\n    pass\n")
     try:
         until({"one"})
         (root / "src/b.py").write_text("def two():\n    pass\n")
@@ -169,6 +173,8 @@ def test_watch(spark, tmp_path):
         until({"uno", "two"})
         (root / "src/b.py").unlink()
         until({"uno"})
+        while "unlink" not in seen[-1]:  # a batch is told of after it is stored
+            time.sleep(0.1)
     finally:
         q.stop()
-    assert {k for c in seen for k in c} == {"add", "change", "unlink"}
+    assert {k for c in seen for k in c} == {"add", "change", "unlink", "errors"}

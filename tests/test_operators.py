@@ -1,3 +1,6 @@
+import json
+import threading
+
 import random
 
 import pytest
@@ -86,11 +89,63 @@ def test_store(spark, tmp_path, tables):
         s.insert_feedback(spark.createDataFrame(row, schema.FEEDBACK))
     with pytest.raises(Exception, match="check of feedback"):
         s.insert_feedback(spark.createDataFrame([("f2", "q", "c", 6, [], [], None)], schema.FEEDBACK))
-    (tmp_path / "other").mkdir()
-    spark.createDataFrame([("schema=2",), ("files=1",)], "value string").coalesce(1).write.mode("overwrite").text(str(tmp_path / "index" / "current"))
+    assert s.versions() == [1, 2, 3, 4, 5]
+    (tmp_path / "index" / "versions" / "6").write_text(json.dumps(s.manifest() | {"schema": schema.SCHEMA_VERSION - 1, "version": 6}))
     assert not s.is_indexed  # another schema version counts as empty
 
 
+def test_a_change_rewrites_only_its_buckets(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "index"), buckets=16)
+    paths = [f"src/f{i}.ts" for i in range(60)]
+    s.write({"files": files_of(spark, *paths)})
+    first = s.manifest()["tables"]["files"]
+    s.upsert("files", files_of(spark, paths[7]).withColumn("content_hash", F.lit("new")))
+    then = s.manifest()["tables"]["files"]
+    assert first.keys() == then.keys() and sum(first[b] != then[b] for b in first) == 1
+    assert s.table("files").count() == 60 and s.file_by_path(paths[7]).first().content_hash == "new"
+    (at,) = {change for b, change in then.items() if change != first[b]}
+    assert sum(len(list(x.glob("part-*"))) for x in (tmp_path / "index/data/files" / at).iterdir() if x.is_dir()) == 1
+    s.delete_files(spark.createDataFrame([(paths[7],)], "id string"))
+    assert s.table("files").count() == 59
+
+
+def test_a_manifest_is_never_written_over(spark, tmp_path):
+    a, b = (store.Store(spark, str(tmp_path / "index")) for _ in range(2))
+    a.write({"files": files_of(spark, "a.ts")})
+    late = b.manifest() | {"version": 1}
+    with pytest.raises(RuntimeError, match="another writer"):
+        b._publish(late)
+    assert a.versions() == [1] and a.table("files").count() == 1
+
+
+def test_readers_see_whole_versions(spark, tmp_path):
+    s, other, seen, stop = store.Store(spark, str(tmp_path / "index")), store.Store(spark, str(tmp_path / "index")), [], threading.Event()
+    s.write({"files": files_of(spark, "a.ts", "b.ts").withColumn("content_hash", F.lit("-"))})
+
+    def read():
+        while not stop.is_set():
+            seen.append(sorted(r.content_hash for r in other.table("files").collect()))
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        for i in range(6):
+            s.write({"files": files_of(spark, "a.ts", "b.ts").withColumn("content_hash", F.lit(str(i)))})
+    finally:
+        stop.set()
+        reader.join()
+    assert len(seen) > 3 and all(len(x) == 2 and len(set(x)) == 1 for x in seen)
+
+
+def test_old_versions_are_deleted(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "index"))
+    for i in range(4):
+        s.write({"files": files_of(spark, "a.ts").withColumn("content_hash", F.lit(str(i)))})
+    s.vacuum(kept=1)
+    assert s.versions() == [3, 4] and len([x for x in (tmp_path / "index/data/files").iterdir()]) == 2
+    assert s.file_by_path("a.ts").first().content_hash == "3"
+
+
 def test_diff_and_latest(spark):
     a = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", "3")], "path string, content_hash string")
     b = spark.createDataFrame([("y", "2"), ("z", "0"), ("w", "9")], "path string, content_hash string")

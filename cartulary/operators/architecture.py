@@ -36,14 +36,19 @@ def file_exports(functions: DataFrame) -> DataFrame:
 def cohesion(members: DataFrame, exports: DataFrame) -> DataFrame:
     """(root_path, cohesion): mean Jaccard similarity of the export sets of a module's file pairs.
 
-    Only pairs that share a name add to the mean, so they alone are made, by joining on module and name; all other pairs
-    count in the denominator n(n-1)/2. A module of n files without shared names costs n rows, not n squared.
+    Files of a module with the same set count as one set, times their number: a name that thousands of files export alike costs
+    one row. Only pairs of sets that share a name add to the mean, so they alone are made, by joining on module and name; all
+    other pairs count in the denominator n(n-1)/2.
     """
-    sized = members.join(exports.groupBy("file_id").agg(F.count(F.lit(1)).alias("exports")), "file_id")
-    named = sized.join(exports, "file_id").select("root_path", "full_name", "file_id", "exports")
-    other = named.select("root_path", "full_name", F.col("file_id").alias("file_b"), F.col("exports").alias("exports_b"))
-    shared = named.join(other, ["root_path", "full_name"]).filter("file_id < file_b").groupBy("root_path", "file_id", "file_b").agg(F.count(F.lit(1)).alias("common"), F.first("exports").alias("a"), F.first("exports_b").alias("b"))
-    total = shared.groupBy("root_path").agg(F.sum(F.col("common") / (F.col("a") + F.col("b") - F.col("common"))).alias("similarity"))
+    sets = exports.groupBy("file_id").agg(F.array_sort(F.collect_set("full_name")).alias("names"))
+    alike = members.join(sets, "file_id").groupBy("root_path", "names").agg(F.count(F.lit(1)).alias("files")).withColumn("key", F.sha2(F.to_json("names"), 256))
+    named = alike.select("root_path", "key", "files", F.size("names").alias("exports"), F.explode("names").alias("full_name"))
+    other = named.select("root_path", "full_name", F.col("key").alias("key_b"), F.col("files").alias("files_b"), F.col("exports").alias("exports_b"))
+    shared = named.join(other, ["root_path", "full_name"]).filter("key < key_b").groupBy("root_path", "key", "key_b").agg(
+        F.count(F.lit(1)).alias("common"), F.first(F.col("files") * F.col("files_b")).alias("times"), F.first(F.col("exports") + F.col("exports_b")).alias("both"))
+    within = alike.select("root_path", (F.col("files") * (F.col("files") - 1) / 2).alias("similarity"))
+    across = shared.select("root_path", (F.col("times") * F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
+    total = within.union(across).groupBy("root_path").agg(F.sum("similarity").alias("similarity"))
     pairs = F.col("n_files") * (F.col("n_files") - 1) / 2
     return large_modules(members).join(total, "root_path", "left").select("root_path", (F.coalesce("similarity", F.lit(0.0)) / pairs).alias("cohesion"))
 
@@ -71,17 +76,26 @@ def coupling(members: DataFrame, exports: DataFrame, functions: DataFrame) -> Da
 def _mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
     """(full_name, text) where one of the text's fields matches %word% (an underscore matches any character, as in keyword search).
 
-    A word is looked for in the texts that have one of its trigrams (that with the least hash), so the join is by key; only words
-    without a trigram of plain characters are held against all texts.
+    A word is looked for in the texts that have the rarest of its runs of three plain characters (of two or one, if it has none
+    of three), so the join is by key at every length. Words of wildcards alone match nearly every text; they meet the texts by
+    a salt, and cost what they return.
     """
-    plain = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 2, F.lit(1))), lambda i: F.substring("word", i, 3)), lambda g: (F.length(g) == 3) & ~g.rlike(r"[_%\\\\]"))
-    gram = F.array_min(F.transform(plain, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
-    keyed = names.withColumn("gram", gram)
+    spread = 64  # tasks that share the texts of words without plain characters
+    runs = lambda c, n: F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, n)), lambda g: F.length(g) == n))
+    plain = lambda n: F.filter(runs(F.col("word"), n), lambda g: ~g.rlike(r"[_%\\]"))
+    longest = F.array()
+    for n in (1, 2, 3):
+        longest = F.when(F.size(plain(n)) > 0, plain(n)).otherwise(longest)
+    salts = F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda i: F.concat(F.lit("\u0000"), i.cast("string")))
     said = F.concat_ws("\n", "text.name", "text.full_name", "text.doc_comment")
-    grams = texts.select("text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(said) - 2, F.lit(1))), lambda i: F.substring(said, i, 3)))).alias("gram"))
+    salt = F.array(F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("text"), F.lit(spread)).cast("string")))
+    grams = texts.select("text", F.explode(F.concat(*(runs(said, n) for n in (1, 2, 3)), salt)).alias("gram"))
+    keyed = names.withColumn("grams", longest)
+    rarest = keyed.select("full_name", F.explode("grams").alias("gram")).join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "gram")
+    rarest = rarest.groupBy("full_name").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"))
+    wild = keyed.filter(F.size("grams") == 0).select("full_name", "word", F.explode(salts).alias("gram"))
     like = F.expr(" or ".join(f"text.{c} like concat('%', replace(word, '\\\\', '\\\\\\\\'), '%')" for c in ("name", "full_name", "doc_comment")))
-    found = keyed.filter("gram is not null").join(grams, "gram").filter(like).select("full_name", "text")
-    return found.union(keyed.filter("gram is null").join(texts, like).select("full_name", "text"))
+    return names.join(rarest, "full_name").select("full_name", "word", "gram").union(wild).join(grams, "gram").filter(like).select("full_name", "text")
 
 
 def submodules(members: DataFrame) -> DataFrame:
@@ -91,20 +105,30 @@ def submodules(members: DataFrame) -> DataFrame:
     return large.filter(F.size(parts) == 3).select(F.array_join(F.slice(parts, 1, 2), "/").alias("root_path"), "sub_path")
 
 
+def module_exports(members: DataFrame, exports: DataFrame) -> DataFrame:
+    """(root_path, exports): distinct exported names, sorted; only of modules that have some."""
+    return members.join(exports, "file_id").groupBy("root_path").agg(F.array_sort(F.collect_set("full_name")).alias("exports"))
+
+
+def module_imports(members: DataFrame, relationships: DataFrame) -> DataFrame:
+    """(root_path, imports): distinct files outside that a module's files import, sorted; only of modules that have some."""
+    targets = relationships.filter("relation_type = 'imports'").select(F.col("source_id").alias("file_id"), "target_id")
+    used = members.join(targets, "file_id").select("root_path", "target_id").distinct()
+    foreign = used.join(members.select("root_path", F.col("file_id").alias("target_id")), ["root_path", "target_id"], "left_anti")
+    return foreign.groupBy("root_path").agg(F.array_sort(F.collect_set("target_id")).alias("imports"))
+
+
 def modules(files: DataFrame, functions: DataFrame, relationships: DataFrame | None = None) -> DataFrame:
     """Modules with id, name, root_path, files, exports, imports, sub_modules, cohesion and coupling; arrays are sorted."""
     members = module_members(files)
     exports = file_exports(functions)
     base = large_modules(members)
     listed = members.groupBy("root_path").agg(F.array_sort(F.collect_list("path")).alias("files"))
-    exported = members.join(exports, "file_id").groupBy("root_path").agg(F.array_sort(F.collect_set("full_name")).alias("exports"))
+    exported = module_exports(members, exports)
     subs = submodules(members).groupBy("root_path").agg(F.array_sort(F.collect_set("sub_path")).alias("sub_modules"))
     out = base.join(listed, "root_path").join(exported, "root_path", "left").join(subs, "root_path", "left")
     if relationships is not None:
-        targets = relationships.filter("relation_type = 'imports'").select(F.col("source_id").alias("file_id"), "target_id")
-        used = members.join(targets, "file_id").select("root_path", "target_id").distinct()
-        foreign = used.join(members.select("root_path", F.col("file_id").alias("target_id")), ["root_path", "target_id"], "left_anti")
-        out = out.join(foreign.groupBy("root_path").agg(F.array_sort(F.collect_set("target_id")).alias("imports")), "root_path", "left")
+        out = out.join(module_imports(members, relationships), "root_path", "left")
     else:
         out = out.withColumn("imports", F.array().cast("array<string>"))
     out = out.join(cohesion(members, exports), "root_path").join(coupling(members, exports, functions), "root_path")
@@ -192,5 +216,3 @@ def report(mods: list, found: list) -> str:
             lines += [f"- **{c.name}** ({c.type}, {rounded(c.confidence)}%)", f"  {c.description}", ""]
     return "\n".join(lines) + ("" if lines[-1] == "" else "\n")
 
-
-__all__ = ["cohesion", "concepts", "coupling", "domains", "file_exports", "large_modules", "layers", "module_members", "modules", "patterns", "percent", "report", "submodules"]

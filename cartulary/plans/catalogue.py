@@ -162,11 +162,11 @@ def upsert_latest(v: Views) -> DataFrame:
     return store.latest(rows, ["id"], "seq")
 
 
-@query("SELECT id, CAST(sum(n) AS BIGINT) AS n, max(last) AS last FROM (SELECT user_id AS id, 1 AS n, event_id AS last FROM events WHERE event_id % 3 <> 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 10 = 0) UNION ALL SELECT user_id, 1, max(event_id) FROM events WHERE event_id % 10 = 0 GROUP BY user_id) GROUP BY id")
+@query("SELECT id, CAST(sum(n) AS BIGINT) AS n, max(last) AS last FROM (SELECT user_id AS id, 1 AS n, event_id AS last FROM events WHERE event_id % 10 <> 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 10 = 0) UNION ALL SELECT user_id, 1, max(event_id) FROM events WHERE event_id % 10 = 0 GROUP BY user_id) GROUP BY id")
 def upsert_merge(v: Views) -> DataFrame:
-    """An old table with changed keys replaced."""
+    """An old table with changed keys replaced: every tenth event is a change, all others are the old table."""
     e = v["events"].select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"))
-    merged = store.merged(e.filter("seq % 3 <> 0"), store.latest(e.filter("seq % 10 = 0"), ["id"], "seq"), ["id"])
+    merged = store.merged(e.filter("seq % 10 <> 0"), store.latest(e.filter("seq % 10 = 0"), ["id"], "seq"), ["id"])
     return merged.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
 
 
@@ -280,6 +280,17 @@ def directory_conventions(v: Views) -> DataFrame:
     return conventions.top_directories(v["v_files"])
 
 
+def _of_settings(sql: str) -> str:
+    return sql.replace("v_files", "v_settings")
+
+
+@query(_of_settings(_rules(duckdb_ctes("v_settings"), [*_STRUCTURE, *_TESTING, *_DIRECTORIES], _FILE_COUNTS)))
+def directory_rules(v: Views) -> DataFrame:
+    """Rules on paths, over files that have documentation, scripts, lock files and test folders."""
+    files = v["v_settings"]
+    return _report(conventions.file_structure(files).union(conventions.testing(files)).union(conventions.directories(files)))
+
+
 @query(f"{duckdb_ctes('v_functions')}, f AS ({_NAMING_COUNTS}), g AS ({_FILE_COUNTS}), r AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS category, CAST({conf} AS DOUBLE) AS confidence, {ex} AS examples FROM {t} WHERE {cond}" for t, rules in (("f", [*_NAMING, _EXPORTED]), ("g", [*_STRUCTURE, *_TESTING, _BARRELS, *_DIRECTORIES])) for c, _, cond, conf, _, ex in rules
 ) + ") SELECT category, CAST(sum(len(examples)) AS BIGINT) AS examples, count(*) AS conventions, count(*) FILTER (confidence > 0.7) AS high_confidence FROM r GROUP BY category")
@@ -323,8 +334,25 @@ def module_coupling(v: Views) -> DataFrame:
 def module_exports(v: Views) -> DataFrame:
     """Distinct exported names of each module."""
     members = architecture.module_members(v["v_files"])
-    named = members.join(architecture.large_modules(members), "root_path").join(architecture.file_exports(v["v_functions"]), "file_id")
-    return named.groupBy("root_path").agg(F.array_sort(F.collect_set("full_name")).alias("exports")).withColumn("n", F.size("exports").cast("long"))
+    found = architecture.module_exports(members, architecture.file_exports(v["v_functions"]))
+    return found.join(architecture.large_modules(members), "root_path", "left_semi").withColumn("n", F.size("exports").cast("long"))
+
+
+_IMPORTS = "rel AS (SELECT 'rel:' || a.doc_id AS id, a.id AS source_id, b.id AS target_id FROM v_files a JOIN (SELECT doc_id // 10 AS g, min_by(id, doc_id) AS id FROM v_files GROUP BY 1) b ON b.g = a.doc_id // 10 WHERE a.id <> b.id)"
+
+
+def _relationships(v: Views) -> DataFrame:
+    """Each file imports the first of its ten."""
+    f = v["v_files"].withColumn("g", F.expr("doc_id div 10"))
+    first = f.groupBy("g").agg(F.min_by("id", "doc_id").alias("target_id"))
+    rows = f.join(first, "g").filter("id <> target_id")
+    return rows.select(F.concat(F.lit("rel:"), F.col("doc_id").cast("string")).alias("id"), F.col("id").alias("source_id"), "target_id", F.lit("imports").alias("relation_type"), F.create_map().cast("map<string,string>").alias("metadata"))
+
+
+@query(f"{_MEMBERS}, {_IMPORTS}, used AS (SELECT DISTINCT root_path, target_id FROM members JOIN rel ON source_id = file_id) SELECT root_path, list(target_id ORDER BY target_id) AS imports FROM used WHERE (root_path, target_id) NOT IN (SELECT (root_path, file_id) FROM members) GROUP BY root_path")
+def module_imports(v: Views) -> DataFrame:
+    """Distinct files outside that each module imports."""
+    return architecture.module_imports(architecture.module_members(v["v_files"]), _relationships(v))
 
 
 @query(f"{_MEMBERS} SELECT a.root_path, b.root_path AS sub_path FROM (SELECT DISTINCT root_path FROM members) a JOIN large b ON starts_with(b.root_path, a.root_path || '/')")
@@ -336,8 +364,11 @@ def _any(column: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(lower({column}), '{w}')" for w in words) + ")"
 
 
-@query(f"{_MEMBERS} " + " UNION ALL ".join(
-    f"SELECT '{name}' AS name, {_r2('c')} AS confidence, 'Detected ' || m || ' modules and ' || f || ' files matching {name.lower()} patterns.' AS description, e AS evidence, r AS related_files FROM (SELECT *, least((m + f / 10) / 5, 1) AS c FROM (SELECT count(*) FILTER ({_any('root_path', words)}) AS m, {_top('root_path', _any('root_path', words), 'root_path', 3)} AS e FROM large), (SELECT count(*) FILTER ({_any('path', words)}) AS f, {_top('path', _any('path', words), 'path', 10)} AS r FROM v_files)) WHERE c > 0.2" for name, words in LAYERS.items()))
+_LAYERS = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, {_r2('c')} AS confidence, 'Detected ' || m || ' modules and ' || f || ' files matching {name.lower()} patterns.' AS description, e AS evidence, r AS related_files FROM (SELECT *, least((m + f / 10) / 5, 1) AS c FROM (SELECT count(*) FILTER ({_any('root_path', words)}) AS m, {_top('root_path', _any('root_path', words), 'root_path', 3)} AS e FROM large), (SELECT count(*) FILTER ({_any('path', words)}) AS f, {_top('path', _any('path', words), 'path', 10)} AS r FROM v_files)) WHERE c > 0.2" for name, words in LAYERS.items())
+
+
+@query(f"{_MEMBERS} {_LAYERS}")
 def layers(v: Views) -> DataFrame:
     return architecture.layers(v["v_files"]).select("name", "confidence", "description", "evidence", "related_files")
 
@@ -347,11 +378,31 @@ def patterns(v: Views) -> DataFrame:
     return architecture.patterns(v["v_files"]).select("name", "confidence", "description", "related_files")
 
 
-@query(f"{_MEMBERS} " + " UNION ALL ".join(f"SELECT '{k.capitalize()} Domain' AS name, CAST(least(n / 3, 0.95) AS DOUBLE) AS confidence, n || ' modules related to {k.capitalize()} functionality.' AS description, e AS evidence FROM (SELECT count(*) AS n, list(root_path ORDER BY root_path) AS e FROM large WHERE contains(lower(root_path), '{k}')) WHERE n > 0" for k in DOMAINS))
+_DOMAINS = " UNION ALL ".join(f"SELECT '{k.capitalize()} Domain' AS name, CAST(least(n / 3, 0.95) AS DOUBLE) AS confidence, n || ' modules related to {k.capitalize()} functionality.' AS description, e AS evidence FROM (SELECT count(*) AS n, list(root_path ORDER BY root_path) AS e FROM large WHERE contains(lower(root_path), '{k}')) WHERE n > 0" for k in DOMAINS)
+
+
+@query(f"{_MEMBERS} {_DOMAINS}")
 def domains(v: Views) -> DataFrame:
     return architecture.domains(v["v_files"]).select("name", "confidence", "description", "evidence")
 
 
+_OTHER_MEMBERS = f"""{duckdb_ctes('v_settings')},
+members AS (SELECT unnest(CASE WHEN p[1] = 'packages' AND len(p) >= 3 THEN [p[1] || '/' || p[2], p[1] || '/' || p[2] || '/' || p[3]] ELSE [p[1] || '/' || p[2]] END) AS root_path, id AS file_id, path FROM (SELECT *, string_split(path, '/') AS p FROM v_settings) WHERE len(p) > 1),
+large AS (SELECT root_path, count(*) AS n_files FROM members GROUP BY root_path HAVING count(*) >= 2)"""
+
+
+@query(f"{_OTHER_MEMBERS} {_of_settings(_LAYERS)}")
+def layers_of_all_kinds(v: Views) -> DataFrame:
+    """Layers of files that have folders of every layer."""
+    return architecture.layers(v["v_settings"]).select("name", "confidence", "description", "evidence", "related_files")
+
+
+@query(f"{_OTHER_MEMBERS} {_DOMAINS}")
+def domains_of_all_kinds(v: Views) -> DataFrame:
+    """Domains of files that have modules of every domain."""
+    return architecture.domains(v["v_settings"]).select("name", "confidence", "description", "evidence")
+
+
 # --- graph ------------------------------------------------------------------------------------------------------------
 
 
@@ -399,8 +450,9 @@ def neighbors_d2(v: Views) -> DataFrame:
     return graph.neighbours(v["v_edges"], "n3", 2)
 
 
-@query(f"""{_BOTH}, pick AS (SELECT min(c_custkey) AS c, max(s_suppkey) AS s FROM customer, supplier, nation a, nation b WHERE c_nationkey = a.n_nationkey AND s_nationkey = b.n_nationkey AND a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey AND a.n_regionkey = 1)
-SELECT CAST(4 AS INTEGER) AS length, 'c' || c AS source, 's' || s AS target FROM pick WHERE c IS NOT NULL""")
+@query(f"""{_BOTH}, pick AS (SELECT min(c_custkey) AS c, max(s_suppkey) AS s FROM customer, supplier, nation a, nation b WHERE c_nationkey = a.n_nationkey AND s_nationkey = b.n_nationkey AND a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey AND a.n_regionkey = 1),
+walk(id, d) AS (SELECT 'c' || c, 0 FROM pick WHERE c IS NOT NULL UNION SELECT b, d + 1 FROM walk JOIN both_ways ON a = walk.id WHERE d < 8)
+SELECT CAST(min(d) AS INTEGER) AS length, 'c' || c AS source, 's' || s AS target FROM pick JOIN walk ON walk.id = 's' || s GROUP BY c, s""")
 def shortest_path(v: Views) -> DataFrame:
     """Length of the path between a customer and a supplier of two nations of one region (customer, nation, region, nation, supplier)."""
     n = v["nation"].select("n_nationkey", "n_regionkey")
@@ -447,25 +499,38 @@ def edge_lookup(v: Views) -> DataFrame:
     return store.relationships_of(edges, "class:1").select("id", "type")
 
 
-@query()
+@query(f"{_GRAPH}, {_IMPORTS} SELECT id, source_id AS source, target_id AS target, 'imports' AS label FROM rel")
+def graph_imports(v: Views) -> DataFrame:
+    """Edges of the graph that come from relationships."""
+    tables = _tables(v) | {"relationships": _relationships(v)}
+    return graph.edges(tables, graph.nodes(tables)).filter("type = 'imports'").select("id", "source", "target", "label")
+
+
+@query(f"""{duckdb_ctes('v_functions', 'v_types')}, kids AS (SELECT file_id, count(*) AS k FROM (SELECT file_id FROM v_functions UNION ALL SELECT file_id FROM v_types) GROUP BY file_id),
+f AS (SELECT id, doc_id // 10 AS g, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS dir FROM v_files),
+c AS (SELECT min(id) AS component, CAST(count(*) + sum(coalesce(k, 0)) AS BIGINT) AS size, min(dir) AS lo, max(dir) AS hi FROM f LEFT JOIN kids ON file_id = id GROUP BY g),
+p AS (SELECT *, len(list_filter(range(1, least(len(lo), len(hi)) + 1), lambda i: lo[1:i] = hi[1:i])) AS n FROM c WHERE size >= 3)
+SELECT component, CASE WHEN n > 0 THEN array_to_string(lo[1:n], '/') ELSE 'Cluster-' || size || '-nodes' END AS name, size, size - 1 AS edges, {_r2('(size - 1) / (size * (size - 1) / 2)')} AS density FROM p""")
 def clusters(v: Views) -> DataFrame:
-    """Clusters of the entity graph."""
-    return graph.clusters(*_graph(v))
+    """Clusters of the files that import one another, with their functions and types: trees, one for each ten files."""
+    tables = _tables(v) | {"classes": v["v_classes"].filter("false"), "relationships": _relationships(v)}
+    n = graph.nodes(tables)
+    return graph.clusters(n, graph.edges(tables, n))
 
 
 # --- import resolution and paths --------------------------------------------------------------------------------------
 
 
-@query(f"""{duckdb_ctes('v_files')}, spec AS (SELECT path AS from_path, doc_id, CASE doc_id % 3 WHEN 0 THEN './doc' || (doc_id + 60) WHEN 1 THEN '../' || language || '/doc' || (doc_id + 60) ELSE './doc' || (doc_id + 60) || '.test' END AS spec, array_to_string(string_split(path, '/')[1:3], '/') AS dir FROM v_files WHERE doc_id % 5 <> 1),
-base AS (SELECT *, dir || '/' || regexp_replace(regexp_replace(spec, '^\\./', ''), '^\\.\\./[a-z]+/', '') AS base FROM spec),
+@query(f"""{duckdb_ctes('v_files')}, spec AS (SELECT path AS from_path, doc_id, CASE doc_id % 5 WHEN 1 THEN '../' ELSE './' END || CASE doc_id % 3 WHEN 0 THEN 'doc' || (doc_id + 60) WHEN 1 THEN '../' || language || '/doc' || (doc_id + 60) ELSE 'doc' || (doc_id + 60) || '.test' END AS spec, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS dir FROM v_files),
+base AS (SELECT *, array_to_string(dir[1:len(dir) - (length(spec) - length(replace(spec, '../', ''))) // 3], '/') || '/' || regexp_replace(spec, '^(\\.{{1,2}}/)+', '') AS base FROM spec),
 cand AS (SELECT from_path, spec, base || e.ext AS path, e.i FROM base, (VALUES ('.ts', 0), ('.tsx', 1), ('.js', 2), ('.jsx', 3), ('.mjs', 4), ('.cjs', 5), ('/index.ts', 6), ('/index.tsx', 7), ('/index.js', 8), ('/index.jsx', 9), ('/index.mjs', 10), ('/index.cjs', 11)) AS e(ext, i))
 SELECT from_path, spec, arg_min(cand.path, i) AS to_path FROM cand JOIN v_files f ON f.path = cand.path GROUP BY from_path, spec""")
 def import_resolution(v: Views) -> DataFrame:
-    """Relative import specifiers resolved against the files."""
-    f = v["v_files"].filter("doc_id % 5 <> 1")
+    """Relative import specifiers of all files, index files too, resolved against the files."""
     n = (F.col("doc_id") + 60).cast("string")
-    spec = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("./doc"), n)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("../"), "language", F.lit("/doc"), n)).otherwise(F.concat(F.lit("./doc"), n, F.lit(".test")))
-    return importing.resolve(f.select(F.col("path").alias("from_path"), spec.alias("spec")), v["v_files"])
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("doc"), n)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("../"), "language", F.lit("/doc"), n)).otherwise(F.concat(F.lit("doc"), n, F.lit(".test")))
+    spec = F.concat(F.when(F.col("doc_id") % 5 == 1, "../").otherwise("./"), name)
+    return importing.resolve(v["v_files"].select(F.col("path").alias("from_path"), spec.alias("spec")), v["v_files"])
 
 
 @query(r"""SELECT page_id, path, regexp_matches(path, '^(?:[^/]*/)*en(?:/.*)?$') OR regexp_matches(path, '^fr/[0-9][^/]*$') OR regexp_matches(path, '^de/.*$') AS ignored
@@ -477,12 +542,20 @@ def glob_ignore(v: Views) -> DataFrame:
     return rows.withColumn("ignored", ignored(F.col("path"), ["en", "fr/*", "de/**"]))
 
 
-@query()
+#: A source in one of four languages for each part; the number of its branches varies.
+_SOURCES = """SELECT 'src/part' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' ELSE '.rs' END AS path, CASE p_partkey % 4
+  WHEN 0 THEN 'export async function ' || n || '(x: number): Promise<number> {{\\n' || repeat('  if (x) {{ x = 1; }}\\n', m) || '  return x;\\n}}\\n'
+  WHEN 1 THEN 'def _' || n || '(x):\\n' || repeat('    if x: x = 1\\n', m) || '    return x\\n'
+  WHEN 2 THEN 'package main\\n\\nfunc ' || n || '(x int) int {{\\n' || repeat('\\tif x > 0 {{ x = 1 }}\\n', m) || '\\treturn x\\n}}\\n'
+  ELSE 'pub fn ' || n || '(x: i32) -> i32 {{\\n' || repeat('    if x > 0 {{ return 1; }}\\n', m) || '    x\\n}}\\n' END AS content
+FROM (SELECT p_partkey, replace(p_name, ' ', '_') AS n, p_size % 7 AS m FROM {part})"""
+
+
+@query("""SELECT 'src/part' || p_partkey || ['.ts', '.py', '.go', '.rs'][l + 1] AS file_id, CASE l WHEN 1 THEN '_' ELSE '' END || replace(p_name, ' ', '_') AS name, CAST(1 + p_size % 7 AS INTEGER) AS complexity,
+  CASE l WHEN 2 THEN 3 ELSE 1 END AS start_line, CAST(p_size % 7 + [3, 2, 5, 3][l + 1] AS INTEGER) AS end_line, l IN (0, 3) AS is_exported, l = 0 AS is_async FROM (SELECT *, p_partkey % 4 AS l FROM part)""")
 def extract_entities(v: Views) -> DataFrame:
-    """Functions of small sources in each language."""
+    """Functions of a source for each part."""
     from cartulary.operators.parsing import parse_sources
-    from cartulary.plans.samples import SAMPLES
 
-    rows = v.spark.createDataFrame(list(SAMPLES.items()), "path string, content string")
-    parsed = parse_sources(rows)
-    return parsed.select(F.explode("functions").alias("f")).select("f.*")
+    parsed = parse_sources(v.spark.sql(_SOURCES, part=v["part"]))
+    return parsed.select(F.explode("functions").alias("f")).select(*(f"f.{c}" for c in ("file_id", "name", "complexity", "start_line", "end_line", "is_exported", "is_async")))

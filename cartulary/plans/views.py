@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartulary.functions.constants import DOMAINS, LAYERS
+
 _DIALECT = {
     "spark": {"sha256": "sha2({0}, 256)", "sorted_set": "array_sort(collect_set({0}))", "array": "array({0})", "strings": "cast(array() AS array<string>)", "string": "STRING"},
     "duckdb": {"sha256": "sha256({0})", "sorted_set": "list_sort(list(DISTINCT {0}))", "array": "[{0}]", "strings": "CAST([] AS VARCHAR[])", "string": "VARCHAR"},
@@ -18,6 +20,13 @@ SELECT path AS id, path, lang AS language, <<sha256:text>> AS content_hash, CAST
 FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'src' WHEN 1 THEN 'packages' ELSE 'lib' END || '/' || CASE doc_id % 11 WHEN 0 THEN 'order_factory' WHEN 1 THEN 'user-events' ELSE source END || '/' || lang || '/doc' || CAST(doc_id AS <<string>>) || CASE doc_id % 5 WHEN 0 THEN '.test.ts' WHEN 1 THEN '/index.ts' ELSE '.ts' END AS path FROM {documents}) AS d
 """
 
+#: Files on whose paths every layer, domain and directory rule has something to say.
+_FOLDERS = [f"packages/{d}" for d in DOMAINS] + [f"src/{words[0]}/__tests__" for words in LAYERS.values()] + ["docs/guide", "scripts/build"]
+SETTINGS = f"""
+SELECT path AS id, path, path LIKE '%.spec.ts' AS is_test FROM (
+  SELECT CASE doc_id WHEN 0 THEN 'pnpm-lock.yaml' WHEN 1 THEN 'turbo.json' ELSE CASE doc_id % {len(_FOLDERS)} {' '.join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FOLDERS))} END || '/doc' || CAST(doc_id AS <<string>>) || CASE WHEN doc_id % 4 < 3 THEN '.spec.ts' ELSE '.ts' END END AS path FROM {{documents}}) AS d
+"""
+
 FUNCTIONS = """
 SELECT file_id || ':' || name || CAST(p_partkey AS <<string>>) AS id, name, name AS full_name, file_id, signature, doc_comment, complexity, start_line, end_line, is_exported, false AS is_async, p_partkey AS part_key
 FROM (
@@ -66,7 +75,7 @@ FEEDBACK = "SELECT CAST(doc_id AS <<string>>) AS id, 'ctx' || CAST(doc_id % 50 A
 
 CHANGES = "SELECT event_id AS seq, ts, 'user' || CAST(user_id AS <<string>>) AS path, CASE event_id % 5 WHEN 0 THEN 'add' WHEN 4 THEN 'unlink' ELSE 'change' END AS op, value, event_type FROM {events}"
 
-VIEWS = {"v_files": FILES, "v_functions": FUNCTIONS, "v_parts": PARTS, "v_classes": CLASSES, "v_types": TYPES, "v_edges": EDGES, "v_nodes": NODES, "v_vectors": VECTORS, "v_feedback": FEEDBACK, "v_changes": CHANGES}
+VIEWS = {"v_files": FILES, "v_settings": SETTINGS, "v_functions": FUNCTIONS, "v_parts": PARTS, "v_classes": CLASSES, "v_types": TYPES, "v_edges": EDGES, "v_nodes": NODES, "v_vectors": VECTORS, "v_feedback": FEEDBACK, "v_changes": CHANGES}
 
 
 def _filled(sql: str, dialect: str) -> str:

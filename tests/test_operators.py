@@ -282,3 +282,43 @@ def test_import_resolution(spark):
     rows = [("src/a.ts", "./util"), ("src/a.ts", "../lib/b.js"), ("src/a.ts", "../lib/../src/./util/index"), ("src/a.ts", "react"), ("src/a.ts", "./none"), ("top.ts", "./src/util"), ("src/a.ts", "../lib/x.js")]
     out = {(r.from_path, r.spec): r.to_path for r in importing.resolve(spark.createDataFrame(rows, "from_path string, spec string"), f).collect()}
     assert out == {("src/a.ts", "./util"): "src/util.tsx", ("src/a.ts", "../lib/b.js"): "lib/b.js", ("src/a.ts", "../lib/../src/./util/index"): "src/util/index.ts", ("top.ts", "./src/util"): "src/util.tsx", ("src/a.ts", "../lib/x.js"): "lib/x.js.ts"}
+
+
+def test_mentions_of_names_of_any_length(spark):
+    import itertools
+    import re
+
+    from cartulary.operators import architecture
+
+    words = ["a", "ab", "abc", "a_b", "_", "__", "%", "a%c", "a\\b", "zz", "user_id", "é", "xy_"]
+    fields = ["", "a", "ab", "abc", "a\\b", "axb user-id", "é", "nothing of it", "wxyz"]
+    texts = [t for t in itertools.product(fields, fields[:3], fields[3:5])]
+    names = spark.createDataFrame([(w, w) for w in words], "full_name string, word string")
+    rows = spark.createDataFrame([((a, b, c),) for a, b, c in texts], "text struct<name:string,full_name:string,doc_comment:string>")
+    found = architecture._mentions(names, rows)
+    pattern = {w: re.compile(".*" + "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in w) + ".*", re.DOTALL) for w in words}
+    want = sorted((w, t) for w in words for t in texts if any(pattern[w].fullmatch(f) for f in t))
+    assert sorted((r.full_name, tuple(r.text)) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_cohesion_counts_files_with_equal_exports(spark):
+    import itertools
+
+    from cartulary.operators import architecture
+
+    sets = {"m/x/1": "a", "m/x/2": "a", "m/x/3": "ab", "m/x/4": "ab", "m/x/5": "c", "m/x/6": "", "m/x/7": "abc"}
+    members = spark.createDataFrame([("m/x", k, k) for k in sets], "root_path string, file_id string, path string")
+    exports = spark.createDataFrame([(k, c) for k, v in sets.items() for c in v], "file_id string, full_name string")
+    similar = [len(a & b) / len(a | b) if a | b else 0 for a, b in itertools.combinations([set(v) for v in sets.values()], 2)]
+    assert architecture.cohesion(members, exports).first().cohesion == pytest.approx(sum(similar) / len(similar))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 40])
+def test_middle_path(spark, n):
+    from cartulary.operators import conventions
+
+    paths = sorted(f"src/{i:03}" for i in range(n))
+    found = conventions._middle(spark.createDataFrame([(p,) for p in paths[::-1]], "path string"))
+    assert [r.x_middle for r in found.collect()] == [paths[n // 2] if n else None]

@@ -85,5 +85,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
-    """Contract query."""
+    """All documents, scored with weights fitted on `labels`: doc_id, held_out, score, predicted."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

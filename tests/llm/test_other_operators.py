@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -36,6 +37,48 @@ def test_quality_learns(spark):
     assert quality.quality_scores(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def brute_features(text):
+    text = text or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    pairs = list(zip(w, w[1:], strict=False))
+    chars, fewer = sum(map(len, w)), lambda a: (len(a) - len(set(a))) / max(1, len(a))
+    return [
+        np.log1p(len(w)) / 10, min(chars / max(1, len(w)) / 20, 2.0), len(regex.findall(r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:'\"()-]", text)) / max(1, chars),
+        len(regex.findall(r"\p{Lu}", text)) / max(1, chars), fewer(pairs), fewer(lines), len(re.findall(r"[.,;:]", text)) / max(1, len(w)),
+    ]
+
+
+def test_features_and_scores_by_brute_force(spark, docs, corpus, monkeypatch):
+    odd = [(200, "Ünder ÀB, c; d: (e) 'f' \"g\" h-i #j $k €l ½ é\u0301 \U0001F600"), (201, "a b a b a b\n\na b a b\n \t\na b a b"), (202, "\x0b\x0c\r"), (203, "A")]
+    weights, threshold = np.array([1.5, -2.0, -30.0, 0.7, -4.0, -5.0, 6.0]), 0.25
+    monkeypatch.setattr(quality, "fit", lambda x, y: (weights, threshold))
+    rows = [(d, t) for d, t, *_ in corpus] + odd
+    out = quality.quality_scores(docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string")), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    expected = [(d, 1 / (1 + np.exp(threshold - np.dot(weights, brute_features(t))))) for d, t in rows]
+    by_id = lambda pairs: sorted((-1 if d is None else d, s) for d, s in pairs)
+    got = out.collect()
+    for (a, s), (b, t) in zip(by_id((r.doc_id, r.score) for r in got), by_id(expected), strict=True):
+        assert a == b and s == pytest.approx(t, abs=1e-9), (a, s, t)
+    assert all(r.predicted == int(r.score >= 0.5) for r in got)
+
+
+def test_weights_minimise_the_loss_of_pairs(monkeypatch):
+    """At the least loss, no small step in any direction lowers it; the threshold leaves label 0's share of the rows below."""
+    monkeypatch.setattr(quality, "PAIRS", 500)
+    rng = np.random.default_rng(4)
+    y = (rng.random(80) < 0.6).astype(int)
+    x = rng.random((80, 3)) + y[:, None] * np.array([0.4, -0.2, 0.0])
+    w, threshold = quality.fit(x, y, ridge=1e-3, seed=9)
+    draw, good, bad = np.random.default_rng(9), x[y == 1], x[y == 0]
+    d = good[draw.integers(len(good), size=500)] - bad[draw.integers(len(bad), size=500)]
+    loss = lambda v: sum(np.log1p(np.exp(-float(np.dot(r, v)))) for r in d) / 500 + 0.5e-3 * float(np.dot(v, v))
+    for k in range(3):
+        for step in (1e-3, -1e-3):
+            assert loss(w + step * np.eye(3)[k]) >= loss(w)
+    assert ((x @ w) < threshold).sum() == (y == 0).sum()
+
+
 def test_held_out_rows_are_not_learned_from(spark):
     rows = [(i, "a b c" if i % 2 else "### ###") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -14,6 +14,8 @@ from cartulary.plans.views import Views, duckdb_ctes
 from cartulary.sources.ignore import ignored
 
 QUERY = "Where is the steel bolt in search?"
+#: Words of functions and of paths; sections of all four kinds come out.
+FILES_QUERY = "explain the standard parts of the order factory"
 BUDGET = 4000
 TEXT = expand_query_py(normalize_query_py(QUERY))
 WORDS = keywords_py(TEXT)
@@ -119,11 +121,43 @@ def hybrid_merge(v: Views) -> DataFrame:
     return search.hybrid_merge(k, s).select("id", "bucket", "keyword_pos", "vector_pos")
 
 
-@query()
+def _sections_sql(words: list[str]) -> str:
+    """Sections for words: of the ten best functions, files by path, and the classes and types in those functions' files."""
+    section = lambda pos, title, order, limit, source, relevance, rows: f"""SELECT {pos} AS pos, '{title}' AS title, '## {title}' || chr(10) || chr(10) || string_agg(line, '' ORDER BY n) FILTER (n <= {limit}) AS content,
+  (SELECT list(s ORDER BY k) FROM (SELECT {source} AS s, min(n) AS k FROM {rows} GROUP BY 1)) AS source_files, {relevance} AS relevance FROM {rows} HAVING count(*) > 0"""
+    return f"""{duckdb_ctes('v_functions', 'v_classes', 'v_types')},
+fn AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_id, start_line, id) AS n FROM (SELECT *, {_score(words)} AS score FROM v_functions WHERE {_like(['name', 'full_name', 'doc_comment'], words)}) QUALIFY n <= 10),
+places AS (SELECT file_id, min(n) AS file_pos FROM fn GROUP BY file_id),
+fs AS (SELECT n, file_id, score, '### ' || full_name || chr(10) || '- **Location:** ' || file_id || ':' || start_line || '-' || end_line || chr(10) || '- **Signature:** `' || signature || '`' || chr(10)
+  || CASE WHEN coalesce(doc_comment, '') <> '' THEN '- **Doc:** ' || substring(doc_comment, 1, 200) || chr(10) ELSE '' END || '- **Exported:** ' || CASE WHEN is_exported THEN 'Yes' ELSE 'No' END || chr(10) || '- **Complexity:** ' || complexity || chr(10) || chr(10) AS line FROM fn),
+ps AS (SELECT row_number() OVER (ORDER BY path) AS n, path, '- **' || path || '** — ' || language || ', ' || token_count || ' tokens' || CASE WHEN is_test THEN ' (test)' ELSE '' END || chr(10) AS line FROM v_files WHERE {_like(['path'], words)} QUALIFY n <= 10),
+cs AS (SELECT row_number() OVER (ORDER BY file_pos, id) AS n, file_id, '### ' || name || chr(10) || CASE WHEN coalesce(extends_id, '') <> '' THEN '- **Extends:** ' || string_split(extends_id, ':')[-1] || chr(10) ELSE '' END
+  || CASE WHEN len(methods) > 0 THEN '- **Methods:** ' || array_to_string(list_transform(methods, lambda m: string_split(m, ':')[-1]), ', ') || chr(10) ELSE '' END || chr(10) AS line FROM v_classes JOIN places USING (file_id)),
+ts AS (SELECT row_number() OVER (ORDER BY file_pos, id) AS n, file_id, '- **' || name || '** (' || kind || ')' || chr(10) || CASE WHEN len(properties) > 0 THEN '  - Properties: ' || array_to_string(properties, ', ') || chr(10) ELSE '' END AS line FROM v_types JOIN places USING (file_id)),
+parts AS ({section(1, 'Relevant Functions', 'n', 8, 'file_id', 'round(sum(score) FILTER (n <= 8) / count(*), 9)', 'fs')}
+UNION ALL {section(2, 'Related Files', 'n', 8, 'path', 'CAST(0.5 AS DOUBLE)', 'ps')}
+UNION ALL {section(3, 'Related Classes', 'n', 5, 'file_id', 'CAST(0.6 AS DOUBLE)', 'cs')}
+UNION ALL {section(4, 'Related Types', 'n', 5, 'file_id', 'CAST(0.4 AS DOUBLE)', 'ts')}),
+told AS (SELECT *, CAST(ceil(length(content) / 4.0) AS INTEGER) AS tokens FROM parts),
+summed AS (SELECT *, CAST(sum(tokens) OVER (ORDER BY pos) AS BIGINT) AS running FROM told)
+SELECT pos, title, content, source_files, relevance, tokens, running, running <= {BUDGET} AS kept FROM summed"""
+
+
+def _sections(v: Views, query: str) -> DataFrame:
+    sections, _ = search.find_context(_tables(v), query, BUDGET)
+    return sections.withColumn("relevance", F.round("relevance", 9)).select("pos", "title", "content", "source_files", "relevance", "tokens", "running", "kept")
+
+
+@query(_sections_sql(WORDS))
 def context(v: Views) -> DataFrame:
     """Sections for a query under a token budget."""
-    sections, _ = search.find_context(_tables(v), QUERY, BUDGET)
-    return sections.select("pos", "title", "content", "source_files", "relevance", "tokens", "running", "kept")
+    return _sections(v, QUERY)
+
+
+@query(_sections_sql(keywords_py(expand_query_py(normalize_query_py(FILES_QUERY)))))
+def context_of_all_kinds(v: Views) -> DataFrame:
+    """Sections of functions, files, classes and types."""
+    return _sections(v, FILES_QUERY)
 
 
 @query(f"""{duckdb_ctes('v_functions', 'v_classes', 'v_types')},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartulary.llm import archives, chat, decontaminate, host_rules, line_dedup, minhash, mixing, packing, quality, substring_dedup
+from cartulary.llm import archives, chat, decontaminate, host_rules, line_dedup, minhash, mixing, packing, quality, runs, substring_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op8_mixing": mixing.OP8_SQL,
     "op9_host_rules": host_rules.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op13_periodic_runs": runs.OP13_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartulary.llm import archives, chat, decontaminate, host_rules, line_dedup, minhash, mixing, packing, quality, runs, substring_dedup
+from cartulary.llm import archives, chat, decontaminate, digests, host_rules, line_dedup, minhash, mixing, packing, quality, runs, substring_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_fingerprints": digests.op11_fingerprints,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartulary.llm import archives, chat, decontaminate, digests, host_rules, line_dedup, minhash, mixing, packing, quality, runs, substring_dedup
+from cartulary.llm import archives, chat, decontaminate, digests, hard_negatives, host_rules, line_dedup, minhash, mixing, packing, quality, runs, substring_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_fingerprints": digests.op11_fingerprints,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
@@ -27,5 +28,6 @@ SQL = {
     "op8_mixing": mixing.OP8_SQL,
     "op9_host_rules": host_rules.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
     "op13_periodic_runs": runs.OP13_SQL,
 }

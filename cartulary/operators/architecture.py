@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.constants import DOMAINS, LAYERS, PATTERNS
 from cartulary.functions.text import contains_any, module_name, percent, round2, short_id
+from cartulary.operators.mentions import mentions
 
 #: Concepts list their first files; a module's own list is whole.
 SHOWN_FILES = 10
@@ -56,13 +57,10 @@ def cohesion(members: DataFrame, exports: DataFrame) -> DataFrame:
 def coupling(members: DataFrame, exports: DataFrame, functions: DataFrame) -> DataFrame:
     """(root_path, coupling): the share of a module's exports that some function outside mentions (in name, full name or comment, as keyword search would find it).
 
-    Search is by distinct name and distinct text: which names a text mentions is found once for each distinct pair, then joined
-    to the files. A name is outside a module if one of the files that mention it is.
+    A name is outside a module if one of the files that mention it is.
     """
-    said = F.struct(*(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("name", "full_name", "doc_comment")))
-    texts = functions.select("file_id", said.alias("text"))
     names = exports.select("full_name", F.lower("full_name").alias("word")).distinct()
-    by_file = _mentions(names, texts.select("text").distinct()).join(texts, "text").select("full_name", "file_id").distinct()
+    by_file = mentions(names.select("word"), functions).join(names, "word").select("full_name", "file_id")
     # Files of a mention, and those of them inside each module: a name has a mention outside if there are more of the former.
     everywhere = by_file.groupBy("full_name").agg(F.count(F.lit(1)).alias("files"))
     inside = by_file.join(members.select("root_path", "file_id"), "file_id").groupBy("root_path", "full_name").agg(F.count(F.lit(1)).alias("inside"))
@@ -73,31 +71,6 @@ def coupling(members: DataFrame, exports: DataFrame, functions: DataFrame) -> Da
     return large_modules(members).join(rate, "root_path", "left").select("root_path", F.coalesce(F.col("outside") / F.col("exports"), F.lit(0.0)).alias("coupling"))
 
 
-def _mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """(full_name, text) where one of the text's fields matches %word% (an underscore matches any character, as in keyword search).
-
-    A word is looked for in the texts that have the rarest of its runs of three plain characters (of two or one, if it has none
-    of three), so the join is by key at every length. Words of wildcards alone match nearly every text; they meet the texts by
-    a salt, and cost what they return.
-    """
-    spread = 64  # tasks that share the texts of words without plain characters
-    runs = lambda c, n: F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, n)), lambda g: F.length(g) == n))
-    plain = lambda n: F.filter(runs(F.col("word"), n), lambda g: ~g.rlike(r"[_%\\]"))
-    longest = F.array()
-    for n in (1, 2, 3):
-        longest = F.when(F.size(plain(n)) > 0, plain(n)).otherwise(longest)
-    salts = F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda i: F.concat(F.lit("\u0000"), i.cast("string")))
-    said = F.concat_ws("\n", "text.name", "text.full_name", "text.doc_comment")
-    salt = F.array(F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("text"), F.lit(spread)).cast("string")))
-    grams = texts.select("text", F.explode(F.concat(*(runs(said, n) for n in (1, 2, 3)), salt)).alias("gram"))
-    keyed = names.withColumn("grams", longest)
-    rarest = keyed.select("full_name", F.explode("grams").alias("gram")).join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "gram")
-    rarest = rarest.groupBy("full_name").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"))
-    wild = keyed.filter(F.size("grams") == 0).select("full_name", "word", F.explode(salts).alias("gram"))
-    like = F.expr(" or ".join(f"text.{c} like concat('%', replace(word, '\\\\', '\\\\\\\\'), '%')" for c in ("name", "full_name", "doc_comment")))
-    return names.join(rarest, "full_name").select("full_name", "word", "gram").union(wild).join(grams, "gram").filter(like).select("full_name", "text")
-
-
 def submodules(members: DataFrame) -> DataFrame:
     """(root_path, sub_path): modules of two files or more directly below another; a module of three segments lies below that of its first two."""
     large = large_modules(members).select(F.col("root_path").alias("sub_path"))

@@ -20,6 +20,7 @@ A null doc_id counts as the smallest, and the component it leads has the id null
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,15 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.graph import components
 from cartulary.llm.shared import NO_ID, doc_key, row_key, scratch, table, written
-from cartulary.llm.words import Words, chunks, kgrams, mix
+from cartulary.llm.words import CHUNK_BYTES, Words, chunks, kgrams, mix
 
+_SPACE = re.compile(rb"[ \t-\r]")
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
 #: Rows of a block, on either side, when what the stars leave open is compared.
 FAMILY_BLOCK = 1000
+#: Shingles of a block, about (16 MB of hashes, some 100 MB in work).
+FAMILY_SHINGLES = 1 << 21
 
 
 def _orders() -> np.ndarray:
@@ -43,19 +47,36 @@ def _orders() -> np.ndarray:
     return np.argsort(np.argsort(h, axis=1), axis=1).astype(np.int16)
 
 
+def _long_set(text: bytes, n: int) -> np.ndarray:
+    """The set of a text that is too long for one pass, from parts that end at white space; each begins with the n - 1 words before it."""
+    sets, before, at = [np.zeros(0, np.uint64)], b"", 0
+    while at < len(text):
+        space = _SPACE.search(text, at + CHUNK_BYTES)
+        end = space.start() if space else len(text)
+        part = before + text[at:end]
+        w = Words(pa.array([part.decode()]), lower=True)
+        sets.append(np.unique(kgrams(w.hash, n)))
+        before = part[w.start[-min(n - 1, len(w.start))] :] if n > 1 and len(w.start) else b""
+        at = end
+    out = np.unique(np.concatenate(sets))
+    return out if len(out) else _short_set(w.hash)
+
+
+def _short_set(words: np.ndarray) -> np.ndarray:
+    """One shingle of all words, another for each length."""
+    return kgrams(words, len(words)) ^ np.uint64(len(words)) if len(words) else words
+
+
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
+    if len(texts) == 1 and texts[0].is_valid and len(texts[0].as_buffer()) > 2 * CHUNK_BYTES:
+        return [_long_set(texts[0].as_buffer().to_pybytes(), n)]
     w = Words(texts, lower=True)
     grams = kgrams(w.hash, n)
     out = []
     for d in range(len(texts)):
         a, b = int(w.first[d]), int(w.first[d + 1])
-        if b - a >= n:
-            out.append(np.unique(grams[a : b - n + 1]))
-        elif b > a:  # shorter than a shingle: another hash for each length
-            out.append(kgrams(w.hash[a:b], b - a) ^ np.uint64(b - a))
-        else:
-            out.append(np.zeros(0, np.uint64))
+        out.append(np.unique(grams[a : b - n + 1]) if b - a >= n else _short_set(w.hash[a:b]))
     return out
 
 
@@ -147,7 +168,7 @@ def similar_components(docs: DataFrame, nodes: DataFrame, n: int, percent: int)
         pairs = members.join(centre, "bucket").filter(near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         links = written(_links(written(pairs, "pairs"), texts, n, percent), "links")
         label = components(links)
-        more = written(_rest(members.select("bucket", "node"), label, texts, n, percent), "links")
+        more = written(_rest(members.select("bucket", "node", "n"), label, texts, n, percent), "links")
         return written(label if more.isEmpty() else components(links.union(more)), "labels", keep=True)
 
 
@@ -170,17 +191,17 @@ def _rest(members: DataFrame, label: DataFrame, texts: Texts, n: int, percent: i
 
     A bucket's family is its most frequent component; a pair of different components has an end outside of it. So the members of
     all mixed buckets of a family are taken once, and those outside the family's component are compared with all of them. Both
-    sides are cut into blocks of about FAMILY_BLOCK rows, a task for each pair of blocks, in which an index of the members'
-    shingles is asked for each row outside, without a row for each pair. With u of m members outside, a member goes to
-    u / FAMILY_BLOCK tasks and a row outside to m / FAMILY_BLOCK more.
+    sides are cut into blocks of about FAMILY_BLOCK rows or FAMILY_SHINGLES shingles, whatever is less, a task for each pair of
+    blocks, in which an index of the members' shingles is asked for each row outside, without a row for each pair. With u of m
+    members outside, a member goes to as many tasks as u have blocks, and a row outside to as many more as m have.
     """
     rows = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     shares = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = shares.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("members"), F.count(F.lit(1)).alias("components")).filter("components > 1 and members > 2")
-    kin = written(rows.join(mixed.select("bucket", F.col("top.component").alias("family")), "bucket").select("family", "node", "component").distinct(), "kin")
+    kin = written(rows.join(mixed.select("bucket", F.col("top.component").alias("family")), "bucket").select("family", "node", "n", "component").distinct(), "kin")
     sets = texts.sets(kin.select("node").distinct(), n)
-    cut = lambda x: F.ceil(x / FAMILY_BLOCK).cast("int")
-    sizes = kin.groupBy("family").agg(cut(F.count(F.lit(1))).alias("blocks"), cut(F.count_if(F.col("component") != F.col("family"))).alias("asked"))
+    cut = lambda w: F.ceil(F.greatest(F.count_if(w) / FAMILY_BLOCK, F.sum(F.when(w, F.col("n")).otherwise(0)) / FAMILY_SHINGLES)).cast("int")
+    sizes = kin.groupBy("family").agg(cut(F.lit(True)).alias("blocks"), cut(F.col("component") != F.col("family")).alias("asked"))
     kin = kin.join(sizes, "family")
     block = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
@@ -237,8 +258,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    """All documents by two-word shingles at 80 percent: doc_id, n_shingles, component_id, kept."""
-    return near_duplicates(table(spark, sf_dir, "documents"), n=2).drop("row")
+    """All documents by two-word shingles at 80 percent: doc_id, n_shingles, component_id, kept (doc_id = component_id, also where rows share a doc_id or have none; a null id is the smallest)."""
+    return near_duplicates(table(spark, sf_dir, "documents"), n=2).drop("row").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 #: Brute force over all pairs that share a shingle; for small tables only.
@@ -250,6 +271,6 @@ p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.
 l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT rid, rid AS reached FROM w UNION SELECT r.rid, e.b FROM r JOIN e ON e.a = r.reached),
-c AS (SELECT r.rid, min(doc_id) AS component_id FROM r JOIN w ON w.rid = r.reached GROUP BY r.rid)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM w JOIN c USING (rid) LEFT JOIN n USING (rid)
+c AS (SELECT r.rid, CASE WHEN count(doc_id) = count(*) THEN min(doc_id) END AS component_id FROM r JOIN w ON w.rid = r.reached GROUP BY r.rid)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM w JOIN c USING (rid) LEFT JOIN n USING (rid)
 """

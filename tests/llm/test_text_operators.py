@@ -205,6 +205,41 @@ def test_near_duplicates_without_or_with_shared_ids(spark, tmp_path):
         assert {x[2] for x in found} == {None if None in ids else min(ids)} == {x[0] for x in found if x[3]}
 
 
+def test_near_duplicates_contract_of_shared_and_missing_ids(spark, tmp_path):
+    """kept is doc_id = component_id, also where a doc_id repeats with another text or is null: rows as SQL has them."""
+    duckdb = pytest.importorskip("duckdb")
+    base = [f"w{i}" for i in range(60)]
+    rows = [(5, " ".join(base)), (5, " ".join([*base, "more"])), (9, " ".join(["less", *base])), (None, "other words of its own"), (3, "other words of its own"), (4, None), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = minhash.op6_near_duplicates(spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, found.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr) == sorted(duck.execute(minhash.OP6_SQL).fetchall(), key=repr)
+
+
+def test_sets_of_long_texts(monkeypatch):
+    text = "".join(f"w{i % 977} é{i}\n" for i in range(3000))
+    for n in (1, 2, 5):
+        want = minhash.shingle_sets(pa.array([text]), n)[0]
+        monkeypatch.setattr(minhash, "CHUNK_BYTES", 500)
+        assert np.array_equal(minhash.shingle_sets(pa.array([text]), n)[0], want)
+        monkeypatch.undo()
+
+
+def test_blocks_of_a_family_are_cut_by_shingles(spark, monkeypatch):
+    """Long members: blocks of few rows, and no link is lost."""
+    monkeypatch.setattr(minhash, "FAMILY_SHINGLES", 500)
+    rng = np.random.default_rng(5)
+    base, corpus = [f"b{i}" for i in range(120)], []
+    for d in range(60):
+        w = list(base)
+        for k in rng.choice(120, size=int(rng.integers(3, 11)), replace=False):
+            w[k] = f"e{rng.integers(4)}"
+        corpus.append((d, " ".join(w), "en", "s"))
+    docs = spark.createDataFrame([(d, t) for d, t, *_ in corpus], "doc_id long, text string")
+    assert sorted_rows(minhash.near_duplicates(docs, 2), "doc_id", "n_shingles", "component_id", "kept") == brute_groups(corpus, 2)
+
+
 def test_signatures_estimate_the_similarity():
     rng, orders = np.random.default_rng(1), minhash._orders()
     for n in (5, 40, 2000):

@@ -13,9 +13,14 @@ stands for two values in the document. So literal copies are found, and question
 
 The tokens that an item must have covered are counted over its windows with enough words, the others can't be found. The first
 word of an item is looked for as a word, and as the name or unit that it becomes inside a text; then it must be the same word.
-Items without any such window (fewer than WINDOW tokens, or few words) are looked for word for word, as a whole, by the hash of
-their lower-cased tokens; documents are hashed at the lengths that such items have. An item of fewer than EXACT_MIN tokens isn't
-looked for.
+Items without any such window (fewer than WINDOW tokens, or few words) are looked for as a whole: places are found by the hash of up
+to PREFIX template tokens behind the first, and there the hash of all tokens behind the first is joined at the lengths that such
+items have. With WHOLE_LITERALS words or more they are found with other slot values too, as above (the first token must be the same
+word, or fill the same slot), with fewer words only word for word. Items of fewer than EXACT_MIN tokens stand in many texts by
+chance; they are found word for word and reported apart, and don't make a document contaminated.
+
+UNITS and STARTERS are English, and a capital inside a sentence makes a name in any language: German nouns are placeholders, so a
+German item is found with other nouns in their places too, and needs more words for a window (see the README for figures).
 
 Items are told apart by id and text, so items without an id, or with the same, are looked for too. The benchmark's windows are
 counted: up to shared.BROADCAST_BYTES they are broadcast, beyond that the join shuffles. Null and empty texts are clean; rows that
@@ -32,8 +37,8 @@ from cartulary.llm.shared import NO_ID, doc_key, row_key, scratch, small_or_not,
 
 WINDOW = 8
 MIN_LITERALS = 5
-#: Items without windows: tokens that they have at least, and those that are hashed (the rest is compared).
-EXACT_MIN, EXACT_HASHED = 3, 16
+#: Items without windows: tokens that make a document contaminated, words that let slots have other values, tokens hashed first.
+EXACT_MIN, WHOLE_LITERALS, PREFIX = 3, 4, 4
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "t", "s", "ms", "min", "h", "l", "ml", "j", "w", "kw", "v", "hz", "pa", "percent", "dollars", "euros", "cents", "miles", "feet", "inches", "pounds", "ounces", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "degrees", "meters", "metres", "kilometers", "liters", "litres", "grams", "kilograms")
 #: Words that often start a sentence and aren't names.
 STARTERS = (
@@ -102,18 +107,23 @@ def covered_by(at: Column) -> Column:
     return F.aggregate(F.zip_with(at, tail(at, 1), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda s, x: s + x)
 
 
+def literals(temp: Column) -> Column:
+    """Number of the template's words."""
+    return F.size(F.filter(temp, lambda x: ~x.isin("#", "%", NAME)))
+
+
 def _class_of(item: Column, good: Column) -> Column:
-    """Hash of an item's template, with each slot's first place of its value; of its words, if it has no windows."""
+    """Hash of an item's template, with each slot's first place of its value; of its words, if it is only found word for word."""
     slots = lambda t, w: F.transform(t, lambda x, i: F.when(x.isin("#", "%", NAME), F.concat(x, F.array_position(w, w[i]).cast("string"))).otherwise(x))
-    return F.when(F.size(good) > 0, let(template(item), lambda t: let(words(item), lambda w: F.xxhash64(slots(t, w))))).otherwise(F.xxhash64(words(item), F.lit("whole")))
+    free = (F.size(good) > 0) | (literals(template(item)) >= WHOLE_LITERALS)
+    return F.when(free, let(template(item), lambda t: let(words(item), lambda w: F.xxhash64(slots(t, w))))).otherwise(F.xxhash64(words(item), F.lit("whole")))
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """key (item_id with NO_ID for null, hash of the text), item (its tokens), n_tokens, good (positions of the windows with enough words), klass; written."""
     items = benchmark.select(F.struct(doc_key("item_id").alias("item_id"), row_key().alias("hash")).alias("key"), tokens(F.col("text")).alias("item"))
-    literals = lambda t, p: F.size(F.filter(F.slice(t, p + 1, WINDOW), lambda x: ~x.isin("#", "%", NAME)))
     starts = F.when(F.size("item") >= WINDOW, F.sequence(F.lit(0), F.size("item") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    good = let(template(F.col("item")), lambda t: F.filter(starts, lambda p: literals(t, p) >= MIN_LITERALS))
+    good = let(template(F.col("item")), lambda t: F.filter(starts, lambda p: literals(F.slice(t, p + 1, WINDOW)) >= MIN_LITERALS))
     items = items.select("key", "item", F.size("item").alias("n_tokens"), good.alias("good"))
     return written(items.withColumn("klass", _class_of(F.col("item"), F.col("good"))), "benchmark-items")
 
@@ -142,22 +152,57 @@ def benchmark_windows(samples: DataFrame) -> DataFrame:
     return written(rows, "benchmark-windows")
 
 
-def whole_items(docs: DataFrame, samples: DataFrame) -> DataFrame:
-    """doc, row, klass, covered, spots, seen: items without windows that stand word for word in a document."""
-    short = samples.filter((F.size("good") == 0) & (F.col("n_tokens") >= EXACT_MIN)).select("klass", "n_tokens", words(F.col("item")).alias("item"), F.least("n_tokens", F.lit(EXACT_HASHED)).alias("hashed"))
-    lengths = sorted(r.hashed for r in short.select("hashed").distinct().collect())  # EXACT_HASHED at most
-    whole = lambda df: df.select("doc", "row", "klass", F.col("n_tokens").alias("covered"), F.sequence(F.lit(0), F.col("n_tokens") - 1).alias("spots"), F.col("item").alias("seen"))
+def whole_entries(items: DataFrame) -> DataFrame:
+    """klass, n (tokens), free (slots may have other values), item (words), head (hash of the first template token), k, prefix, full: the hashes by
+    which items without windows are found, as they are and with names as words; a row for each class and hash. An item of one token has k = 0; written."""
+    short = items.filter((F.size("good") == 0) & (F.col("n_tokens") > 0)).select("klass", F.col("n_tokens").alias("n"), "item", words(F.col("item")).alias("words"))
+    short = short.withColumn("free", literals(template(F.col("item"))) >= WHOLE_LITERALS).withColumn("k", F.least(F.col("n") - 1, F.lit(PREFIX)))
+    form = lambda toks: let(token_hashes(toks), lambda h: F.struct(h[0].alias("head"), _hash_of(h, F.lit(1), F.col("k")).alias("prefix"), _hash_of(h, F.lit(1), F.col("n") - 1).alias("full")))
+    one = F.struct(F.xxhash64("words").alias("head"), F.xxhash64(F.col("words")[0]).alias("prefix"), F.xxhash64(F.col("words")[0]).alias("full"))
+    forms = F.when(F.col("n") == 1, F.array(one)).otherwise(F.array(form(F.col("item")), form(F.col("words"))))
+    rows = short.select("klass", "n", "free", "words", "k", F.inline(forms))
+    return written(rows.groupBy("klass", "n", "free", "k", "prefix", "full").agg(F.min(F.struct("words", "head")).alias("one")).select("klass", "n", "free", "k", "prefix", "full", "one.*"), "benchmark-whole")
+
+
+def _hash_of(hashes: Column, at: Column, n: Column) -> Column:
+    """Hash of n elements from the place at on."""
+    return F.xxhash64(F.slice(hashes, at + 1, n))
+
+
+def whole_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc, row, klass, covered, spots, seen: items without windows that stand in a document."""
+    entries = whole_entries(items)
+    lengths: dict[int, list[int]] = {}
+    for r in entries.select("k", "n").distinct().collect():  # as many as such items have lengths
+        lengths.setdefault(r.k, []).append(r.n)
+    out = lambda df: df.select("doc", "row", "klass", F.col("n").alias("covered"), F.sequence(F.lit(0), F.col("n") - 1).alias("spots"), "seen")
     if not lengths:
-        return whole(docs.select("doc", "row").join(short.filter("false"), F.lit(False)))
-    runs = lambda h, n: F.transform(run_hashes(h, n), lambda x, i: F.struct(F.lit(n).alias("hashed"), i.alias("pos"), x.alias("h")))
-    all_runs = lambda toks: let(F.transform(toks, lambda t: F.xxhash64(plain(t))), lambda h: F.flatten(F.array(*(runs(h, n) for n in lengths))))
-    known = short.select("klass", "hashed", F.filter(all_runs(F.col("item")), lambda r: (r["pos"] == 0) & (r["hashed"] == F.col("hashed")))[0]["h"].alias("h"))
-    known = small_or_not(written(known, "benchmark-whole"), 64)
-    places = docs.select("doc", "row", F.inline(all_runs(tokens(F.col("text"))))).join(known, ["hashed", "h"])
-    places = written(places.groupBy("doc", "row", "klass").agg(F.collect_set("pos").alias("at")), "whole-places")
-    texts = docs.join(places.select("doc", "row").distinct().hint("merge"), ["doc", "row"], "left_semi").select("doc", "row", words(tokens(F.col("text"))).alias("tokens"))
-    both = places.join(texts, ["doc", "row"]).join(short, "klass")
-    return whole(both.filter(F.exists("at", lambda p: F.slice("tokens", p + 1, F.col("n_tokens")) == F.col("item"))))
+        return out(docs.select("doc", "row").join(entries.filter("false").withColumn("seen", F.col("words")), F.lit(False)))
+
+    def prefixes(toks: Column) -> Column:
+        """(k, pos, prefix) of each place of a text, for each k that there is; pos: of the item's first token."""
+        place = lambda k: lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), h.alias("prefix"))
+        behind = lambda h, k: F.transform(F.sequence(F.lit(1), F.size(h) - k), lambda i: _hash_of(h, i, F.lit(k)))
+        of = lambda k: let(token_hashes(toks), lambda h: F.when(F.size(h) > k, F.transform(behind(h, k), place(k))))
+        some = [of(k) for k in lengths if k]
+        if 0 in lengths:
+            some.append(F.transform(toks, lambda t, i: place(0)(F.xxhash64(plain(t)), i)))
+        return F.flatten(F.array_compact(F.array(*some)))
+
+    known = small_or_not(written(entries.select("k", "prefix").distinct(), "benchmark-prefixes"), 32)
+    places = docs.select("doc", "row", F.inline(prefixes(tokens(F.col("text"))))).join(known, ["k", "prefix"], "left_semi")
+    places = written(places.groupBy("doc", "row").agg(F.collect_set(F.struct("k", "pos")).alias("at")), "whole-places").hint("merge")
+    text = F.struct(words(F.col("toks")).alias("words"), token_hashes(F.col("toks")).alias("h"))
+    texts = docs.join(places, ["doc", "row"]).dropDuplicates(["doc", "row"]).withColumn("toks", tokens(F.col("text"))).select("doc", "row", "at", text.alias("t"))
+    of_k = F.create_map(*(x for k, n in lengths.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(n))))))
+    tried = texts.select("doc", "row", "t", F.explode("at").alias("p")).select("doc", "row", "t", "p.*", F.explode(of_k[F.col("p.k")]).alias("n")).filter(F.col("pos") + F.col("n") <= F.size("t.h"))
+    full = F.when(F.col("k") == 0, F.xxhash64(F.col("t.words")[F.col("pos")])).otherwise(_hash_of(F.col("t.h"), F.col("pos") + 1, F.col("n") - 1))
+    tried = tried.select("doc", "row", "n", full.alias("full"), F.col("t.h")[F.col("pos")].alias("own"), F.slice("t.words", F.col("pos") + 1, F.col("n")).alias("seen"))
+    both = tried.join(small_or_not(entries.select("klass", "n", "free", "full", "words", "head"), 256), ["n", "full"])
+    pairs = F.array_distinct(F.arrays_zip(F.col("words").alias("item"), F.col("seen").alias("doc")))
+    consistent = F.size(pairs) == F.size(F.array_distinct("words"))
+    head = (F.col("own") == F.col("head")) | (F.get("seen", F.lit(0)) == F.get("words", F.lit(0)))
+    return out(both.filter((F.col("seen") == F.col("words")) | (F.col("free") & head & consistent)))
 
 
 def found_classes(docs: DataFrame, items: DataFrame, min_tokens: int) -> DataFrame:
@@ -179,7 +224,7 @@ def found_classes(docs: DataFrame, items: DataFrame, min_tokens: int) -> DataFra
     both = both.withColumn("spots", spots).withColumn("pairs", F.array_distinct(F.transform("spots", lambda p: F.struct(F.col("item")[p].alias("item"), F.col("tokens")[p + F.col("shift")].alias("doc")))))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda v: v["item"])))
     seen = F.transform("spots", lambda p: F.col("tokens")[p + F.col("shift")])
-    return both.filter(consistent).select("doc", "row", "klass", "covered", "spots", seen.alias("seen")).unionByName(whole_items(docs, samples))
+    return both.filter(consistent).select("doc", "row", "klass", "covered", "spots", seen.alias("seen")).unionByName(whole_items(docs, items))
 
 
 def found_items(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) -> DataFrame:
@@ -192,13 +237,17 @@ def found_items(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) -> DataFrame:
-    """A row per document: doc_id, contaminated, items (sorted ids of the items found; one without an id only makes contaminated true), exact (one of them was found word for word)."""
+    """A row per document: doc_id, contaminated, items (sorted ids of the items found; one without an id only makes contaminated true), exact (one of
+    them was found word for word), short_items (sorted ids of items of fewer than EXACT_MIN tokens, which count for nothing else)."""
     docs = docs.select("doc_id", doc_key().alias("doc"), row_key().alias("row"), "text")
     with scratch():
-        found = found_items(docs, benchmark, min_tokens).groupBy("doc", "row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("exact").alias("exact"))
+        counts = F.col("covered") >= EXACT_MIN
+        ids = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("item_id"))))
+        found = found_items(docs, benchmark, min_tokens).groupBy("doc", "row").agg(F.max(counts).alias("contaminated"), ids(counts).alias("items"), F.max(counts & F.col("exact")).alias("exact"), ids(~counts).alias("short_items"))
         found = written(found, "found", keep=True)
     rows = docs.select("doc_id", "doc", "row").join(found.hint("merge"), ["doc", "row"], "left")
-    return rows.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("exact", F.lit(False)).alias("exact"))
+    none, no = F.array().cast("array<long>"), F.lit(False)
+    return rows.select("doc_id", F.coalesce("contaminated", no).alias("contaminated"), F.coalesce("items", none).alias("items"), F.coalesce("exact", no).alias("exact"), F.coalesce("short_items", none).alias("short_items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) -> DataFrame:
@@ -206,7 +255,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 13) -> DataFr
     key = F.struct(doc_key().alias("doc"), row_key().alias("row"))
     with scratch():
         found = found_classes(docs.select(doc_key().alias("doc"), row_key().alias("row"), "text"), benchmark_items(benchmark), min_tokens)
-        found = written(found.select(F.struct("doc", "row").alias("__key")).distinct(), "found", keep=True)
+        found = written(found.filter(F.col("covered") >= EXACT_MIN).select(F.struct("doc", "row").alias("__key")).distinct(), "found", keep=True)
     return docs.withColumn("__key", key).join(found.hint("merge"), "__key", "left_anti").drop("__key")
 
 

@@ -407,6 +407,34 @@ def test_short_items_are_found_when_copied(spark):
     assert [out[len(texts) + i] for i in range(len(other))] == [([], False)] * len(other)
 
 
+def test_short_items_with_other_numbers(spark):
+    """Items without windows are found by their template, with consistent slots; those of one or two tokens word for word, and apart."""
+    texts = [(1, "What is 23 times 47 minus 12"), (2, "Photosynthesis process"), (3, "Entropy"), (4, "How far is 5 km from 5 miles"), (5, "3 4 5 6"), (6, "Alice owes Bob 7 old coins and Bob 9")]
+    items = spark.createDataFrame(texts, "item_id long, text string")
+    rows = [
+        "What is 91 times 33 minus 70", "So: what is 8 times 8 minus 8?", "What was 91 times 33 minus 70", "About the photosynthesis process in plants", "photosynthesis as a process", "entropy grows", "How far is 8 km from 8 miles",
+        "How far is 8 km from 9 miles", "3 4 5 7", "then 3 4 5 6", "Carol owes Dan 8 old coins and Dan 1", "Carol owes Dan 8 old coins and Eve 1", "ALICE OWES BOB 7 OLD COINS AND BOB 9", None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: (r.contaminated, list(r["items"]), r.exact, list(r.short_items)) for r in decontaminate.decontaminate(docs, items).collect()}
+    clean = (False, [], False, [])
+    assert out == {
+        0: (True, [1], False, []), 1: (True, [1], False, []), 2: clean, 3: (False, [], False, [2]), 4: clean, 5: (False, [], False, [3]), 6: (True, [4], False, []), 7: clean, 8: clean, 9: (True, [5], True, []),
+        10: (True, [6], False, []), 11: clean, 12: (True, [6], True, []), 13: clean, 14: clean,
+    }
+    assert [r.doc_id for r in decontaminate.clean(docs, items).orderBy("doc_id").collect()] == [2, 3, 4, 5, 7, 8, 11, 13, 14]
+
+
+def test_many_items_of_one_short_template(spark):
+    """A document meets a template once, not once an item; all items of the class are named."""
+    items = spark.createDataFrame([(i, f"What is {i} plus {i + 1} as number") for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "What is 1000 plus 2 as number"), (1, "what is 7 plus 8 as number"), (2, "what is seven plus eight")], "doc_id long, text string")
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("row"), "text")
+    assert decontaminate.whole_items(keyed, decontaminate.benchmark_items(items)).count() <= 3
+    out = {r.doc_id: (len(r["items"]), r.exact) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert out == {0: (300, False), 1: (300, True), 2: (0, False)}
+
+
 def test_items_without_an_id_or_with_a_shared_one(spark):
     texts = [(None, "nobody gave this passage any number but it has plenty of words"), (None, "two words only differ"), (8, "the first of two passages that go by one and the same number"), (8, "quite another passage under that number with other words in it")]
     items = spark.createDataFrame(texts, "item_id long, text string")

@@ -8,19 +8,21 @@ A converted record gets an identifier derived from its URL, date and content (eq
 14-digit date, a type (response for HTTP content, else resource; revisit where another record has the same payload) and SHA-1
 digests in base 32. Of records with equal payloads of at least min_revisit_bytes, that with the smallest page_id is the response.
 
-Each WARC record is a gzip member of its own, so a reader can start at any record. Archives are written by Spark's text writer, with
-an empty member as the line separator, in any file system that Spark writes; they are read back by the same separator, so that a
-file's records go to many tasks and no task holds a file. A record that has the separator's bytes in its data is cut into two
-members there.
-
-ARC files are read whole, a file a task (they are made of 100 MB by custom; Spark's reader of binary files takes up to 2 GB),
-plain or with gzip members. Contents are bytes and need not be text. A null html is empty, a null page_id counts as the smallest
-(revisits that refer to it have a null refers_to); rows that repeat in all columns are each a record of the same type.
+Archives are standard .warc.gz files of FILE_RECORDS records, each a gzip member of its own, the first a warcinfo record. They are
+written by Spark's text writer, with an empty gzip member as the line separator, in any file system that Spark writes, and get
+their names after that; a record that has the separator's bytes in its compressed data is cut into two members there.
+
+ARC and WARC files, our own or others', are read whole, a file a task (they are made of 100 MB by custom; Spark's reader of binary
+files takes up to 2 GB), plain or in any sequence of gzip members; records are found by their declared lengths. Contents are bytes
+and need not be text; bytes of header fields that are not UTF-8 are percent-encoded, so different URLs stay different. A null html
+is empty, a null page_id counts as the smallest (revisits that refer to it have a null refers_to); rows that repeat in all columns
+are each a record of the same type; empty tables give archives without records of pages.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import uuid
 import zlib
@@ -41,12 +43,17 @@ ARC_FIELDS = {1: ("ip", "date", "type", "length"), 2: ("ip", "date", "type", "st
 RECORD_END = b"\r\n\r\n"
 #: An empty gzip member, told from others by its comment: stands between the members of records.
 SEPARATOR = b"\x1f\x8b\x08\x10\x00\x00\x00\x00\x00\xff" + b"cartulary: end of record 5d0f9c1ab3e74286\x00" + b"\x03\x00" + bytes(8)
-#: Records of an archive file.
-FILE_RECORDS = 50_000
+#: Records of an archive file, with its warcinfo record.
+FILE_RECORDS = 10_000
+#: Bytes of blocks in a batch of read records, about; bytes that a gzip reader is given at a time.
+BATCH_BYTES, READ_BYTES = 1 << 22, 1 << 14
 #: A record to be converted: key and row order and identify it (the smallest key is the response), page_id is what the result calls it.
 RECORDS = "key long, row long, page_id long, url string, ip string, date string, type string, content binary"
 
 
+codecs.register_error("percent", lambda e: ("".join(f"%{x:02X}" for x in e.object[e.start : e.end]), e.end))
+
+
 @dataclass
 class ArcRecord:
     url: str
@@ -83,7 +90,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         end = data.find(b"\n", at)
         if end < 0:
             raise ValueError(f"ARC header at {at} has no end")
-        line = data[at:end].decode("utf-8", "surrogateescape").rstrip("\r")
+        line = data[at:end].decode("utf-8", "percent").rstrip("\r")
         if version is None:
             length = int(line.rsplit(" ", 1)[1])
             version = int(data[end + 1 : end + 1 + length].split(None, 1)[0])
@@ -131,23 +138,47 @@ def to_warc(record: ArcRecord, key: str | None = None, revisit_of: str | None =
         "WARC-Payload-Digest": f"sha1:{own}", "WARC-Block-Digest": f"sha1:{digest(block)}", "X-Payload-Length": str(len(payload)),
         "Content-Type": "application/http; msgtype=response" if head else record.fields["type"], "Content-Length": str(len(block)),
     } | ({"WARC-Refers-To": record_id(revisit_of, own), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"} if revisit_of is not None else {}) | (extra or {})
-    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode("utf-8", "surrogateescape"), block
-
-
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields and block of each record, by declared length."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")[1:]
-        fields = dict(x.split(": ", 1) for x in lines)
-        length = int(fields["Content-Length"])
-        if not data.startswith(RECORD_END, end + 4 + length):
-            raise ValueError(f"WARC record at {at} doesn't end after {length} bytes")
-        yield fields, data[end + 4 : end + 4 + length]
-        at = end + 4 + length + len(RECORD_END)
+    return _head(fields), block
+
+
+def _head(fields: dict[str, str]) -> bytes:
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode()
+
+
+def warcinfo(first: ArcRecord) -> bytes:
+    """The record at the head of a file, whose first other record is given."""
+    block = b"software: cartulary\r\nformat: WARC File Format 1.1\r\n"
+    fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id("warcinfo", first.url, first.fields["date"], digest(first.content)), "WARC-Date": warc_date(first.fields["date"]), "Content-Type": "application/warc-fields", "Content-Length": str(len(block))}
+    return _head(fields) + block + RECORD_END
+
+
+def parse_warc(parts: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields and block of each record, by declared length; parts follow one another and may begin anywhere."""
+    rest, at = b"", 0
+    for part in [parts] if isinstance(parts, bytes) else parts:
+        rest, at = rest[at:] + part, 0
+        while (end := rest.find(b"\r\n\r\n", at)) >= 0:
+            if not rest.startswith(b"WARC/", at):
+                raise ValueError(f"no WARC record: {rest[at : at + 20]!r}")
+            lines: list[str] = []
+            for line in rest[at:end].decode("utf-8", "percent").split("\r\n")[1:]:
+                if line[:1] in (" ", "\t") and lines:  # a folded field goes on
+                    lines[-1] += f" {line.strip()}"
+                else:
+                    lines.append(line)
+            fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            length = next((int(v) for k, v in fields.items() if k.lower() == "content-length"), None)
+            if length is None:
+                raise ValueError(f"WARC record without a length: {lines[:2]}")
+            stop = end + 4 + length
+            if len(rest) < stop + len(RECORD_END):
+                break
+            if not rest.startswith(RECORD_END, stop):
+                raise ValueError(f"WARC record doesn't end after {length} bytes: {lines[:2]}")
+            yield fields, rest[end + 4 : stop]
+            at = stop + len(RECORD_END)
+    if rest[at:].strip():
+        raise ValueError(f"WARC record is cut off: {rest[at : at + 20]!r}")
 
 
 def _capture(page: int | None, url: str | None, html: bytes) -> tuple[str, str, bytes]:
@@ -165,14 +196,29 @@ def member(data: bytes) -> bytes:
     return member(data[:at]) + member(data[at:])
 
 
+def member_contents(data: bytes) -> Iterator[bytes]:
+    """The contents of each gzip member; data itself if it isn't gzip. Bytes of zero between members are passed over."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at = 0
+    while at < len(data):
+        if data[at : at + 1] == b"\0":
+            at += 1
+            continue
+        reader, out = zlib.decompressobj(31), []
+        while not reader.eof and at < len(data):
+            piece = data[at : at + READ_BYTES]
+            out.append(reader.decompress(piece))
+            at += len(piece) - len(reader.unused_data)
+        if not reader.eof:
+            raise ValueError("gzip member is cut off")
+        yield b"".join(out)
+
+
 def members(data: bytes) -> bytes:
-    """The contents of all gzip members, one after the other; data itself if it isn't gzip."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        reader = zlib.decompressobj(31)
-        out.append(reader.decompress(data) + reader.flush())
-        data = reader.unused_data
-    return b"".join(out) if out else data
+    """The contents of all gzip members, one after the other."""
+    return b"".join(member_contents(data))
 
 
 def _of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +233,7 @@ def _of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _records(found: list[ArcRecord], key: pa.Array, row: pa.Array, page: pa.Array) -> pa.RecordBatch:
-    text = lambda values: pa.array([x.encode("utf-8", "replace").decode() for x in values], pa.string())
+    text = lambda values: pa.array(list(values), pa.string())
     fields = (text(r.fields[k] for r in found) for k in ("ip", "date", "type"))
     return pa.record_batch([key, row, page, text(r.url for r in found), *fields, pa.array([r.content for r in found], pa.binary())], names=["key", "row", "page_id", "url", "ip", "date", "type", "content"])
 
@@ -229,48 +275,71 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("key"), b.column("row"), pa.array([digest(x) for x in payloads], pa.string()), pa.array([len(x) for x in payloads], pa.int64())], names=["key", "row", "digest", "size"])
 
 
-def _to_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_members(file_records: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0  # records so far; the writer begins a file after each file_records
+        for batch in batches:
+            for b in chunks(batch, "content"):
+                out = []
+                for r in b.to_pylist():
+                    record = ArcRecord(r["url"], {k: r[k] for k in ("ip", "date", "type")}, r["content"])
+                    extra = {"X-Page": "" if r["page_id"] is None else str(r["page_id"])}
+                    first = r["first"]
+                    if first is not None:
+                        extra["X-Refers-To-Page"] = "" if first["page_id"] is None else str(first["page_id"])
+                    head, block = to_warc(record, f"{r['key']} {r['row']}", None if first is None else f"{first['key']} {first['row']}", extra)
+                    new = ([] if n % file_records else [member(warcinfo(record))]) + [member(head + block + RECORD_END)]
+                    out += new
+                    n += len(new)
+                yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+
+    return run
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[dict[str, str], bytes]]]:
+    """The records of files (content), some BATCH_BYTES at a time."""
     for batch in batches:
-        for b in chunks(batch, "content"):
-            out = []
-            for r in b.to_pylist():
-                record = ArcRecord(r["url"], {k: r[k] for k in ("ip", "date", "type")}, r["content"])
-                extra = {"X-Page": "" if r["page_id"] is None else str(r["page_id"])}
-                first = r["first"]
-                if first is not None:
-                    extra["X-Refers-To-Page"] = "" if first["page_id"] is None else str(first["page_id"])
-                head, block = to_warc(record, f"{r['key']} {r['row']}", None if first is None else f"{first['key']} {first['row']}", extra)
-                out.append(member(head + block + RECORD_END))
-            yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+        for value in batch.column("content"):
+            found, size = [], 0
+            for record in parse_warc(member_contents(value.as_buffer().to_pybytes())):
+                found.append(record)
+                size += len(record[1])
+                if size >= BATCH_BYTES:
+                    yield found
+                    found, size = [], 0
+            yield found
 
 
 def _fields_and_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in chunks(batch, "value"):
-            found = [x for value in b.column("value") for x in parse_warc(members(value.as_buffer().to_pybytes()))]
-            yield pa.record_batch([pa.array([list(f.items()) for f, _ in found], pa.map_(pa.string(), pa.string())), pa.array([x for _, x in found], pa.binary())], names=["fields", "block"])
+    for found in _read(batches):
+        yield pa.record_batch([pa.array([list(f.items()) for f, _ in found], pa.map_(pa.string(), pa.string())), pa.array([x for _, x in found], pa.binary())], names=["fields", "block"])
 
 
 def _of_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in chunks(batch, "value"):
-            out: list[list] = [[], [], [], [], []]
-            for value in b.column("value"):
-                for fields, block in parse_warc(members(value.as_buffer().to_pybytes())):
-                    kind, own = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind != "revisit":
-                        payload = split_http(block)[1]
-                        if digest(payload) != own or len(payload) != int(fields["X-Payload-Length"]):
-                            raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't have its digest")
-                    number = lambda k: int(fields[k]) if fields.get(k) else None  # noqa: B023, E731
-                    for column, x in zip(out, (number("X-Page"), number("X-Payload-Length"), own, kind, number("X-Refers-To-Page")), strict=True):
-                        column.append(x)
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-
-def _separated(options):
-    """A reader's or writer's options for archives."""
-    return options.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1")
+    for found in _read(batches):
+        out: list[list] = [[], [], [], [], []]
+        for fields, block in found:
+            if (kind := fields["WARC-Type"]) == "warcinfo":
+                continue
+            own = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+            if kind != "revisit":
+                payload = split_http(block)[1]
+                if digest(payload) != own or len(payload) != int(fields["X-Payload-Length"]):
+                    raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't have its digest")
+            number = lambda k: int(fields[k]) if fields.get(k) else None  # noqa: B023, E731
+            for column, x in zip(out, (number("X-Page"), number("X-Payload-Length"), own, kind, number("X-Refers-To-Page")), strict=True):
+                column.append(x)
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
+def _name_files(spark, path: str) -> None:
+    """Gives the files that Spark's text writer made the names of archives."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for x in system.listStatus(place):
+        old = x.getPath()
+        if (name := old.getName()).startswith("part-"):
+            system.rename(old, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, f"{name.removesuffix('.txt')}.warc.gz"))
 
 
 def convert(records: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
@@ -284,22 +353,23 @@ def convert(records: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
         page = F.struct("f.key", "f.row", F.when(F.col("f.key") != NO_ID, F.col("f.key")).alias("page_id"))
         rows = records.join(revisits, ["key", "row"], "left").select("key", "row", "page_id", "url", "ip", "date", "type", "content", F.when(F.col("f").isNotNull(), page).alias("first"))
         # The JVM takes the bytes as they are.
-        lines = rows.mapInArrow(_to_members, "value binary").select(F.col("value").cast("string").alias("value"))
-        _separated(lines.write).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+        lines = rows.mapInArrow(_to_members(FILE_RECORDS), "value binary").select(F.col("value").cast("string").alias("value"))
+        lines.write.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+        _name_files(records.sparkSession, path)
 
 
-def _members(spark, path: str) -> DataFrame:
-    return _separated(spark.read).option("pathGlobFilter", "part-*").text(path).select(F.col("value").cast("binary").alias("value"))
+def _warc_files(spark, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content")
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """fields and block of each WARC record."""
-    return _members(spark, path).mapInArrow(_fields_and_blocks, "fields map<string,string>, block binary")
+    """fields and block of each record of the WARC files (*.warc, *.warc.gz) at a path."""
+    return _warc_files(spark, path).mapInArrow(_fields_and_blocks, "fields map<string,string>, block binary")
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """A row per WARC record: page_id, payload_bytes, payload_digest, record_type, refers_to. Payloads are held against their digests."""
-    return _members(spark, path).mapInArrow(_of_warc, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """A row per record of a page that convert() wrote: page_id, payload_bytes, payload_digest, record_type, refers_to. Payloads are held against their digests."""
+    return _warc_files(spark, path).mapInArrow(_of_warc, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op4_archives(spark, sf_dir: str) -> DataFrame:

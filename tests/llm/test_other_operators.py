@@ -1,3 +1,4 @@
+import gzip
 import json
 import re
 import zlib
@@ -146,7 +147,8 @@ def test_arc_files_of_any_bytes(spark, tmp_path):
     found = archives.read_arc(spark, str(tmp_path / "in"))
     assert sorted((r.url, r.date, bytes(r.content)) for r in found.collect()) == records
     archives.convert(found, str(tmp_path / "out"))
-    out = {r.fields["WARC-Target-URI"]: r for r in archives.read_warc(spark, str(tmp_path / "out")).collect()}
+    rows = archives.read_warc(spark, str(tmp_path / "out")).collect()
+    out = {r.fields["WARC-Target-URI"]: r for r in rows if r.fields["WARC-Type"] != "warcinfo"}
     assert len(out) == len(records)
     for url, _, content in records:
         fields, (http, payload) = out[url].fields, archives.split_http(content)
@@ -156,12 +158,51 @@ def test_arc_files_of_any_bytes(spark, tmp_path):
     assert sorted(f["WARC-Type"] for f in same) == ["response", "revisit"]
     assert {f.get("WARC-Refers-To") for f in same} == {None, same[0]["WARC-Record-ID"] if same[0]["WARC-Type"] == "response" else same[1]["WARC-Record-ID"]}
     # Every record is a gzip member of its own: any of them can be read alone.
-    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    files = sorted((tmp_path / "out").glob("*.warc.gz"))
+    assert sum(r.fields["WARC-Type"] == "warcinfo" for r in rows) == sum(p.stat().st_size > 0 for p in files)
+    data = b"".join(p.read_bytes() for p in files)
     starts = [0] + [m.end() for m in re.finditer(re.escape(archives.SEPARATOR), data)][:-1]
-    assert len(starts) == len(records) and all(zlib.decompressobj(31).decompress(data[s:]).startswith(b"WARC/1.1") for s in starts)
+    assert len(starts) == len(rows) and all(zlib.decompressobj(31).decompress(data[s:]).startswith(b"WARC/1.1") for s in starts)
     assert archives.members(data) == b"".join(archives.members(data[s:e]) for s, e in zip(starts, [*starts[1:], len(data)], strict=True))
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Archives made by gzip alone: a member a record, one member for all, members that cut records, and no gzip at all."""
+    def record(kind, url, block, mark=": "):
+        return f"WARC/1.0\r\nWARC-Type{mark}{kind}\r\nwarc-target-uri{mark}{url}\r\nX-Folded{mark}a\r\n  b\r\ncontent-length{mark}{len(block)}\r\n\r\n".encode() + block + archives.RECORD_END
+
+    blocks = [b"", b"WARC/1.0\r\n\r\n\r\n\r\n", bytes(range(256)) * 200]
+    records = [record("response", f"http://h/{i}", b, (": ", ":", ":  ")[i]) for i, b in enumerate(blocks)]
+    whole = b"".join(records)
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(whole) + bytes(20))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(gzip.compress(whole[i : i + 77]) for i in range(0, len(whole), 77)))
+    (tmp_path / "d.warc").write_bytes(whole)
+    found = archives.read_warc(spark, str(tmp_path)).collect()
+    assert sorted((r.fields["warc-target-uri"], r.fields["X-Folded"], bytes(r.block)) for r in found) == sorted((f"http://h/{i}", "a b", b) for i, b in enumerate(blocks) for _ in range(4))
+    assert archives.read_warc(spark, str(tmp_path / "a.warc.gz")).count() == 3
+    for bad in (gzip.compress(whole)[:-20], gzip.compress(whole[:-9]), gzip.compress(b"HTTP/1.0 200 OK\r\n\r\n"), gzip.compress(record("x", "y", b"z") + b"more")):
+        with pytest.raises(ValueError):
+            list(archives.parse_warc(archives.member_contents(bad)))
+
+
+def test_archives_are_standard_files(spark, tmp_path, monkeypatch):
+    """Each file is named .warc.gz and begins with warcinfo; bytes of URLs that are no text are kept apart."""
+    monkeypatch.setattr(archives, "FILE_RECORDS", 4)
+    records = [(f"http://h/caf{'é' if i % 2 else chr(0xDCE9)}/{i}", "19970101000000", b"HTTP/1.0 200 OK\r\n\r\n%d" % i) for i in range(10)]
+    data = archives.build_arc([(u.replace("\udce9", "?"), d, c) for u, d, c in records], 1).replace(b"caf?", b"caf\xe9")
+    (tmp_path / "x.arc").write_bytes(data)
+    archives.convert(archives.read_arc(spark, str(tmp_path / "x.arc")), str(tmp_path / "out"))
+    files = [p for p in (tmp_path / "out").iterdir() if not p.name.startswith((".", "_"))]
+    assert files and all(p.name.endswith(".warc.gz") for p in files)
+    urls = []
+    for p in files:
+        found = [f for f, _ in archives.parse_warc(gzip.decompress(p.read_bytes()))] if p.stat().st_size else []
+        assert len(found) <= 4 and [f["WARC-Type"] for f in found] == ["warcinfo"] * bool(found) + ["response"] * (len(found) - 1)
+        urls += [f["WARC-Target-URI"] for f in found[1:]]
+    assert sorted(urls) == sorted(u.replace("\udce9", "%E9") for u, _, _ in records)
+
+
 # --- op5
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.functions.text import is_camel, is_pascal, is_snake, percent, round2, short_id
-from cartulary.scratch import written
+from cartulary.operators.ordinals import middle
 
 # Fixed values in the rules below: keys, names, patterns, thresholds, descriptions and suggestions.
 COLUMNS = ("id", "category", "name", "pattern", "confidence", "examples", "description", "suggestion")
@@ -110,23 +110,11 @@ def _scaled(name: str, by: int) -> Column:
     return F.least(_n(name) / by, F.lit(1.0))
 
 
-def _middle(paths: DataFrame) -> DataFrame:
-    """(x_middle): the path at place n // 2 (from 0) in order; null without paths.
-
-    Paths are dealt over tasks by range, once; ranges are counted, and only the one that holds the place is numbered.
-    """
-    ranged = written(paths.repartitionByRange("path").withColumn("part", F.spark_partition_id()), "ranged-paths", keep=True)
-    upto = Window.orderBy("part")  # one row a range
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto)).withColumn("place", F.expr("sum(n) over () div 2"))
-    at = sizes.filter("place >= upto - n and place < upto").select("part", (F.col("place") - F.col("upto") + F.col("n") + 1).alias("k"))
-    numbered = ranged.join(F.broadcast(at), "part").withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("path")))
-    return numbered.filter("r = k").agg(F.first("path").alias("x_middle"))
-
-
 def file_structure(files: DataFrame) -> DataFrame:
     src = _ratio(_n("src"), F.col("total"))
-    middle = _middle(files.filter(F.col("path").startswith("src/")).select("path"))
-    counted = _counted(files, [g for g in file_groups() if g.name in ("barrel", "src", "packages", "tests_dir")], 5, middle)
+    at_middle = middle(files.filter(F.col("path").startswith("src/")), "path")
+    at_middle = files.sparkSession.createDataFrame([(at_middle,)], "x_middle string")
+    counted = _counted(files, [g for g in file_groups() if g.name in ("barrel", "src", "packages", "tests_dir")], 5, at_middle)
     return _fired(counted, [
         _rule("file-structure:barrel-files", "Barrel export files (index.ts)", "**/index.ts", _n("barrel") > 2, _scaled("barrel", 10), F.col("x_barrel"), _text(_n("barrel"), " barrel files found. Common pattern for re-exporting modules."), "Barrel files help keep imports clean but can cause circular dependency issues."),
         _rule("file-structure:src-directory", "Source code in src/ directory", "src/**", src > 0.5, round2(src), F.array_compact(F.array(F.get("x_src", F.lit(0)), F.col("x_middle"))), _text(_n("src"), " of ", F.col("total"), " files are under src/")),

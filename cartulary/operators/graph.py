@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.constants import NODE_COLOURS, NODE_RADII, OTHER_COLOUR, OTHER_RADIUS
 from cartulary.functions.text import round2
+from cartulary.operators.ordinals import numbered
 from cartulary.scratch import scratch, written
 
 #: Order of node kinds; where ids coincide the later kind counts.
@@ -88,15 +89,16 @@ def neighbours(edge_rows: DataFrame, start: str, depth: int = 1) -> DataFrame:
     """(id, distance, edge_id) of the nodes within depth edges of start, itself excluded; edge_id: the least edge that leads there from the round before."""
     both = undirected(edge_rows)
     spark = edge_rows.sparkSession
-    seen = spark.createDataFrame([(start, 0, None)], "id string, distance int, edge_id string")
-    frontier = seen
-    for d in range(1, depth + 1):
-        step = frontier.select(F.col("id").alias("a")).join(both, "a").groupBy(F.col("b").alias("id")).agg(F.min("id").alias("edge_id"))
-        frontier = written(step.join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"), "edge_id"), "ring", keep=True)
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    return seen.filter("distance > 0")
+    with scratch():
+        seen = spark.createDataFrame([(start, 0, None)], "id string, distance int, edge_id string")
+        frontier = seen
+        for d in range(1, depth + 1):
+            step = frontier.select(F.col("id").alias("a")).join(both, "a").groupBy(F.col("b").alias("id")).agg(F.min("id").alias("edge_id"))
+            frontier = written(step.join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"), "edge_id"), "ring")
+            if frontier.isEmpty():
+                break
+            seen = seen.union(frontier)
+        return written(seen.filter("distance > 0"), "neighbours", keep=True)
 
 
 def shortest_path(edge_rows: DataFrame, source: str, target: str, max_depth: int | None = None) -> list[str] | None:
@@ -137,14 +139,15 @@ def components(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     Each round a node takes the least label of itself, its neighbours and its label's label (pointer jumping), so chains need a
     number of rounds that grows with their length's logarithm, not with the length.
     """
-    both = written(undirected(edge_rows).select("a", "b").filter("a <> b").distinct(), "both-ways", keep=True)
-    labels, changed = written(node_rows.select("id", F.col("id").alias("component")).distinct(), "labels", keep=True), True
-    while changed:
-        with scratch():
-            after = written(_round(both, labels), "labels", keep=True)
-        changed = not after.filter("new <> component").isEmpty()
-        labels = after.select("id", F.col("new").alias("component"))
-    return labels
+    with scratch():
+        both = written(undirected(edge_rows).select("a", "b").filter("a <> b").distinct(), "both-ways")
+        labels, changed = written(node_rows.select("id", F.col("id").alias("component")).distinct(), "labels"), True
+        while changed:
+            with scratch():
+                after = written(_round(both, labels), "labels", keep=True)
+            changed = not after.filter("new <> component").isEmpty()
+            labels = after.select("id", F.col("new").alias("component"))
+        return written(labels, "components", keep=True)
 
 
 def _round(both: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,6 +181,12 @@ def clusters(node_rows: DataFrame, edge_rows: DataFrame, min_size: int = 3) -> D
     return out.orderBy(F.col("size").desc(), "component")
 
 
+def numbered_clusters(found: DataFrame) -> DataFrame:
+    """clusters() with number (from 0, the largest first, then by least id) and key, cluster-<number>."""
+    out = numbered(found, [], [F.col("size").desc(), F.col("component")], "_n").withColumn("number", F.col("_n") - 1).drop("_n")
+    return out.withColumn("key", F.concat(F.lit("cluster-"), "number"))
+
+
 def of_types(node_rows: DataFrame, edge_rows: DataFrame, types: list[str], limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes of some types (the first `limit` by id, for display) and the edges between them."""
     kept = node_rows.filter(F.col("type").isin(types))
@@ -194,7 +203,7 @@ def radial_layout(node_rows: DataFrame, radius: float = 1.0) -> DataFrame:
     known = node_rows.filter(F.col("type").isin(*KINDS))
     rings = known.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.first(kind).alias("kind"))  # four rows at most
     rings = rings.withColumn("r", radius * (F.lit(0.3) + 0.25 * (F.row_number().over(Window.orderBy("kind")) - 1)))
-    placed = known.select("id", "type", F.row_number().over(Window.partitionBy("type").orderBy("id")).alias("i")).join(F.broadcast(rings), "type")
+    placed = numbered(known.select("id", "type"), ["type"], ["id"], "i").join(F.broadcast(rings), "type")
     angle = F.lit(6.283185307179586) * (F.col("i") - 1) / F.col("n")
     return placed.select("id", "type", (F.col("r") * F.cos(angle)).alias("x"), (F.col("r") * F.sin(angle)).alias("y"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.functions.text import dot_product, expand_query_py, keywords_py, like_any, match_score, normalize_query_py, token_estimate
+from cartulary.operators.ordinals import numbered
 
 # Fixed values in the sections below: titles, line formats, numbers of rows shown, relevances.
 TABLE_ORDER = ("file_id", "start_line", "id")
@@ -50,9 +51,16 @@ def hybrid_merge(keyword: DataFrame, vector: DataFrame, limit: int = 10) -> Data
 
 
 def token_budget(sections: DataFrame, budget: int, by: list[str] | None = None) -> DataFrame:
-    """sections (pos, tokens, ...) with running total and kept; those that don't fit still count. by: columns of the group (one query's sections)."""
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return sections.withColumn("running", F.sum("tokens").over(w)).withColumn("kept", F.col("running") <= budget)
+    """sections (pos, tokens, ...) with running total and kept; those that don't fit still count.
+
+    by: columns of the group (one query's sections each); groups may be of any size, and pos should be unique in them. Without, the
+    sections are those of one query, a handful.
+    """
+    if by:
+        out = numbered(sections, by, ["pos"], "_pos", {"running": "tokens"}).drop("_pos")
+    else:
+        out = sections.withColumn("running", F.sum("tokens").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    return out.withColumn("kept", F.col("running") <= budget)
 
 
 def _bullets(rows: DataFrame, order: list[str], line: Column, head: str, limit: int, source: str, relevance: Column, title: str, pos: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartulary.functions.constants import DOMAINS, LAYERS, PATTERNS
 from cartulary.functions.text import expand_query_py, intent, keywords_py, module_name, normalize_query_py, token_estimate
 from cartulary.operators import architecture, conventions, graph, importing, search, store
+from cartulary.operators.ordinals import numbered
 from cartulary.plans.views import Views, duckdb_ctes
 from cartulary.sources.ignore import ignored
 
@@ -80,6 +81,13 @@ def token_budget(v: Views) -> DataFrame:
     return search.token_budget(rows, BUDGET, ["language"]).select("language", "path", "token_count", "running", "kept")
 
 
+@query(f"{duckdb_ctes('v_files')} SELECT path, row_number() OVER w AS place, CAST(sum(token_count) OVER w AS BIGINT) AS running, CAST(sum(CASE WHEN is_test THEN token_count END) OVER w AS BIGINT) AS test_tokens FROM v_files WINDOW w AS (ORDER BY token_count DESC, path ROWS UNBOUNDED PRECEDING)")
+def running_tokens(v: Views) -> DataFrame:
+    """All files in one order, the largest first, with their place and running totals: one group of all rows."""
+    rows = v["v_files"].select("path", "token_count", F.when(F.col("is_test"), F.col("token_count")).alias("of_test"))
+    return numbered(rows, [], [F.col("token_count").desc(), F.col("path")], "place", {"running": "token_count", "test_tokens": "of_test"}).select("path", F.col("place").cast("long").alias("place"), "running", "test_tokens")
+
+
 @query(r"""
 SELECT conv_id, turn, CASE
   WHEN contains(t, 'how') AND (contains(t, 'work') OR contains(t, 'flow')) THEN 'Understanding how something works'
@@ -540,10 +548,14 @@ def graph_imports(v: Views) -> DataFrame:
     return graph.edges(tables, graph.nodes(tables)).filter("type = 'imports'").select("id", "source", "target", "label")
 
 
-@query(f"""{duckdb_ctes('v_functions', 'v_types')}, kids AS (SELECT file_id, count(*) AS k FROM (SELECT file_id FROM v_functions UNION ALL SELECT file_id FROM v_types) GROUP BY file_id),
+#: Trees of files that import one another, one for each ten files, with what they hold.
+_TREES = f"""{duckdb_ctes('v_functions', 'v_types')}, kids AS (SELECT file_id, count(*) AS k FROM (SELECT file_id FROM v_functions UNION ALL SELECT file_id FROM v_types) GROUP BY file_id),
 f AS (SELECT id, doc_id // 10 AS g, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS dir FROM v_files),
 c AS (SELECT min(id) AS component, CAST(count(*) + sum(coalesce(k, 0)) AS BIGINT) AS size, min(dir) AS lo, max(dir) AS hi FROM f LEFT JOIN kids ON file_id = id GROUP BY g),
-p AS (SELECT *, len(list_filter(range(1, least(len(lo), len(hi)) + 1), lambda i: lo[1:i] = hi[1:i])) AS n FROM c WHERE size >= 3)
+p AS (SELECT *, len(list_filter(range(1, least(len(lo), len(hi)) + 1), lambda i: lo[1:i] = hi[1:i])) AS n FROM c WHERE size >= 3)"""
+
+
+@query(f"""{_TREES}
 SELECT component, CASE WHEN n > 0 THEN array_to_string(lo[1:n], '/') ELSE 'Cluster-' || size || '-nodes' END AS name, size, size - 1 AS edges, {_r2('(size - 1) / (size * (size - 1) / 2)')} AS density FROM p""")
 def clusters(v: Views) -> DataFrame:
     """Clusters of the files that import one another, with their functions and types: trees, one for each ten files."""
@@ -552,6 +564,15 @@ def clusters(v: Views) -> DataFrame:
     return graph.clusters(n, graph.edges(tables, n))
 
 
+@query(f"""{_TREES}
+SELECT 'cluster-' || (row_number() OVER (ORDER BY size DESC, component) - 1) AS key, row_number() OVER (ORDER BY size DESC, component) - 1 AS number, component, size FROM p""")
+def cluster_numbers(v: Views) -> DataFrame:
+    """The same clusters, numbered from the largest."""
+    tables = _tables(v) | {"classes": v["v_classes"].filter("false"), "relationships": _relationships(v)}
+    n = graph.nodes(tables)
+    return graph.numbered_clusters(graph.clusters(n, graph.edges(tables, n))).select("key", F.col("number").cast("long").alias("number"), "component", "size")
+
+
 # --- import resolution and paths --------------------------------------------------------------------------------------
 
 

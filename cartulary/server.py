@@ -6,6 +6,7 @@ import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from cartulary.api import Engine
+from cartulary.scratch import scratch
 
 PAGE = "<!doctype html><title>Cartulary</title><h1>Cartulary</h1><ul>" + "".join(f"<li><a href='/api/{x}'>{x}</a></li>" for x in ("graph", "stats", "architecture", "conventions", "health")) + "</ul>"
 
@@ -44,7 +45,9 @@ def serve(engine: Engine, port: int = 4620, host: str = "127.0.0.1") -> Threadin
             if answer is None:
                 return self._send(200, PAGE, "text/html")
             try:
-                return self._send(200, json.dumps(answer(), default=str), "application/json")
+                with scratch():  # tables written for the answer go with it
+                    text = json.dumps(answer(), default=str)
+                return self._send(200, text, "application/json")
             except Exception as e:  # noqa: BLE001
                 return self._send(500, json.dumps({"error": str(e)[:500]}), "application/json")
 

@@ -309,6 +309,8 @@ def compared_with_next(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     the last the first. Documents are sorted over range partitions, by one shuffle that all that follows reads; only a partition's last document
     meets its next one, the first of the next partition, by a window over one row a partition.
     """
+    if docs.sparkSession.conf.get("spark.sql.exchange.reuse") != "true":  # ranges of two shuffles differ
+        raise ValueError("compared_with_next needs spark.sql.exchange.reuse, Spark's default")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text", row_key().alias("row")).repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     inner = ordered.mapInArrow(_compare_with_next(ranks), _SCHEMA)

@@ -80,7 +80,7 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def learn_pivots(sample: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
     """Centres of the sample's augmented vectors, by Lloyd's rounds from its first n."""
     pivots = sample[:n].copy()
-    for _ in range(rounds):
+    for _ in range(rounds if len(sample) else 0):
         near = _distances(sample, pivots).argmin(axis=1)
         size = np.bincount(near, minlength=len(pivots))
         sums = np.zeros_like(pivots)

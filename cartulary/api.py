@@ -82,11 +82,12 @@ class Engine:
     def get_context(self, query: str, max_tokens: int = 4000, semantic: bool = True, rank: str = "score", summary: bool = True) -> Context:
         tables = self.store.tables()
         vector = self.model([query])[0] if semantic and self.store.has_embeddings() else None
-        rows, ranked = search.find_context(tables, query, max_tokens, vector, rank)
+        text = expand_query_py(normalize_query_py(query))
+        searched = {t: self.store.searched(t, text) for t in ("functions", "files")}
+        rows, ranked = search.find_context(tables, query, max_tokens, vector, rank, searched)
         found = rows.orderBy("pos").collect()  # four sections at most
         functions = ranked.orderBy("pos").select("full_name").collect()
-        text = expand_query_py(normalize_query_py(query))
-        files = search.search_files(tables["files"], text, 10).select("path").collect()
+        files = search.search_files(searched["files"], text, 10).select("path").collect()
         sections = [Section(r.title, r.content, list(r.source_files), r.relevance) for r in found if r.kept]
         entities = list(dict.fromkeys([f.full_name for f in functions] + [f.path for f in files]))
         return Context(str(uuid.uuid4()), self._summary(query, sections, [f.full_name for f in functions]) if summary else "", sections, sum(r.tokens for r in found), intent_py(query), entities, min(len(sections) / 3, 1.0))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from cartulary.operators.mentions import mentions
 
 #: Concepts list their first files; a module's own list is whole.
 SHOWN_FILES = 10
+#: Export sets of a module with one name beyond which their pairs are compared in blocks, and sets of a block, about.
+HOT_SETS, SET_BLOCK = 200, 512
 
 
 def module_members(files: DataFrame) -> DataFrame:
@@ -37,23 +42,73 @@ def file_exports(functions: DataFrame) -> DataFrame:
 def cohesion(members: DataFrame, exports: DataFrame) -> DataFrame:
     """(root_path, cohesion): mean Jaccard similarity of the export sets of a module's file pairs.
 
-    Files of a module with the same set count as one set, times their number: a name that thousands of files export alike costs
-    one row. Only pairs of sets that share a name add to the mean, so they alone are made, by joining on module and name; all
-    other pairs count in the denominator n(n-1)/2.
+    Files of a module with the same set count as one set, times their number. Only pairs of sets that share a name add to the mean;
+    all other pairs count in the denominator n(n-1)/2. Pairs that share a hot name (one that over HOT_SETS sets of the module have)
+    are never made: their sets are cut into blocks, and a task for two blocks returns one sum. All other pairs are made by joining
+    on module and name.
     """
     sets = exports.groupBy("file_id").agg(F.array_sort(F.collect_set("full_name")).alias("names"))
     alike = members.join(sets, "file_id").groupBy("root_path", "names").agg(F.count(F.lit(1)).alias("files")).withColumn("key", F.sha2(F.to_json("names"), 256))
-    named = alike.select("root_path", "key", "files", F.size("names").alias("exports"), F.explode("names").alias("full_name"))
-    other = named.select("root_path", "full_name", F.col("key").alias("key_b"), F.col("files").alias("files_b"), F.col("exports").alias("exports_b"))
-    shared = named.join(other, ["root_path", "full_name"]).filter("key < key_b").groupBy("root_path", "key", "key_b").agg(
+    holders = alike.select("root_path", F.explode("names").alias("full_name")).groupBy("root_path", "full_name").agg(F.count(F.lit(1)).alias("n"))
+    hot = holders.filter(F.col("n") > HOT_SETS).groupBy("root_path").agg(F.collect_set("full_name").alias("hot"))
+    alike = alike.join(hot, "root_path", "left").withColumn("hot", F.array_intersect("names", F.coalesce("hot", F.array().cast("array<string>"))))
+    named = alike.select("root_path", "key", "files", F.size("names").alias("exports"), "hot", F.explode(F.array_except("names", "hot")).alias("full_name"))
+    other = named.select("root_path", "full_name", F.col("key").alias("key_b"), F.col("files").alias("files_b"), F.col("exports").alias("exports_b"), F.col("hot").alias("hot_b"))
+    shared = named.join(other, ["root_path", "full_name"]).filter((F.col("key") < F.col("key_b")) & ~F.arrays_overlap("hot", "hot_b")).groupBy("root_path", "key", "key_b").agg(
         F.count(F.lit(1)).alias("common"), F.first(F.col("files") * F.col("files_b")).alias("times"), F.first(F.col("exports") + F.col("exports_b")).alias("both"))
     within = alike.select("root_path", (F.col("files") * (F.col("files") - 1) / 2).alias("similarity"))
     across = shared.select("root_path", (F.col("times") * F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
-    total = within.union(across).groupBy("root_path").agg(F.sum("similarity").alias("similarity"))
+    total = within.union(across).union(_hot_pairs(alike)).groupBy("root_path").agg(F.sum("similarity").alias("similarity"))
     pairs = F.col("n_files") * (F.col("n_files") - 1) / 2
     return large_modules(members).join(total, "root_path", "left").select("root_path", (F.coalesce("similarity", F.lit(0.0)) / pairs).alias("cohesion"))
 
 
+def _hot_pairs(sets: DataFrame) -> DataFrame:
+    """(root_path, similarity): sums over the pairs of a module's sets (root_path, key, names, hot, files) that share a hot name, a row for two blocks."""
+    some = sets.filter(F.size("hot") > 0)
+    blocks = some.groupBy("root_path").agg(F.ceil(F.count(F.lit(1)) / SET_BLOCK).cast("int").alias("blocks"))
+    cut = some.join(blocks, "root_path").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    with_each = cut.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = with_each.select("root_path", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "names", "hot", "files")
+    return rows.groupBy("root_path", "i", "j").applyInArrow(_block_similarity, "root_path string, similarity double")
+
+
+def _block_similarity(t: pa.Table) -> pa.Table:
+    """The sum of files * files * Jaccard over pairs of sets of the two blocks (of one block: each pair once) with a hot name in common."""
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    block, files = t.column("block").to_numpy(), t.column("files").to_numpy().astype(np.float64)
+    sizes = {c: pc.list_value_length(t.column(c)).to_numpy().astype(np.int64) for c in ("names", "hot")}
+    flat = {c: pc.list_flatten(t.column(c)).combine_chunks() for c in ("names", "hot")}
+    known = pc.unique(flat["names"])
+    ids = {c: pc.index_in(flat[c], known).to_numpy(zero_copy_only=False).astype(np.int64) for c in flat}
+    first = {c: np.concatenate([[0], np.cumsum(sizes[c])]) for c in flat}
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    place = np.full(len(block), -1)
+    place[left] = np.arange(len(left))
+
+    def by_name(c: str) -> tuple[np.ndarray, np.ndarray]:
+        """Of each name the left sets that have it: their places in order of names, and where each name starts."""
+        of = place[np.repeat(np.arange(len(block)), sizes[c])]
+        order = np.argsort(ids[c][of >= 0], kind="stable")
+        return of[of >= 0][order], np.concatenate([[0], np.cumsum(np.bincount(ids[c][of >= 0], minlength=len(known)))])
+
+    held = {c: by_name(c) for c in flat}
+
+    def common(c: str, r: int) -> np.ndarray:
+        of, starts = held[c]
+        return np.bincount(np.concatenate([of[starts[n] : starts[n + 1]] for n in ids[c][first[c][r] : first[c][r + 1]]]), minlength=len(left))
+
+    total = 0.0
+    for r in right:
+        hit = common("hot", r) > 0
+        if i == j:
+            hit[place[r] :] = False
+        if hit.any():
+            n = common("names", r)[hit]
+            total += files[r] * float((files[left][hit] * n / (sizes["names"][left][hit] + sizes["names"][r] - n)).sum())
+    return pa.table({"root_path": pa.array([t.column("root_path")[0].as_py()], pa.string()), "similarity": pa.array([total], pa.float64())})
+
+
 def coupling(members: DataFrame, exports: DataFrame, functions: DataFrame) -> DataFrame:
     """(root_path, coupling): the share of a module's exports that some function outside mentions (in name, full name or comment, as keyword search would find it).
 

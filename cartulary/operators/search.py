@@ -103,11 +103,14 @@ def type_section(types: DataFrame) -> DataFrame:
     return _bullets(types, ["file_pos", "id"], line, "## Related Types\n\n", 5, "file_id", F.max(F.lit(0.4)), "Related Types", 4)
 
 
-def find_context(tables: dict[str, DataFrame], query: str, max_tokens: int = 4000, query_vector: list[float] | None = None, rank: str = "score") -> tuple[DataFrame, DataFrame]:
-    """(sections with running total and kept, ranked functions) for a query; a query vector adds vector search."""
+def find_context(tables: dict[str, DataFrame], query: str, max_tokens: int = 4000, query_vector: list[float] | None = None, rank: str = "score", searched: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections with running total and kept, ranked functions) for a query; a query vector adds vector search.
+
+    searched: functions and files that an index left to be searched for the query's words, by default all."""
     text = expand_query_py(normalize_query_py(query))
     hybrid = query_vector is not None
-    found = search_functions(tables["functions"], text, 8 if hybrid else 10, rank)
+    searched = tables | (searched or {})
+    found = search_functions(searched["functions"], text, 8 if hybrid else 10, rank)
     order = ([F.col("score").desc()] if rank == "score" else []) + [F.col(c) for c in TABLE_ORDER]
     ranked = found.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
     if hybrid:
@@ -119,7 +122,7 @@ def find_context(tables: dict[str, DataFrame], query: str, max_tokens: int = 400
         ranked = tables["functions"].join(F.broadcast(merged), "id").withColumn("score", score)  # at most ten ids
     places = ranked.groupBy("file_id").agg(F.min("pos").alias("file_pos"))
     parts = [
-        function_section(ranked), file_section(search_files(tables["files"], text, 10)),
+        function_section(ranked), file_section(search_files(searched["files"], text, 10)),
         class_section(tables["classes"].join(F.broadcast(places), "file_id")), type_section(tables["types"].join(F.broadcast(places), "file_id")),
     ]
     return token_budget(reduce(DataFrame.unionByName, parts), max_tokens), ranked

@@ -4,6 +4,9 @@ A table is cut into buckets by a hash of the file that a row belongs to, so all
 change writes the buckets that it touches beside the old ones, and then a manifest that names a folder for each bucket. Manifests
 are never changed or written over: each has the next number, a reader takes the highest, and so sees the old state or the new one
 whole. Of two writers at the same time one fails. Buckets are sorted by file, which gives Parquet's statistics for point lookups.
+
+With functions and files a change writes posting lists of their grams (see gram_index), bucket by bucket, and with relationships the
+same rows in buckets by their targets, so both ends of an edge are found in one bucket each.
 """
 
 from __future__ import annotations
@@ -17,11 +20,15 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartulary.schema import KEYS, SCHEMA_VERSION, TABLES, checked, with_defaults
+from cartulary.functions.text import keywords_py
+from cartulary.operators import gram_index, search
+from cartulary.schema import DERIVED, KEYS, SCHEMA_VERSION, TABLES, checked, with_defaults
+from cartulary.scratch import scratch
+from cartulary.scratch import written as written_table
 
 CHILDREN = ("functions", "classes", "types")
 #: The column that tells the file (or another thing with a prefix of its own) that a row belongs to.
-OWNER = {"files": "id", "functions": "file_id", "classes": "file_id", "types": "file_id", "relationships": "source_id", "imports": "from_path", "embeddings": "entity_id", "feedback": "id"}
+OWNER = {"files": "id", "functions": "file_id", "classes": "file_id", "types": "file_id", "relationships": "source_id", "relationships_in": "target_id", "imports": "from_path", "embeddings": "entity_id", "feedback": "id"}
 #: Manifests, beside the newest, whose data stay.
 KEPT = 10
 
@@ -81,7 +88,8 @@ def without_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Da
 
 def relationships_of(relationships: DataFrame, entity: str) -> DataFrame:
     """Relationships that start or end at an entity; one that does both is listed once."""
-    return relationships.filter((F.col("source_id") == entity) | (F.col("target_id") == entity))
+    starts = relationships.filter(F.col("source_id") == entity)
+    return starts.union(relationships.filter((F.col("target_id") == entity) & ~F.col("source_id").eqNullSafe(F.lit(entity))))
 
 
 def bucket_of(owner: Column, buckets: int) -> Column:
@@ -174,8 +182,8 @@ class Store:
         places = manifest["tables"].get(name, {})
         wanted = sorted(places) if buckets is None else [str(b) for b in buckets if str(b) in places]
         if not wanted:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/data/{name}/{places[b]}/bucket={b}" for b in wanted))
+            return self.spark.createDataFrame([], (TABLES | DERIVED)[name])
+        return self.spark.read.schema((TABLES | DERIVED)[name]).parquet(*(f"{self.root}/data/{name}/{places[b]}/bucket={b}" for b in wanted))
 
     def tables(self, buckets: list[int] | None = None) -> dict[str, DataFrame]:
         """All tables of one version."""
@@ -185,21 +193,43 @@ class Store:
     def write(self, changed: dict[str, DataFrame], buckets: dict[str, list[int]] | None = None) -> None:
         """A new version, in which some tables (or the given buckets of them) have these rows and all else stays."""
         manifest = self.manifest()
-        tables, change = manifest["tables"], uuid.uuid4().hex
+        tables, change, before = manifest["tables"], uuid.uuid4().hex, json.loads(json.dumps(manifest))
+
+        def put(name: str, rows: DataFrame, *by: str) -> set[str]:
+            """Writes rows (with bucket) of a table; the buckets that have some."""
+            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *by).write.partitionBy("bucket", *by[:-1]).parquet(f"{self.root}/data/{name}/{change}")
+            return {x.getPath().getName().removeprefix("bucket=") for x in self._fs.listStatus(self._path("data", name, change)) if x.isDirectory()}
 
         def made(name: str) -> set[str]:
-            """Writes a table's rows; the buckets that have some."""
             rows = checked(name, with_defaults(name, changed[name])).withColumn("bucket", bucket_of(F.col(OWNER[name]), manifest["buckets"]))
-            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", OWNER[name]).write.partitionBy("bucket").parquet(f"{self.root}/data/{name}/{change}")
-            return {x.getPath().getName().removeprefix("bucket=") for x in self._fs.listStatus(self._path("data", name, change)) if x.isDirectory()}
+            return put(name, rows, OWNER[name])
+
+        def replaced(name: str, places: set[str], touched: set[str]) -> None:
+            tables[name] = {b: c for b, c in tables.get(name, {}).items() if b not in touched} | dict.fromkeys(places, change)
+
+        def derived(name: str) -> tuple[str, set[str], set[str]]:
+            """What is derived from a table that has been written: its name, the buckets that have rows, and those that are replaced."""
+            rows = self._table({"tables": {name: dict.fromkeys(written[name], change)}}, name)
+            if name in gram_index.SOURCES:
+                index, fields = gram_index.SOURCES[name]
+                rows = rows.withColumn("bucket", bucket_of(F.col(OWNER[name]), manifest["buckets"]))
+                return index, put(index, gram_index.postings(rows, fields), "part", "gram"), gone[name]
+            target = bucket_of(F.col("target_id"), manifest["buckets"])
+            old = self._table(before, name, sorted(map(int, gone[name])))
+            touched = sorted(r.b for r in rows.union(old).select(target.alias("b")).distinct().collect())  # as many as there are buckets
+            stay = self._table(before, "relationships_in", touched).filter(~bucket_of(F.col("source_id"), manifest["buckets"]).isin(sorted(map(int, gone[name]))))
+            return "relationships_in", put("relationships_in", stay.union(rows).withColumn("bucket", target), "target_id"), set(map(str, touched))
 
         with ThreadPoolExecutor(len(changed) or 1) as pool:  # the tables are written side by side
             written = dict(zip(changed, pool.map(made, changed), strict=True))
-        for name, places in written.items():
-            touched = {str(b) for b in buckets[name]} if buckets is not None and name in buckets else {*tables.get(name, {}), *places}
-            if not places <= touched:
-                raise ValueError(f"rows of {name} are outside the buckets that are replaced")
-            tables[name] = {b: c for b, c in tables.get(name, {}).items() if b not in touched} | dict.fromkeys(places, change)
+            gone = {}
+            for name, places in written.items():
+                gone[name] = {str(b) for b in buckets[name]} if buckets is not None and name in buckets else {*tables.get(name, {}), *places}
+                if not places <= gone[name]:
+                    raise ValueError(f"rows of {name} are outside the buckets that are replaced")
+                replaced(name, places, gone[name])
+            for name, places, touched in pool.map(derived, [t for t in changed if t in gram_index.SOURCES or t == "relationships"]):
+                replaced(name, places, touched)
         self._publish(manifest | {"version": manifest["version"] + 1})
         self.vacuum()
 
@@ -245,6 +275,63 @@ class Store:
         n = self.manifest()["buckets"]
         return self.table(table, [self.spark.range(1).select(bucket_of(F.lit(owner), n)).first()[0]])
 
+    def relationships_of(self, entity: str) -> DataFrame:
+        """Relationships that start or end at an entity, each once; reads a bucket of each projection."""
+        ends = self._of(entity, "relationships_in").filter((F.col("target_id") == entity) & ~F.col("source_id").eqNullSafe(F.lit(entity)))
+        return self._of(entity, "relationships").filter(F.col("source_id") == entity).union(ends)
+
+    def neighbours(self, start: str, depth: int = 1) -> DataFrame:
+        """(id, distance, edge_id) of what relationships reach from start within depth steps, either way; start excluded.
+
+        Each round reads the buckets of its frontier only. edge_id: the least edge that leads there from the round before."""
+        manifest = self.manifest()
+        with scratch():
+            seen = frontier = self.spark.createDataFrame([(start, 0, None)], "id string, distance int, edge_id string")
+            for d in range(1, depth + 1):
+                own = sorted(r.b for r in frontier.select(bucket_of(F.col("id"), manifest["buckets"]).alias("b")).distinct().collect())  # as many as there are buckets
+                out, into = (self._table(manifest, t, own) for t in ("relationships", "relationships_in"))
+                at = frontier.select(F.col("id").alias("at"))
+                steps = out.join(at, F.col("source_id") == F.col("at")).select(F.col("target_id").alias("to"), "id").union(into.join(at, F.col("target_id") == F.col("at")).select(F.col("source_id").alias("to"), "id"))
+                step = steps.groupBy(F.col("to").alias("id")).agg(F.min("id").alias("edge_id")).join(seen.select("id"), "id", "left_anti")
+                frontier = written_table(step.select("id", F.lit(d).alias("distance"), "edge_id"), "ring")
+                if frontier.isEmpty():
+                    break
+                seen = seen.union(frontier)
+            return written_table(seen.filter("distance > 0"), "neighbours", keep=True)
+
+    def searched(self, name: str, query: str) -> DataFrame:
+        """The rows of functions or files that a keyword search for query may find: by the gram index where it helps, else all."""
+        manifest = self.manifest()
+        index = gram_index.SOURCES[name][0]
+
+        def lists(grams: list[str]) -> DataFrame:
+            places = manifest["tables"].get(index, {})
+            frames = [
+                self.spark.read.schema(f"{DERIVED[index]}, bucket int, part int").option("basePath", f"{self.root}/data/{index}/{change}").parquet(*(f"{self.root}/data/{index}/{change}/bucket={b}" for b in sorted(places) if places[b] == change))
+                for change in sorted(set(places.values()))
+            ]
+            if not frames:
+                return self.spark.createDataFrame([], f"{DERIVED[index]}, bucket int, part int")
+            parts = [r.p for r in self.spark.createDataFrame([(g,) for g in grams], "g string").select(gram_index.part_of(F.col("g")).alias("p")).distinct().collect()]
+            return reduce(DataFrame.union, frames).filter(F.col("part").isin(parts) & F.col("gram").isin(grams))
+
+        whole = self._table(manifest, name)
+        found = gram_index.candidates(lists, whole.count(), keywords_py(query) or [query])  # counts come from the files' footers
+        if found is None:
+            return whole
+        with scratch():
+            found = written_table(found, "candidates", keep=True)
+        own = sorted(r.of_bucket for r in found.select("of_bucket").distinct().collect())  # as many as there are buckets
+        return self._table(manifest, name, own).join(found.select("id"), "id", "left_semi")
+
+    def search_functions(self, query: str, limit: int = 20, rank: str = "score") -> DataFrame:
+        """search.search_functions over the store, by the gram index."""
+        return search.search_functions(self.searched("functions", query), query, limit, rank)
+
+    def search_files(self, query: str, limit: int = 20) -> DataFrame:
+        """search.search_files over the store, by the gram index."""
+        return search.search_files(self.searched("files", query), query, limit)
+
     def feedback_for(self, context_id: str) -> DataFrame:
         return self.table("feedback").filter(F.col("context_id") == context_id).orderBy(F.col("created_at").desc(), "id")
 

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartulary.functions.constants import DOMAINS, LAYERS, PATTERNS
-from cartulary.functions.text import expand_query_py, intent, keywords_py, module_name, normalize_query_py, token_estimate
+from cartulary.functions.text import expand_query_py, intent, keywords_py, module_name, normalize_query_py, short_id, token_estimate
 from cartulary.operators import architecture, conventions, graph, importing, search, store
 from cartulary.operators.ordinals import numbered
 from cartulary.plans.views import Views, duckdb_ctes
+from cartulary.scratch import new_path
 from cartulary.sources.ignore import ignored
 
 QUERY = "Where is the steel bolt in search?"
@@ -486,6 +487,39 @@ def average_degree(v: Views) -> DataFrame:
 _BOTH = f"{duckdb_ctes('v_edges')}, both_ways AS (SELECT source AS a, target AS b, id FROM v_edges UNION ALL SELECT target, source, id FROM v_edges)"
 
 
+def _stored(v: Views, **tables: DataFrame) -> store.Store:
+    """A store of its own in the shared folder."""
+    s = store.Store(v.spark, new_path(v.spark, "store"), buckets=8)
+    s.write(tables)
+    return s
+
+
+@query(SQL["keyword_search"])
+def store_search(v: Views) -> DataFrame:
+    """Keyword search over a store on disk, by its index of grams."""
+    found = _stored(v, functions=v["v_functions"]).search_functions(TEXT, 10)
+    return found.select("id", "name", "file_id", F.round("score", 9).alias("score"))
+
+
+_AROUND = f"{duckdb_ctes('v_files')}, {_IMPORTS}, both_ways AS (SELECT source_id AS a, target_id AS b, id FROM rel UNION ALL SELECT target_id, source_id, id FROM rel), start AS (SELECT id AS s FROM v_files WHERE doc_id = 11)"
+
+
+@query(f"{_AROUND}, one AS (SELECT b AS id, min(id) AS edge_id FROM both_ways, start WHERE a = s GROUP BY b), two AS (SELECT b AS id, min(x.id) AS edge_id FROM both_ways x JOIN one ON one.id = x.a, start WHERE b <> s AND b NOT IN (SELECT id FROM one) GROUP BY b) SELECT id, 1 AS distance, edge_id FROM one UNION ALL SELECT id, 2, edge_id FROM two")
+def store_neighbours(v: Views) -> DataFrame:
+    """Files within two imports of one, from a store's edges by both ends."""
+    start = v["v_files"].filter("doc_id = 11").first().id
+    return _stored(v, relationships=_relationships(v)).neighbours(start, 2)
+
+
+@query(f"{duckdb_ctes('v_functions')}, f AS (SELECT id, file_id, CASE WHEN complexity < 10 THEN name || '2' ELSE name END AS name FROM v_functions) SELECT substr(md5(id), 1, 12) AS short_id, id, name FROM f WHERE file_id NOT IN (SELECT id FROM v_files WHERE doc_id % 10 = 3)")
+def store_changes(v: Views) -> DataFrame:
+    """A store on disk after an upsert of some functions and the deletion of some files: what is left, with short ids."""
+    s = _stored(v, files=v["v_files"], functions=v["v_functions"])
+    s.upsert("functions", v["v_functions"].filter("complexity < 10").withColumn("name", F.concat("name", F.lit("2"))))
+    s.delete_files(v["v_files"].filter("doc_id % 10 = 3").select("id"))
+    return s.table("functions").select(short_id(F.col("id")).alias("short_id"), "id", "name")
+
+
 @query(f"{_BOTH}, one AS (SELECT b AS id, min(id) AS edge_id FROM both_ways WHERE a = 'n3' GROUP BY b), two AS (SELECT b AS id, min(x.id) AS edge_id FROM both_ways x JOIN one ON one.id = x.a WHERE b <> 'n3' AND b NOT IN (SELECT id FROM one) GROUP BY b) SELECT id, 1 AS distance, edge_id FROM one UNION ALL SELECT id, 2, edge_id FROM two")
 def neighbors_d2(v: Views) -> DataFrame:
     """Nodes within two edges of a nation."""

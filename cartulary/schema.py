@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 
 FILES = "id string, path string, language string, content_hash string, token_count int, is_test boolean, last_indexed_at timestamp"
 FUNCTIONS = "id string, name string, full_name string, file_id string, signature string, doc_comment string, complexity int, start_line int, end_line int, is_exported boolean, is_async boolean"
@@ -19,6 +19,9 @@ EMBEDDINGS = "entity_id string, entity_type string, embedding array<float>"
 
 #: Table name -> schema.
 TABLES = {"files": FILES, "functions": FUNCTIONS, "classes": CLASSES, "types": TYPES, "relationships": RELATIONSHIPS, "imports": IMPORTS, "feedback": FEEDBACK, "embeddings": EMBEDDINGS}
+_GRAMS = "gram string, n int, ids array<string>, of_bucket int"
+#: What the store derives from tables and writes with them: posting lists of grams, and relationships by their targets.
+DERIVED = {"function_grams": _GRAMS, "file_grams": _GRAMS, "relationships_in": RELATIONSHIPS}
 #: Table name -> key columns. A file's key is its path.
 KEYS = {"files": ["path"], "functions": ["id"], "classes": ["id"], "types": ["id"], "relationships": ["id"], "imports": ["from_path", "spec"], "feedback": ["id"], "embeddings": ["entity_id"]}
 

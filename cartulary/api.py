@@ -84,7 +84,8 @@ class Engine:
         vector = self.model([query])[0] if semantic and self.store.has_embeddings() else None
         text = expand_query_py(normalize_query_py(query))
         searched = {t: self.store.searched(t, text) for t in ("functions", "files")}
-        rows, ranked = search.find_context(tables, query, max_tokens, vector, rank, searched)
+        nearest = None if vector is None else self.store.vector_top_k(vector, 8)
+        rows, ranked = search.find_context(tables, query, max_tokens, vector, rank, searched, nearest)
         found = rows.orderBy("pos").collect()  # four sections at most
         functions = ranked.orderBy("pos").select("full_name").collect()
         files = search.search_files(searched["files"], text, 10).select("path").collect()

@@ -103,10 +103,11 @@ def type_section(types: DataFrame) -> DataFrame:
     return _bullets(types, ["file_pos", "id"], line, "## Related Types\n\n", 5, "file_id", F.max(F.lit(0.4)), "Related Types", 4)
 
 
-def find_context(tables: dict[str, DataFrame], query: str, max_tokens: int = 4000, query_vector: list[float] | None = None, rank: str = "score", searched: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def find_context(tables: dict[str, DataFrame], query: str, max_tokens: int = 4000, query_vector: list[float] | None = None, rank: str = "score", searched: dict[str, DataFrame] | None = None, nearest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(sections with running total and kept, ranked functions) for a query; a query vector adds vector search.
 
-    searched: functions and files that an index left to be searched for the query's words, by default all."""
+    searched: functions and files that an index left to be searched for the query's words, by default all. nearest: the eight
+    functions (entity_id, score) nearest to the vector, if an index found them."""
     text = expand_query_py(normalize_query_py(query))
     hybrid = query_vector is not None
     searched = tables | (searched or {})
@@ -114,7 +115,8 @@ def find_context(tables: dict[str, DataFrame], query: str, max_tokens: int = 400
     order = ([F.col("score").desc()] if rank == "score" else []) + [F.col(c) for c in TABLE_ORDER]
     ranked = found.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
     if hybrid:
-        near = vector_top_k(tables["embeddings"], query_vector, 8).join(tables["functions"].select(F.col("id").alias("entity_id")), "entity_id")
+        near = vector_top_k(tables["embeddings"], query_vector, 8) if nearest is None else nearest
+        near = near.join(tables["functions"].select(F.col("id").alias("entity_id")), "entity_id")
         near = near.select(F.col("entity_id").alias("id"), F.row_number().over(Window.orderBy(F.col("score").desc(), "entity_id")).alias("pos"))
         merged = hybrid_merge(ranked.select("id", "pos"), near)
         merged = merged.select("id", F.row_number().over(Window.orderBy("bucket", F.coalesce("keyword_pos", "vector_pos"), "id")).alias("pos"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartulary.functions.text import keywords_py
-from cartulary.operators import gram_index, search
+from cartulary.operators import gram_index, search, vector_index
 from cartulary.schema import DERIVED, KEYS, SCHEMA_VERSION, TABLES, checked, with_defaults
 from cartulary.scratch import scratch
 from cartulary.scratch import written as written_table
@@ -324,6 +324,24 @@ class Store:
         own = sorted(r.of_bucket for r in found.select("of_bucket").distinct().collect())  # as many as there are buckets
         return self._table(manifest, name, own).join(found.select("id"), "id", "left_semi")
 
+    def build_vector_index(self, lists: int | None = None) -> None:
+        """Writes inverted lists of the vectors as a new version; they serve until the vectors change."""
+        manifest, change = self.manifest(), uuid.uuid4().hex
+        places = manifest["tables"].get("embeddings", {})
+        if places:
+            vector_index.build(self._table(manifest, "embeddings"), f"{self.root}/data/vector_lists/{change}", lists)
+            tables = manifest["tables"] | {"vector_lists": {"all": change}}
+            self._publish(manifest | {"version": manifest["version"] + 1, "tables": tables, "vectors_of": places})
+            self.vacuum()
+
+    def vector_top_k(self, query: list[float], k: int, entity_type: str | None = "function", probed: float | str | None = vector_index.MEASURED) -> DataFrame:
+        """entity_id and score of the best vectors: by the inverted lists if they are of the vectors as they are now, else by a scan. probed: see vector_index.search."""
+        manifest = self.manifest()
+        lists, places = manifest["tables"].get("vector_lists"), manifest["tables"].get("embeddings", {})
+        if not lists or not places or manifest.get("vectors_of") != places:
+            return search.vector_top_k(self._table(manifest, "embeddings"), query, k, entity_type)
+        return vector_index.search(self.spark, f"{self.root}/data/vector_lists/{lists['all']}", query, k, entity_type, probed)
+
     def search_functions(self, query: str, limit: int = 20, rank: str = "score") -> DataFrame:
         """search.search_functions over the store, by the gram index."""
         return search.search_functions(self.searched("functions", query), query, limit, rank)

@@ -501,6 +501,15 @@ def store_search(v: Views) -> DataFrame:
     return found.select("id", "name", "file_id", F.round("score", 9).alias("score"))
 
 
+@query(SQL["cosine_topk"])
+def store_nearest(v: Views) -> DataFrame:
+    """The vectors nearest to the first one, by a store's inverted lists in exact mode."""
+    s = _stored(v, embeddings=v["v_vectors"])
+    s.build_vector_index()
+    found = s.vector_top_k(list(v["v_vectors"].filter("vec_id = 0").first().embedding), 20, probed=None)
+    return found.select("entity_id", F.round("score", 6).alias("score"))
+
+
 _AROUND = f"{duckdb_ctes('v_files')}, {_IMPORTS}, both_ways AS (SELECT source_id AS a, target_id AS b, id FROM rel UNION ALL SELECT target_id, source_id, id FROM rel), start AS (SELECT id AS s FROM v_files WHERE doc_id = 11)"
 
 

@@ -9,7 +9,8 @@ A turn is `<|im_start|>role\n` text `<|im_end|>\n`. Inside texts a backslash is
 control string of the template can come from a text, and both steps can be undone. In roles a line break becomes `<\n>` too.
 
 Rows of a conversation are ordered by turn, then role, then text (null first); rows that repeat are turns of their own. Null roles
-and texts are empty; a null conv_id is a conversation of its own. A conversation's text is one value, as its digest needs.
+and texts are empty; a null conv_id is a conversation of its own. A conversation's text is one value, as its digest needs. Other
+columns are not read, whatever their names; an empty table gives the contract's own conversation alone.
 """
 
 from __future__ import annotations

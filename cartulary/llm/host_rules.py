@@ -2,7 +2,8 @@
 
 Per document the base rules are counted inside the row; failures are summed by host (here: source), each host's failure rate is
 shrunk towards an empirical beta prior fitted by moments over all hosts, and hosts whose shrunk rate exceeds a limit are rejected
-with all their documents. Null texts have no words and fail; a null host is a host of its own.
+with all their documents. Null texts have no words and fail; a null host is a host of its own. Rows that repeat are judged and
+counted each; an empty table has no hosts and no rows; other columns pass through, the counts are packed in one struct, `rules`.
 """
 
 from __future__ import annotations

@@ -147,11 +147,11 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT rid, doc_id, unnest(range(1, len(lines) + 1)) AS i, lines FROM d),
-t AS (SELECT rid, doc_id, i, lines[i] AS line, translate(regexp_replace(regexp_replace(lines[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
-k AS (SELECT k, max(doc_id) AS top FROM t WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-j AS (SELECT rid, t.doc_id, i, line, top IS NOT NULL AND t.doc_id <> top AS gone FROM t LEFT JOIN k USING (k))
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS doc, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, doc, unnest(range(1, len(lines) + 1)) AS i, lines FROM d),
+t AS (SELECT rid, doc_id, doc, i, lines[i] AS line, translate(regexp_replace(regexp_replace(lines[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+k AS (SELECT k, max(doc) AS top FROM t WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc) >= 3),
+j AS (SELECT rid, t.doc_id, i, line, top IS NOT NULL AND t.doc <> top AS gone FROM t LEFT JOIN k USING (k))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY rid, doc_id
 """

@@ -110,27 +110,45 @@ def shortest_path(edge_rows: DataFrame, source: str, target: str, max_depth: int
 
 
 def _search(edge_rows: DataFrame, source: str, target: str, max_depth: int | None) -> list[str] | None:
-    """Breadth first from source, a written table for each level; then back from target through the levels."""
-    both = undirected(edge_rows)
-    frontier = edge_rows.sparkSession.createDataFrame([(source, None, None)], "id string, before string, edge_id string")
-    seen, levels = frontier, []
-    while max_depth is None or len(levels) < max_depth:
-        step = frontier.select(F.col("id").alias("a")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("id", "a")).alias("via"))
+    """From both ends, a written table for each level; the end with fewer nodes at its edge goes on, so a hub between them isn't opened.
+
+    Where the two meet, the way to the target is gone forward through its levels, which are nearer to it by one each; then back from
+    the target. Of several ways to a node that with the least edge (then the least node before) counts, as if all were searched
+    from source: a node before another one on a shortest path is in the level next to it on either side.
+    """
+    both, spark = undirected(edge_rows), edge_rows.sparkSession
+
+    def step(frontier: DataFrame) -> DataFrame:
+        near = frontier.select(F.col("id").alias("a")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("id", "a")).alias("via"))
+        return near.select(F.col("node").alias("id"), F.col("via.a").alias("before"), F.col("via.id").alias("edge_id"))
+
+    sides = [[spark.createDataFrame([(end, None, None)], "id string, before string, edge_id string")] for end in (source, target)]
+    size = [1, 1]
+    while max_depth is None or len(sides[0]) + len(sides[1]) - 2 < max_depth:
+        i = min((0, 1), key=lambda x: (size[x], len(sides[x])))  # of equals the one that has gone less far
+        own, other = sides[i], sides[1 - i]
         # Edges go both ways, so a neighbour that has been seen is on this level or the one before.
-        level = step.select(F.col("node").alias("id"), F.col("via.a").alias("before"), F.col("via.id").alias("edge_id"))
-        last, frontier = frontier, written(level.join(seen, "id", "left_anti"), "level")
-        levels.append(frontier)
-        if not frontier.filter(F.col("id") == target).isEmpty():
-            path, at = [], target
-            for level in reversed(levels):  # one row a level
-                row = level.filter(F.col("id") == at).first()
-                path.append(row.edge_id)
-                at = row.before
-            return path[::-1]
-        if frontier.isEmpty():
+        seen = own[-1] if len(own) == 1 else own[-1].union(own[-2])
+        own.append(written(step(own[-1]).join(seen.select("id"), "id", "left_anti"), "level"))
+        size[i] = own[-1].count()
+        if not size[i]:
             return None
-        seen = last.union(frontier)
-    return None
+        met = own[-1].select("id").join(other[-1].select("id"), "id", "left_semi")
+        if not met.isEmpty():
+            break
+    else:
+        return None
+    forward, backward = sides
+    here = met
+    for level in reversed(backward[:-1]):
+        here = written(step(here).join(level.select("id"), "id", "left_semi"), "level")
+        forward.append(here)
+    path, at = [], target
+    for level in reversed(forward[1:]):  # one row a level
+        row = level.filter(F.col("id") == at).first()
+        path.append(row.edge_id)
+        at = row.before
+    return path[::-1]
 
 
 def components(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:

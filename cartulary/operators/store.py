@@ -92,6 +92,12 @@ def relationships_of(relationships: DataFrame, entity: str) -> DataFrame:
     return starts.union(relationships.filter((F.col("target_id") == entity) & ~F.col("source_id").eqNullSafe(F.lit(entity))))
 
 
+def feedback_summary(feedback: DataFrame) -> DataFrame:
+    """(context_id, n, rating, rejected, last): of each context how often it was rated, the mean rating, how often something was rejected, and when last."""
+    rejected = F.count_if(F.size(F.coalesce("rejected_items", F.array().cast("array<string>"))) > 0)
+    return feedback.groupBy("context_id").agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("rating"), rejected.alias("rejected"), F.max("created_at").alias("last"))
+
+
 def bucket_of(owner: Column, buckets: int) -> Column:
     """The bucket of a file's path, or of an id that starts with it and a colon."""
     return F.pmod(F.xxhash64(F.substring_index(owner, ":", 1)), F.lit(buckets)).cast("int")
@@ -162,6 +168,18 @@ class Store:
                     if (t, change) not in used:
                         self._fs.delete(self._path("data", t, change), True)
             self._fs.delete(self._path("versions", str(version)), False)
+        self._sweep(live)
+
+    def _sweep(self, live: list[int]) -> None:
+        """Deletes data that no manifest names, of writers that failed or came second. Data newer than the oldest manifest may be a writer's that is at work, and stay."""
+        if not live or not self._fs.exists(self._path("data")):
+            return
+        since = self._fs.getFileStatus(self._path("versions", str(live[0]))).getModificationTime()
+        named = {(t, change) for v in live for t, places in self.manifest(v)["tables"].items() for change in places.values()}
+        for table in self._fs.listStatus(self._path("data")):
+            for x in self._fs.listStatus(table.getPath()):
+                if (table.getPath().getName(), x.getPath().getName()) not in named and x.getModificationTime() < since:
+                    self._fs.delete(x.getPath(), True)
 
     # --- tables
 

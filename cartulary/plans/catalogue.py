@@ -225,7 +225,10 @@ def cascade_delete(v: Views) -> DataFrame:
 
 @query(f"{duckdb_ctes('v_feedback')} SELECT context_id, count(*) AS n, avg(rating) AS rating, count(*) FILTER (rejected) AS rejected, max(doc_id) AS last FROM v_feedback GROUP BY context_id")
 def feedback_by_context(v: Views) -> DataFrame:
-    return v["v_feedback"].groupBy("context_id").agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("rating"), F.count_if("rejected").alias("rejected"), F.max("doc_id").alias("last"))
+    """Feedback on each context: how often, how good, how often something was rejected, and the last."""
+    rejected = F.when(F.col("rejected"), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    rows = v["v_feedback"].select("id", "context_id", "rating", rejected.alias("rejected_items"), F.timestamp_seconds("doc_id").alias("created_at"))
+    return store.feedback_summary(rows).withColumn("last", F.unix_seconds("last"))
 
 
 @query(f"{duckdb_ctes('v_changes')} SELECT path, op, ts, seq FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS r FROM v_changes WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20') WHERE r = 1")

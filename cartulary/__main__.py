@@ -95,6 +95,9 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
             return "\n".join(f"{r.name} ({r.root_path}): {len(r.files)} files, cohesion {r.cohesion:.0%}, coupling {r.coupling:.0%}" for r in parts["modules"].collect())
         return "\n".join(f"[{badge(r.confidence, 0.8, 0.5)}] {r.name}: {r.description}" for r in parts["concepts"].collect())
     if name == "graph":
+        if args.output and (args.json or args.dot):
+            engine.write_graph(os.path.abspath(args.output) if "://" not in args.output else args.output, "json" if args.json else "dot")
+            return f"Written to {args.output}"
         if args.json or args.dot:
             out = engine.graph_json() if args.json else engine.graph_dot()
         else:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cartulary.functions.text import expand_query_py, intent_py, normalize_query_py
-from cartulary.operators import architecture, conventions, graph, index, parsing, search
+from cartulary.operators import architecture, conventions, graph, graph_export, index, parsing, search
 from cartulary.operators.embedding import Model, hashing_model
 from cartulary.operators.store import Store
 from cartulary.sources import git
@@ -169,6 +169,10 @@ class Engine:
     def graph_json(self) -> str:
         return graph.to_json(*self.graph())
 
+    def write_graph(self, path: str, kind: str = "json") -> None:
+        """The graph as one JSON or DOT file, on any file system and of any size."""
+        (graph_export.write_json if kind == "json" else graph_export.write_dot)(*self.graph(), path)
+
     # --- changes
 
     def recent_changes(self, days: int = 7, count: int = 10, since: str | None = None) -> dict:

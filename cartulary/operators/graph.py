@@ -258,10 +258,18 @@ def to_dot(node_rows: DataFrame, edge_rows: DataFrame) -> str:
     return f"{DOT_HEAD}{body(1)}\n{body(2)}}}\n"
 
 
+def _entries(rows: DataFrame) -> DataFrame:
+    """rows with maps as lists of entries: collected maps lose their order."""
+    return rows.select(*(F.map_entries(c).alias(c) if t.startswith("map") else c for c, t in rows.dtypes))
+
+
+def _in_order(row: dict) -> dict:
+    return {k: {e.key: e.value for e in v} if isinstance(v, list) else v for k, v in row.items()}
+
+
 def to_json(node_rows: DataFrame, edge_rows: DataFrame) -> str:
     """Nodes, edges, clusters and a summary as JSON, for graphs that fit the driver."""
     found = clusters(node_rows, edge_rows).collect()
-    n = [r.asDict() for r in node_rows.orderBy("id").collect()]
-    e = [r.asDict() for r in edge_rows.orderBy("id").collect()]
+    n, e = ([_in_order(r.asDict()) for r in _entries(rows.orderBy("id")).collect()] for rows in (node_rows, edge_rows))
     groups = [{"id": f"cluster-{i}", "name": c.name, "size": c.size, "edges": c.edges, "density": c.density} for i, c in enumerate(found)]
     return json.dumps({"nodes": n, "edges": e, "clusters": groups, "summary": {"totalNodes": len(n), "totalEdges": len(e), "totalClusters": len(groups)}}, indent=2, ensure_ascii=False)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Table -> its index and the fields that are indexed.
 SOURCES = {"functions": ("function_grams", ("name", "full_name", "doc_comment")), "files": ("file_grams", ("path",))}
 #: Parts of a bucket's index.
-PARTS = 8
+PARTS = 4
 #: Lists that are intersected for a word, at most.
 RAREST = 3
 #: Share of all rows that the rarest gram may have; beyond that a scan is cheaper.

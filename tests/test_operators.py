@@ -288,17 +288,17 @@ def test_mentions_of_names_of_any_length(spark):
     import itertools
     import re
 
-    from cartulary.operators import architecture
+    from cartulary.operators.mentions import mentions
 
     words = ["a", "ab", "abc", "a_b", "_", "__", "%", "a%c", "a\\b", "zz", "user_id", "é", "xy_"]
     fields = ["", "a", "ab", "abc", "a\\b", "axb user-id", "é", "nothing of it", "wxyz"]
     texts = [t for t in itertools.product(fields, fields[:3], fields[3:5])]
-    names = spark.createDataFrame([(w, w) for w in words], "full_name string, word string")
-    rows = spark.createDataFrame([((a, b, c),) for a, b, c in texts], "text struct<name:string,full_name:string,doc_comment:string>")
-    found = architecture._mentions(names, rows)
+    names = spark.createDataFrame([(w,) for w in words], "word string")
+    rows = spark.createDataFrame([(str(i), str(i), *t) for i, t in enumerate(texts)], "id string, file_id string, name string, full_name string, doc_comment string")
+    found = mentions(names, rows)
     pattern = {w: re.compile(".*" + "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in w) + ".*", re.DOTALL) for w in words}
     want = sorted((w, t) for w in words for t in texts if any(pattern[w].fullmatch(f) for f in t))
-    assert sorted((r.full_name, tuple(r.text)) for r in found.collect()) == want
+    assert sorted((r.word, texts[int(r.file_id)]) for r in found.collect()) == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 

@@ -317,8 +317,7 @@ def test_cohesion_counts_files_with_equal_exports(spark):
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 40])
 def test_middle_path(spark, n):
-    from cartulary.operators import conventions
+    from cartulary.operators.ordinals import middle
 
     paths = sorted(f"src/{i:03}" for i in range(n))
-    found = conventions._middle(spark.createDataFrame([(p,) for p in paths[::-1]], "path string"))
-    assert [r.x_middle for r in found.collect()] == [paths[n // 2] if n else None]
+    assert middle(spark.createDataFrame([(p,) for p in paths[::-1]], "path string"), "path") == (paths[n // 2] if n else None)

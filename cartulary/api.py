@@ -140,11 +140,10 @@ class Engine:
     def architecture_report(self) -> str:
         return architecture.report(self.modules().orderBy("root_path").collect(), self.concepts().orderBy("pos").collect())
 
-    def graph(self, parity: bool = False) -> tuple[DataFrame, DataFrame]:
+    def graph(self, parity: bool = False, properties: bool = True) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges)."""
         tables = self.store.tables()
-        nodes = graph.nodes(tables)
-        return nodes, graph.edges(tables, nodes, parity)
+        return graph.nodes(tables, properties=properties), graph.edges(tables, graph.node_ids(tables), parity)
 
     def clusters(self, min_size: int = 3) -> DataFrame:
         return graph.clusters(*self.graph(), min_size)
@@ -156,7 +155,7 @@ class Engine:
         return graph.shortest_path(self.graph()[1], source, target)
 
     def graph_stats(self) -> dict:
-        rows = graph.stats(*self.graph())
+        rows = graph.stats(*self.graph(properties=False))
         found = rows.collect()  # a row for each type
         by = lambda kind: {r.type: r.n for r in found if r.kind == kind and r.type is not None}
         total = {r.kind: r.n for r in found if r.type is None}

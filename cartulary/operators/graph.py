@@ -17,8 +17,13 @@ from cartulary.scratch import scratch, written
 KINDS = ("file", "function", "class", "type")
 
 
-def nodes(tables: dict[str, DataFrame], type_wins: bool = True) -> DataFrame:
-    """(id, type, label, properties). A type with a class's id takes its place (type_wins) or stands beside it."""
+def node_ids(tables: dict[str, DataFrame]) -> DataFrame:
+    """(id) of all nodes, as often as they are listed."""
+    return reduce(DataFrame.union, (tables[t].select("id") for t in ("files", "functions", "classes", "types")))
+
+
+def nodes(tables: dict[str, DataFrame], type_wins: bool = True, properties: bool = True) -> DataFrame:
+    """(id, type, label, properties). A type with a class's id takes its place (type_wins) or stands beside it. properties: whether those are needed."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     props = lambda **kw: F.create_map(*(x for k, v in kw.items() for x in (F.lit(k), v)))
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("string")
@@ -29,10 +34,11 @@ def nodes(tables: dict[str, DataFrame], type_wins: bool = True) -> DataFrame:
         tables["types"].select("id", F.lit("type"), "name", props(kind=text("kind"), memberCount=count("properties"))),
     ]
     rows = reduce(DataFrame.union, parts)
+    rows = rows if properties else rows.drop("properties")
     if not type_wins:
         return rows
     rank = F.element_at(F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i)))), F.col("type"))
-    last = rows.groupBy("id").agg(F.max_by(F.struct("type", "label", "properties"), F.struct(rank, "label")).alias("n"))
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns[1:]), F.struct(rank, "label")).alias("n"))
     return last.select("id", "n.*")
 
 

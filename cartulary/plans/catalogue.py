@@ -452,9 +452,9 @@ def domains_of_all_kinds(v: Views) -> DataFrame:
 # --- graph ------------------------------------------------------------------------------------------------------------
 
 
-def _graph(v: Views) -> tuple[DataFrame, DataFrame]:
-    n = graph.nodes(_tables(v))
-    return n, graph.edges(_tables(v), n)
+def _graph(v: Views, properties: bool = True) -> tuple[DataFrame, DataFrame]:
+    tables = _tables(v)
+    return graph.nodes(tables, properties=properties), graph.edges(tables, graph.node_ids(tables))
 
 
 _GRAPH = f"""{duckdb_ctes('v_functions', 'v_classes', 'v_types')},
@@ -479,12 +479,12 @@ def graph_edges(v: Views) -> DataFrame:
 
 @query(f"{_GRAPH} SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'node', NULL, count(*) FROM nodes UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type UNION ALL SELECT 'edge', NULL, count(*) FROM edges")
 def graph_stats(v: Views) -> DataFrame:
-    return graph.stats(*_graph(v))
+    return graph.stats(*_graph(v, properties=False))
 
 
 @query(f"{_GRAPH} SELECT floor((SELECT count(*) FROM edges) * 2 / (SELECT count(*) FROM nodes) * 100 + 0.5::DOUBLE) / 100.0::DOUBLE AS average_degree")
 def average_degree(v: Views) -> DataFrame:
-    return graph.average_degree(graph.stats(*_graph(v)))
+    return graph.average_degree(graph.stats(*_graph(v, properties=False)))
 
 
 _BOTH = f"{duckdb_ctes('v_edges')}, both_ways AS (SELECT source AS a, target AS b, id FROM v_edges UNION ALL SELECT target, source, id FROM v_edges)"
@@ -568,7 +568,7 @@ def dot_export(v: Views) -> DataFrame:
 @query(f"{_GRAPH} SELECT e.id, e.type FROM edges e WHERE e.source IN (SELECT id FROM nodes WHERE type IN ('file', 'class')) AND e.target IN (SELECT id FROM nodes WHERE type IN ('file', 'class'))")
 def type_subgraph(v: Views) -> DataFrame:
     """Edges between files and classes."""
-    return graph.of_types(*_graph(v), ["file", "class"])[1].select("id", "type")
+    return graph.of_types(*_graph(v, properties=False), ["file", "class"])[1].select("id", "type")
 
 
 @query(f"""{_GRAPH}, k AS (SELECT type, row_number() OVER (ORDER BY CASE type WHEN 'file' THEN 0 WHEN 'function' THEN 1 WHEN 'class' THEN 2 ELSE 3 END) - 1 AS k FROM nodes GROUP BY type),
@@ -576,7 +576,7 @@ p AS (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY id) - 1 AS
 SELECT id, type, round((0.3::DOUBLE + 0.25::DOUBLE * k) * cos(2 * pi() * i / n), 6) + 0 AS x, round((0.3::DOUBLE + 0.25::DOUBLE * k) * sin(2 * pi() * i / n), 6) + 0 AS y FROM p JOIN k USING (type)""")
 def radial_layout(v: Views) -> DataFrame:
     """Places of the graph's nodes on rings."""
-    out = graph.radial_layout(_graph(v)[0])
+    out = graph.radial_layout(_graph(v, properties=False)[0])
     return out.select("id", "type", (F.round("x", 6) + 0).alias("x"), (F.round("y", 6) + 0).alias("y"))
 
 

@@ -14,7 +14,7 @@ words repeat have none; all others are searched, side by side in one set of arra
 5. a run strictly inside a block stands in the block's earlier occurrence too. Runs are bucketed by start and copied from there,
    block by block.
 
-A text is searched in one task, in arrays of some 250 bytes a word (ranks at every level); nothing is shuffled. Words are compared
+A text is searched in one task, in arrays of some 640 bytes a word (ranks at every level); nothing is shuffled. Words are compared
 by 64-bit hashes. Null and empty texts have no words and no runs. Rows that repeat give a row each.
 """
 

@@ -316,6 +316,19 @@ def test_line_dedup(docs, wide, corpus, empty):
     assert applied(empty) == []
 
 
+def test_lines_of_documents_without_an_id_as_sql_has_them(spark, tmp_path):
+    """A null doc_id is a document, and the smallest."""
+    duckdb = pytest.importorskip("duckdb")
+    line = "a line of more than twenty characters"
+    rows = [(None, f"{line}\nown"), (1, f"x\n{line}"), (2, line.upper()), (None, f"{line}\nother"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = line_dedup.op10_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, found), key=repr) == sorted(duck.execute(line_dedup.OP10_SQL).fetchall(), key=repr)
+    assert sum(r.n_dropped for r in found) == 3
+
+
 def test_a_line_of_all_documents(spark):
     """One key over all partitions: only their edges decide."""
     corpus = [(d, f"the same long line in all of them\nown {d}\n" + "another line that two have in common\n" * (d < 2), "en", "s") for d in range(500)]

@@ -41,6 +41,18 @@ def test_words(texts):
     assert len(set(grams)) == len({*zip(flat, flat[1:], strict=False)})
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+def test_hashes_of_long_words():
+    """Words that any polynomial modulo 2**64 confuses, and words that differ by a byte, its place or their length."""
+    some = [thue_morse(n, *x) for n in (1024, 2048, 4096) for x in ("ab", "ba", "AB", "BA")]
+    some += ["x" * n for n in range(1, 40)] + ["x" * i + "y" + "x" * (30 - i) for i in range(31)] + ["z\0", "z", "\0z", "\0" * 8, "\0" * 9]
+    w = Words(pa.array([" ".join(some), *some]))
+    assert w.hash[: len(some)].tolist() == w.hash[len(some) :].tolist() and len(set(w.hash.tolist())) == len(some)
+
+
 # --- op2
 
 
@@ -78,6 +90,15 @@ def test_a_frequent_anchor_with_many_stretches(spark, monkeypatch):
     assert sorted_rows(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_text") == brute_spans(corpus, 35)
 
 
+def test_substring_dedup_of_words_alike(spark):
+    """Two texts that differ only by a word that a polynomial modulo 2**64 doesn't tell from the other's share no window that has it."""
+    rng = np.random.default_rng(8)
+    rest = [f"x{rng.integers(10**6)}" for _ in range(60)]
+    corpus = [(d, " ".join([*rest[:20], thue_morse(2048, *x), *rest[20:]])) for d, x in enumerate(("ab", "ba"))]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    assert sorted_rows(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_text") == brute_spans(corpus, 35)
+
+
 def test_substring_dedup_odd(empty, wide, corpus):
     assert substring_dedup.substring_dedup(empty).count() == 0
     assert sorted_rows(substring_dedup.substring_dedup(wide), "doc_id", "n_words", "n_removed", "kept_text") == brute_spans(corpus, 35)

@@ -38,7 +38,8 @@ def nodes(tables: dict[str, DataFrame], type_wins: bool = True, properties: bool
     if not type_wins:
         return rows
     rank = F.element_at(F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i)))), F.col("type"))
-    last = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns[1:]), F.struct(rank, "label")).alias("n"))
+    # Ids hardly repeat, so a sort of all that a task reads, before the shuffle, would only take memory.
+    last = rows.repartition("id").groupBy("id").agg(F.max_by(F.struct(*rows.columns[1:]), F.struct(rank, "label")).alias("n"))
     return last.select("id", "n.*")
 
 

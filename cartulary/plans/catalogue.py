@@ -469,7 +469,7 @@ edges AS (
 
 @query(f"{_GRAPH} SELECT id, type, label FROM nodes")
 def graph_nodes(v: Views) -> DataFrame:
-    return _graph(v)[0].select("id", "type", "label")
+    return _graph(v, properties=False)[0].select("id", "type", "label")
 
 
 @query(f"{_GRAPH} SELECT id, source, target, type, label FROM edges")

@@ -77,6 +77,9 @@ CHANGES = "SELECT event_id AS seq, ts, 'user' || CAST(user_id AS <<string>>) AS
 
 VIEWS = {"v_files": FILES, "v_settings": SETTINGS, "v_functions": FUNCTIONS, "v_parts": PARTS, "v_classes": CLASSES, "v_types": TYPES, "v_edges": EDGES, "v_nodes": NODES, "v_vectors": VECTORS, "v_feedback": FEEDBACK, "v_changes": CHANGES}
 
+#: How a view is joined. A hash of the parts' ids saves sorting all that meets them.
+HINTS = {"v_parts": "shuffle_hash"}
+
 
 def _filled(sql: str, dialect: str) -> str:
     import re
@@ -101,7 +104,8 @@ class Views:
         if name not in self.made:
             if name in VIEWS:
                 sql = _filled(VIEWS[name], "spark")
-                self.made[name] = self.spark.sql(sql, **{x: self[x] for x in _inputs(sql)})
+                made = self.spark.sql(sql, **{x: self[x] for x in _inputs(sql)})
+                self.made[name] = made.hint(HINTS[name]) if name in HINTS else made
             else:
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]

@@ -41,3 +41,11 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_graph_nodes_take_no_sets_of_methods(spark):
+    """Nodes need no lists of methods; rows that meet the parts' ids aren't sorted, and rows of nodes only after the shuffle."""
+    df = QUERIES["graph_nodes"](spark, SMALL)
+    assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "REPARTITION_BY_COL" in plan

@@ -48,7 +48,7 @@ def edges(tables: dict[str, DataFrame], node_ids: DataFrame, parity: bool = Fals
 
     Relationships are taken once each. parity=True takes one for each of its ends that is a file, as the original count does.
     """
-    ids = node_ids.select("id").distinct()
+    ids = node_ids.select("id")
     target = ids.select(F.col("id").alias("target"))
 
     def edge(df: DataFrame, source: Column, to: Column, kind: str, label: str) -> DataFrame:

@@ -474,7 +474,7 @@ def graph_nodes(v: Views) -> DataFrame:
 
 @query(f"{_GRAPH} SELECT id, source, target, type, label FROM edges")
 def graph_edges(v: Views) -> DataFrame:
-    return _graph(v)[1]
+    return _graph(v, properties=False)[1]
 
 
 @query(f"{_GRAPH} SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'node', NULL, count(*) FROM nodes UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type UNION ALL SELECT 'edge', NULL, count(*) FROM edges")
@@ -562,7 +562,7 @@ def components(v: Views) -> DataFrame:
 
 @query(f"{_GRAPH} SELECT '  \"' || id || '\" [label=\"' || label || '\", fillcolor=\"' || CASE type WHEN 'file' THEN 'lightblue' WHEN 'function' THEN 'lightgreen' WHEN 'class' THEN 'lightsalmon' WHEN 'type' THEN 'lightyellow' ELSE 'lightgray' END || '\"];' AS line FROM nodes UNION ALL SELECT '  \"' || source || '\" -> \"' || target || '\" [label=\"' || type || '\"];' FROM edges")
 def dot_export(v: Views) -> DataFrame:
-    return graph.dot_lines(*_graph(v)).select("line")
+    return graph.dot_lines(*_graph(v, properties=False)).select("line")
 
 
 @query(f"{_GRAPH} SELECT e.id, e.type FROM edges e WHERE e.source IN (SELECT id FROM nodes WHERE type IN ('file', 'class')) AND e.target IN (SELECT id FROM nodes WHERE type IN ('file', 'class'))")
@@ -583,7 +583,7 @@ def radial_layout(v: Views) -> DataFrame:
 @query(f"{_GRAPH} SELECT id, type FROM edges WHERE source = 'class:1' OR target = 'class:1'")
 def edge_lookup(v: Views) -> DataFrame:
     """Edges of one entity."""
-    edges = _graph(v)[1].select("id", F.col("source").alias("source_id"), F.col("target").alias("target_id"), "type")
+    edges = _graph(v, properties=False)[1].select("id", F.col("source").alias("source_id"), F.col("target").alias("target_id"), "type")
     return store.relationships_of(edges, "class:1").select("id", "type")
 
 

@@ -49,3 +49,10 @@ def test_graph_nodes_take_no_sets_of_methods(spark):
     assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin" in plan and "REPARTITION_BY_COL" in plan
+
+
+def test_dot_export_gathers_methods_once(spark):
+    """Only the edges need methods, and ids that edges are held against are not made distinct first."""
+    plan = QUERIES["dot_export"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_set(") == 1
+    assert not any("Aggregate [id#" in line and "max_by" not in line for line in plan.splitlines())

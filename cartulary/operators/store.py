@@ -213,9 +213,9 @@ class Store:
         manifest = self.manifest()
         tables, change, before = manifest["tables"], uuid.uuid4().hex, json.loads(json.dumps(manifest))
 
-        def put(name: str, rows: DataFrame, *by: str) -> set[str]:
-            """Writes rows (with bucket) of a table; the buckets that have some."""
-            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *by).write.partitionBy("bucket", *by[:-1]).parquet(f"{self.root}/data/{name}/{change}")
+        def put(name: str, rows: DataFrame, *by: str, dealt: bool = False) -> set[str]:
+            """Writes rows (with bucket) of a table; the buckets that have some. dealt: they are in tasks by bucket already."""
+            (rows if dealt else rows.hint("rebalance", "bucket")).sortWithinPartitions("bucket", *by).write.partitionBy("bucket", *by[:-1]).parquet(f"{self.root}/data/{name}/{change}")
             return {x.getPath().getName().removeprefix("bucket=") for x in self._fs.listStatus(self._path("data", name, change)) if x.isDirectory()}
 
         def made(name: str) -> set[str]:
@@ -231,7 +231,7 @@ class Store:
             if name in gram_index.SOURCES:
                 index, fields = gram_index.SOURCES[name]
                 rows = rows.withColumn("bucket", bucket_of(F.col(OWNER[name]), manifest["buckets"]))
-                return index, put(index, gram_index.postings(rows, fields), "part", "gram"), gone[name]
+                return index, put(index, gram_index.postings(rows, fields, len(written[name])), "part", "gram", dealt=True), gone[name]
             target = bucket_of(F.col("target_id"), manifest["buckets"])
             old = self._table(before, name, sorted(map(int, gone[name])))
             touched = sorted(r.b for r in rows.union(old).select(target.alias("b")).distinct().collect())  # as many as there are buckets

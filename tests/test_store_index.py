@@ -126,3 +126,26 @@ def test_edges_by_both_ends(spark, tmp_path):
     check()
     s.write({"relationships": s.table("relationships").limit(0)})
     check()
+
+
+def test_postings_shuffle_rows_only(spark):
+    """Grams are taken after the only shuffle, and a list for each gram of a slice has the ids of a list of the whole bucket."""
+    rows = frame(spark, "functions", function_rows(random.Random(3), FILES)).withColumn("bucket", F.lit(1))
+    fields = gram_index.SOURCES["functions"][1]
+    found = gram_index.postings(rows, fields, 1)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")]
+
+
+def test_slices_of_a_bucket(spark, tmp_path, monkeypatch):
+    """Lists of slices answer as the scan does, and together hold what one list holds."""
+    monkeypatch.setattr(gram_index, "SCAN_SHARE", 1.0)
+    rows, fields = frame(spark, "functions", function_rows(random.Random(4), FILES)), gram_index.SOURCES["functions"][1]
+    held = lambda: sorted((r.gram, i) for r in gram_index.postings(rows.withColumn("bucket", F.lit(1)), fields, 1).collect() for i in r.ids)
+    whole = held()
+    monkeypatch.setattr(gram_index, "SLICE_ROWS", 4)
+    assert held() == whole
+    s = store.Store(spark, str(tmp_path / "sliced"), buckets=2)
+    s.write({"functions": rows})
+    for query in ("load", "session user", "checkÄ", "parse"):
+        assert sorted(map(tuple, s.search_functions(query, 1000).collect())) == sorted(map(tuple, search.search_functions(rows, query, 1000).collect()))
